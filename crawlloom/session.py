@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,17 @@ atexit.register(drop_stages)
 def parallelism(spark: SparkSession) -> int:
     """Tasks worth making: the shuffle setting, and at least the cores there are."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable by Python workers wherever they run; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_crawlloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="crawlloom-code-")) / "crawlloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._crawlloom_shipped = True
