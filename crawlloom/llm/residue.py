@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from crawlloom.functions.urls import host
 from crawlloom.llm.clauses import WORD, units
 from crawlloom.llm.encoding import plain_repair
+from crawlloom.session import stage
 
 #: A line is boilerplate on a host if this share of its records, and this many, have it.
 RECURRENT_SHARE, RECURRENT_RECORDS = 0.2, 5
@@ -102,21 +104,46 @@ def message(unit: str) -> bool:
     return len(WORD.findall(rest)) <= 2
 
 
-_FILLER_ANYWHERE = re.compile(FILLER.pattern.replace("^", ""))
-# What any filler phrase above contains.
-_FILLER_HINTS = ("your ", " here", "insert", "enter", "description", "type something", "sample ", "dummy", "placeholder", "todo", "replace before", "ihr text", "dein text", "blindtext", "beschreibung", "platzhalter", "beispieltext", "votre texte", "exemple", "escriba", "ejemplo", "añada", "escreva", "exemplo", "adicione", "uw tekst", "je tekst", "voorbeeldtekst", "omschrijving", "تجريبي", "أضف النص", "اكتب وصف", "آزمایشی", "متن خود")
-_FIELD_SIGNS = ("{", "[", "%", "@@", "__", "<?", "*|")
-_SHORT = 900
+# Any filler phrase above contains one of the first, any notice or message one of the second.
+FILLER_HINTS = (
+    "text here|text goes|content here|content goes|title here|title goes|copy here|copy goes| here|add a |type something|sample p|sample t|dummy |placeholder|sample|todo|before publishing"
+    "|ihr text|dein text|blindtext|bitte beschreibung|platzhalter|beispieltext|votre texte|exemple|ajoutez une|escriba aqu|de ejemplo|añada una|escreva aqui|de exemplo|adicione uma"
+    "|uw tekst|je tekst|voorbeeldtekst|voeg een|هذا نص|أضف النص|اكتب وصف|متن آزمایشی|متن خود"
+)
+MESSAGE_HINTS = (
+    "javascript|scripts|skript|جافاسكربت|السكربتات|جاوااسکریپت|اسکریپت|switch it on|checking your browser|went wrong|not exist|not found|nothing here|denied|forbidden|bad gateway|gateway time"
+    "|server error|unavailable|too many requests|slow down|has expired|sign in again|suspended|maintenance|database connection|backend fetch|unexpected|seite nicht|zugriff|serverfehler|wartungsarbeiten"
+    "|introuvable|refusé|erreur interne|no encontrada|no existe|denegado|error interno|mantenimiento|não encontrada|não existe|negado|erro interno|manutenção|niet gevonden|geweigerd|serverfout|onderhoud"
+    "|خطأ في|غير موجودة|تعذر|صلاحية|الصيانة|پیدا نشد|خطای داخلی|دسترسی|در حال تعمیر|existe plus|existiert nicht|gibt es nicht|bestaat niet"
+)
+FIELD_SIGNS = ("{", "[", "%", "@@", "__", "<?", "*|")
+#: Characters up to which a text can be nothing but a null value, or a message and little else.
+NULL_CHARS, MESSAGE_CHARS = 60, 900
+
+
+@lru_cache(maxsize=1)
+def _hints():
+    import ahocorasick
+
+    def automaton(hints: str):
+        a = ahocorasick.Automaton()
+        for h in hints.split("|"):
+            a.add_word(h, h)
+        a.make_automaton()
+        return a
+
+    return automaton(FILLER_HINTS), automaton(MESSAGE_HINTS)
 
 
 def possible(text: str) -> bool:
-    """A cheap look at a whole text: False if it can't hold evidence."""
-    if len(text) < _SHORT or any(s in text for s in _FIELD_SIGNS) and PLACEHOLDER.search(text):
+    """A look at a whole text in a few linear passes: False only if it can't hold evidence."""
+    if len(text) < NULL_CHARS or any(s in text for s in FIELD_SIGNS) and PLACEHOLDER.search(text):
         return True
     low = text.lower()
-    if any(h in low for h in _FILLER_HINTS) and _FILLER_ANYWHERE.search(low):
+    filler, messages = _hints()
+    if any(True for _ in filler.iter(low)) or len(text) < MESSAGE_CHARS and any(True for _ in messages.iter(low)):
         return True
-    return len(LOREM.intersection(low.split())) >= 3
+    return len(LOREM.intersection(low.split())) >= 2 or len(text) < 2 * NULL_CHARS and is_lorem(text)
 
 
 def evidence(text: str, is_field: bool = False) -> str | None:
@@ -127,7 +154,7 @@ def evidence(text: str, is_field: bool = False) -> str | None:
     if not text or text.isspace():
         return None
     text = plain_repair(text)
-    if not is_field and not possible(text):
+    if not possible(text):
         return None
     bare = text.strip()
     parts = [p for p in (TITLE_BREAK.split(bare) if is_field else [bare]) if p]
@@ -157,19 +184,19 @@ def evidence(text: str, is_field: bool = False) -> str | None:
 
 
 def normal_line(line: Column) -> Column:
-    """A line as counted: lower case, digits as 0, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), r"\s+", " "))
+    """A line as counted: lower case, digits as 0, without spaces at its ends."""
+    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
 
 
 def line_numbers(documents: DataFrame) -> DataFrame:
     """(id, host, line): 64-bit keys of the distinct normalised lines of each record."""
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", r"[\r\n]+"), lambda x: F.when(F.trim(x) != "", F.xxhash64(normal_line(x)))), lambda x: x.isNotNull()))
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(normal_line(x))))
     return documents.where("text is not null").select("id", "host", F.explode(lines).alias("line"))
 
 
 def boilerplate(lines: DataFrame, records: DataFrame) -> DataFrame:
     """(host, line) of lines in a fifth of a host's records, and at least five."""
-    counted = lines.groupBy("host", "line").count().where(F.col("count") >= RECURRENT_RECORDS)
+    counted = lines.where(F.col("line") != F.xxhash64(F.lit(""))).groupBy("host", "line").count().where(F.col("count") >= RECURRENT_RECORDS)
     totals = records.groupBy("host").agg(F.count("*").alias("n"))
     return counted.join(totals, "host").where(F.col("count") >= RECURRENT_SHARE * F.col("n")).select("host", "line")
 
@@ -181,9 +208,11 @@ def residue(documents: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     documents given). Null, empty and white texts show none. Repeated rows are rows of their own.
     """
     corpus = documents if corpus is None else corpus
-    lines = boilerplate(line_numbers(corpus), corpus)
+    lines = stage(boilerplate(line_numbers(corpus), corpus), "boilerplate")
+    if lines.isEmpty():
+        return documents.where("text is not null").select("id", "text").mapInPandas(_judge(False), "id long, kind string")
     own = line_numbers(documents).join(lines, ["host", "line"], "left_semi").groupBy("id").agg(F.collect_list("line").alias("drop"))
-    keyed = F.transform(F.split("text", r"[\r\n]+"), lambda x: F.struct(x.alias("x"), F.xxhash64(normal_line(x)).alias("h")))
+    keyed = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), F.xxhash64(normal_line(x)).alias("h")))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(keyed, lambda s: ~F.array_contains("drop", s["h"])), lambda s: s["x"]), "\n"))
     left = documents.where("text is not null").join(own, "id", "left").select("id", kept.alias("text"))
     return left.mapInPandas(_judge(False), "id long, kind string")
