@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ def label_code(label: Column | str) -> Column:
     return F.try_element_at(table, head)
 
 
-SENTENCE_END = re.compile(r"(?<=[.!?؟…])[\"”»’)]*(?=\s)|[\r\n]+")
+SENTENCE_END = re.compile(r"[.!?؟…][\"”»’)]*\s+|[\r\n]+")
 
 
 class Ranker:
@@ -84,18 +85,26 @@ class Ranker:
         return owner[1:-1][mid], code[mid], letters
 
     def ranked(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, code, rank) of distinct trigrams, ties sharing the least rank, and letters."""
+        """(stretch, code, rank) of distinct trigrams, ties sharing the least rank, and letters.
+        Rows of a stretch are together."""
         owner, code, letters = self.grams(stretches)
         size = self.base**3
-        keys, n = np.unique(owner * size + code, return_counts=True)
-        owner, code = keys // size, keys % size
-        order = np.lexsort((code, -n, owner))
-        owner, code, n = owner[order], code[order], n[order]
-        first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
-        fresh = first | np.r_[True, n[1:] != n[:-1]] if len(owner) else first
+        keys = owner * size + code
+        keys.sort()
+        if not len(keys):
+            return keys, keys, keys, letters
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.diff(np.r_[new, len(keys)])
+        keys = keys[new]
+        owner = keys // size
+        code = keys - owner * size
+        most = int(n.max())
+        order = np.argsort(owner * (most + 1) + (most - n), kind="stable")
+        code, n = code[order], n[order]
+        first = np.r_[True, owner[1:] != owner[:-1]]
         at = np.arange(len(owner))
         start = np.maximum.accumulate(np.where(first, at, 0))
-        rank = np.maximum.accumulate(np.where(fresh, at, 0)) - start
+        rank = np.maximum.accumulate(np.where(first | np.r_[True, n[1:] != n[:-1]], at, 0)) - start
         return owner, code, rank, letters
 
 
@@ -112,41 +121,69 @@ class Profiles:
             return (at.get(g[0], base - 1) * base + at.get(g[1], base - 1)) * base + at.get(g[2], base - 1)
 
         known = sorted({code(g) for r in ranks.values() for g in r})
-        self.codes = np.array(known or [-1], dtype=np.int64)
-        self.ranks = np.full((len(self.languages), len(self.codes) + 1), PROFILE, dtype=np.float32)
-        self.absent = np.ones((len(self.languages), len(self.codes) + 1), dtype=bool)
         where = {c: i for i, c in enumerate(known)}
+        # Trigrams a profile lacks are so far off that any rank gives the largest distance.
+        self.ranks = np.full((len(self.languages), len(known) + 1), 4 * PROFILE, dtype=np.int32)
         for i, lang in enumerate(self.languages):
             for g, r in ranks[lang].items():
                 self.ranks[i, where[code(g)]] = r
-                self.absent[i, where[code(g)]] = False
+        self.known = known
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Where each trigram code stands in ``ranks``; built where it is used, not sent."""
+        out = np.full(self.ranker.base**3, len(self.known), dtype=np.int32)
+        out[self.known] = np.arange(len(self.known), dtype=np.int32)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
 
     def distances(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(mean out-of-place distance, 0 to 1, of each stretch to each language; letters)."""
         owner, code, rank, letters = self.ranker.ranked(stretches)
-        i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        i = np.where(self.codes[i] == code, i, len(self.codes))
-        n = np.maximum(1, np.bincount(owner, minlength=len(stretches)))
-        out = np.empty((len(stretches), len(self.languages)), dtype=np.float64)
-        for k in range(len(self.languages)):
-            d = np.where(self.absent[k, i], PROFILE, np.minimum(np.abs(self.ranks[k, i] - rank), PROFILE))
-            out[:, k] = np.bincount(owner, weights=d, minlength=len(stretches)) / n / PROFILE
+        out = np.ones((len(stretches), len(self.languages)))
+        if len(owner):
+            i = self.place[code]
+            rank = np.minimum(rank, 2 * PROFILE).astype(np.int32)
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            n = np.diff(np.r_[begins, len(owner)])
+            for k in range(len(self.languages)):
+                d = np.abs(self.ranks[k][i] - rank)
+                np.minimum(d, PROFILE, out=d)
+                out[owner[begins], k] = np.add.reduceat(d, begins) / (n * PROFILE)
         return out, letters
 
     def tell(self, stretches: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
         """(language, confidence, letters) of each stretch; None where there are too few letters."""
         if not stretches or not self.languages:
             return [None] * len(stretches), np.zeros(len(stretches)), np.zeros(len(stretches), dtype=np.int64)
-        d, letters = self.distances(stretches)
+        at: dict[str, int] = {}
+        which = np.array([at.setdefault(s, len(at)) for s in stretches])  # equal stretches are ranked once
+        d, letters = self.distances(list(at))
         best = d.argmin(1)
-        two = np.sort(d, axis=1)[:, :2]
-        sure = two[:, 1] - two[:, 0] if d.shape[1] > 1 else 1 - two[:, 0]
-        return [self.languages[b] if n >= LEAST_LETTERS else None for b, n in zip(best, letters)], sure, letters
+        two = np.partition(d, 1, axis=1)[:, :2] if d.shape[1] > 1 else np.c_[d, np.ones(len(d))]
+        sure = two[:, 1] - two[:, 0]
+        langs = [self.languages[b] if n >= LEAST_LETTERS else None for b, n in zip(best, letters)]
+        return [langs[i] for i in which], sure[which], letters[which]
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines of a text, addresses blanked."""
-    return [s for s in SENTENCE_END.split(ADDRESS.sub(lambda m: " " * len(m.group()), text)) if s and not s.isspace()]
+    """Sentences and lines of a text, without what ends them; addresses blanked."""
+    if "://" in text or "www." in text:
+        text = ADDRESS.sub(lambda m: " " * len(m.group()), text)
+    return [s for s in SENTENCE_END.split(text) if s and not s.isspace()]
+
+
+def spans(text: str) -> list[tuple[int, str]]:
+    """(start, sentence) of ``sentences``."""
+    if "://" in text or "www." in text:
+        text = ADDRESS.sub(lambda m: " " * len(m.group()), text)
+    out, at = [], 0
+    for m in SENTENCE_END.finditer(text):
+        out.append((at, text[at : m.start()]))
+        at = m.end()
+    return [(i, s) for i, s in [*out, (at, text[at:])] if s and not s.isspace()]
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Profiles:
@@ -195,8 +232,8 @@ def told(documents: DataFrame, profiles: Profiles) -> DataFrame:
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                b = whole.iloc[lo : lo + 256]
+            for lo in range(0, len(whole), 512):
+                b = whole.iloc[lo : lo + 512]
                 stretches: list[str] = []
                 owner: list[int] = []
                 for i, t in enumerate(b["text"]):
@@ -231,32 +268,32 @@ def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """(id, segment, start, n_chars, lang, confidence): runs of sentences in one language.
 
     Sentences with too few letters or too little confidence belong to the run before them.
+    ``start`` counts characters of the text after undoing garbled spots.
     """
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                b = whole.iloc[lo : lo + 256]
-                stretches, owner = [], []
+            for lo in range(0, len(whole), 512):
+                b = whole.iloc[lo : lo + 512]
+                stretches, owner, starts = [], [], []
                 for i, t in zip(b["id"], b["text"]):
-                    own = sentences(plain_repair(t)) if t else []
-                    stretches += own
-                    owner += [i] * len(own)
+                    for at, sentence in spans(plain_repair(t)) if t else ():
+                        stretches.append(sentence)
+                        owner.append(i)
+                        starts.append(at)
                 langs, sure, _ = p.tell(stretches)
                 out: list[list] = []
-                at = 0
-                for k, (i, s, lang, c) in enumerate(zip(owner, stretches, langs, sure)):
-                    same = out and out[-1][0] == i
-                    at = at if same else 0
-                    if same and (lang is None or c < SURE or out[-1][4] in (None, lang)):
-                        out[-1][3] += len(s)
-                        out[-1][4] = out[-1][4] or (lang if c >= SURE else None)
+                for i, at, sentence, lang, c in zip(owner, starts, stretches, langs, sure):
+                    same = bool(out) and out[-1][0] == i
+                    told_ = lang if c >= SURE else None
+                    if same and (told_ is None or out[-1][4] in (None, told_)):
+                        out[-1][3] = at + len(sentence) - out[-1][2]
+                        out[-1][4] = out[-1][4] or told_
                         out[-1][5] = max(out[-1][5], float(c))
                     else:
-                        out.append([i, out[-1][1] + 1 if same else 0, at, len(s), lang if lang and c >= SURE else None, float(c)])
-                    at += len(s)
+                        out.append([i, out[-1][1] + 1 if same else 0, at, len(sentence), told_, float(c)])
                 yield pd.DataFrame(out, columns=["id", "segment", "start", "n_chars", "lang", "confidence"])
 
     return documents.select("id", "text").mapInPandas(body, "id long, segment int, start int, n_chars int, lang string, confidence double")
