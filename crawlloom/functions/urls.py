@@ -134,3 +134,31 @@ def native_normal_form(url: Column | str) -> Column:
     kept = F.array_sort(F.filter(query_pairs(url), lambda p: (p["v"] != "") & ~F.array_contains(tracked, p["k"])))
     query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     return F.concat(scheme, F.lit("://"), authority, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+
+
+# Paths that only lead to a login, paging parameters, and parameters that filter.
+WRAPPERS = ("/auth/", "/login", "/signin", "/sign-in", "/sign_in", "/customer/account/login", "/account/login", "/wp-login.php")
+PAGING = ("page", "p", "pg", "pageno", "page_no")
+FILTERS = ("category", "brand", "tag", "color", "size", "price")
+
+
+def kind(url: Column | str, in_sitemap: Column | None = None, in_navigation: Column | None = None) -> Column:
+    """sitemap, navigation, redirect_wrapper, pagination_deep (beyond page 3),
+    filter_combination (several filters) or other, the first that holds; blank values don't count."""
+    p = F.lower(part(url, "path"))
+    pairs = F.filter(query_pairs(url), lambda x: x["v"] != "")
+    key = lambda x: F.lower(x["k"])
+    wrapper = F.lit(False)
+    for w in WRAPPERS:
+        wrapper = wrapper | p.startswith(w)
+    deep = F.exists(pairs, lambda x: key(x).isin(*PAGING) & (F.coalesce(x["v"].try_cast("int"), F.lit(0)) > 3))
+    filters = F.filter(pairs, lambda x: key(x).startswith("filter") | key(x).endswith("[]") | key(x).isin(*FILTERS))
+    no = F.lit(False)
+    return (
+        F.when(no if in_sitemap is None else in_sitemap, "sitemap")
+        .when(no if in_navigation is None else in_navigation, "navigation")
+        .when(wrapper, "redirect_wrapper")
+        .when(deep, "pagination_deep")
+        .when(F.size(filters) > 1, "filter_combination")
+        .otherwise("other")
+    )
