@@ -19,11 +19,17 @@ CLAUSE_WORDS = {
 MARKERS = frozenset(w for words in CLAUSE_WORDS.values() for w in words.split())
 
 TERMINATORS = ".!?؟…。"
-UNIT_BREAK = re.compile(r"(?<=[.!?؟…。])[\"”»’)]*\s+|\s*[\r\n]+\s*")
+UNIT_BREAK = re.compile(r"[.!?؟…。][\"”»’)]*\s|\n")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
-WORD = re.compile(r"[^\W_]+(?:[’'‌\-][^\W_]+)*")
+WORD = re.compile(r"\w(?:[\w’'‌\-]*\w)?")
 
 
 def units(text: str) -> list[str]:
-    """Sentences and lines of a text, in order, without empty ones."""
-    return [u for u in UNIT_BREAK.split(text) if u and not u.isspace()]
+    """Sentences and lines of a text with what ends them, in order, without empty ones."""
+    out, at = [], 0
+    for m in UNIT_BREAK.finditer(text):
+        end = m.end()
+        out.append(text[at:end])
+        at = end
+    out.append(text[at:])
+    return [u for u in out if u and not u.isspace()]

@@ -12,6 +12,7 @@ needs no shuffle at all.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from crawlloom.llm.clauses import ADDRESS, MARKERS, TERMINATORS, WORD, units
 from crawlloom.llm.encoding import plain_repair
-from crawlloom.llm.residue import ERRORS, FILLER, PLACEHOLDER, SCRIPTS, is_lorem
+from crawlloom.llm.residue import ERRORS, FIELD_SIGNS, FILLER, PLACEHOLDER, SCRIPTS, is_lorem
 
 #: Words judged together where a unit is long; a clause word within reach marks them all.
 REACH = 8
@@ -42,32 +43,41 @@ def repeated(words: list) -> list[int]:
     suffix link and longest length. A prefix' state is repeated itself if another state links
     to it; else its link is the longest repeated suffix.
     """
-    step, link, length, last = [{}], [-1], [0], 0
-    ends = []
-    for w in words:
-        new = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+    step: list[dict] = [{}]
+    link, length, ends, last = [-1], [0], [], 0
+    add_step, add_link, add_length, add_end = step.append, link.append, length.append, ends.append
+    for n, w in enumerate(words, 1):
+        new = len(link)
+        add_step({})
+        add_length(n)
+        add_end(new)
         p = last
-        while p >= 0 and w not in step[p]:
-            step[p][w] = new
-            p = link[p]
-        if p >= 0:
-            q = step[p][w]
-            if length[q] == length[p] + 1:
-                link[new] = q
-            else:
-                twin = len(step)
-                step.append(step[q].copy())
-                length.append(length[p] + 1)
-                link.append(link[q])
-                link[q] = link[new] = twin
-                while p >= 0 and step[p].get(w) == q:
-                    step[p][w] = twin
-                    p = link[p]
         last = new
-        ends.append(new)
+        while True:
+            out = step[p]
+            if w in out:
+                q = out[w]
+                if length[q] == length[p] + 1:
+                    add_link(q)
+                    break
+                twin = new + 1
+                add_step(step[q].copy())
+                add_length(length[p] + 1)
+                add_link(twin)
+                add_link(link[q])
+                link[q] = twin
+                while p >= 0:
+                    out = step[p]
+                    if out.get(w) != q:
+                        break
+                    out[w] = twin
+                    p = link[p]
+                break
+            out[w] = new
+            p = link[p]
+            if p < 0:
+                add_link(0)
+                break
     linked = set(link)
     return [length[s] if s in linked else length[link[s]] for s in ends]
 
@@ -81,9 +91,11 @@ def bare(unit: str, words: list[str]) -> list[int]:
     """
     n = len(words)
     marks = [i for i, w in enumerate(words) if w in MARKERS]
+    if marks and marks[0] <= REACH and n - marks[-1] <= REACH + 1 and (len(marks) == 1 or max(b - a for a, b in zip(marks, marks[1:])) <= 2 * REACH + 1):
+        return [0] * n
     if not marks:
-        shaped = 4 <= n <= 40 and unit.rstrip("\"”»’) ")[-1:] in TERMINATORS and sum(map(unit.count, "|/;>#•")) * 5 <= n
-        low = unit.lower().strip(" -*•")
+        shaped = 4 <= n <= 40 and unit.rstrip("\"”»’) \t\r\n")[-1:] in TERMINATORS and sum(map(unit.count, "|/;>#•")) * 5 <= n
+        low = unit.strip(" -*•\r\n")
         other = is_lorem(unit) or len(unit) < 110 and any(p.search(low) for p in (FILLER, SCRIPTS, ERRORS))  # p7's matter
         return [0 if other else 2 if shaped else 1] * n
     out = [1] * n
@@ -97,16 +109,20 @@ def measure(text: str) -> tuple[int, float, float, float, int]:
     """(words, share of characters without clauses, of those repeated, of those in addresses,
     words without clauses); addresses count as text without clauses, unfilled fields not at
     all. What is in doubt counts as without clauses if phrases of it keep coming back."""
-    text = PLACEHOLDER.sub(" ", plain_repair(text))
+    text = plain_repair(text)
+    if any(sign in text for sign in FIELD_SIGNS):
+        text = PLACEHOLDER.sub(" ", text)
+    text = text.lower()
+    addressed = "://" in text or "www." in text
     words: list[str] = []
     state: list[int] = []
     address_chars = 0
     for unit in units(text):
-        found = ADDRESS.findall(unit)
+        found = ADDRESS.findall(unit) if addressed else ()
         if found:
             address_chars += ADDRESS_CHARS * len(found)
             unit = ADDRESS.sub(" ", unit)
-        own = [w.lower() for w in WORD.findall(unit)]
+        own = WORD.findall(unit)
         words += own
         # A few words beside an address are its label, not a sentence.
         state += [1] * len(own) if found and len(own) <= 6 * len(found) else bare(unit, own)
@@ -114,12 +130,14 @@ def measure(text: str) -> tuple[int, float, float, float, int]:
     if not chars and not address_chars:
         return 0, 0.0, 0.0, 0.0, 0
     reach = repeated(words)
-    need = pair = 0
+    if not any(state) and not address_chars:
+        return len(words), 0.0, 0.0, 0.0, 0
+    need = pair = phrases = 0
     covered = [False] * len(words)
-    phrases = 0
     for i in range(len(words) - 1, -1, -1):
-        need = max(need - 1, reach[i])
-        pair = max(pair - 1, reach[i] if reach[i] > 1 else 0)
+        r = reach[i]
+        need = r if r >= need else need - 1
+        pair = r if r > 1 and r >= pair else pair - 1
         covered[i] = need > 0
         phrases += pair > 0 and state[i] == 2
     doubt = phrases >= PHRASES * state.count(2)
@@ -134,6 +152,7 @@ def measures(documents: DataFrame) -> DataFrame:
     """``MEASURES`` of each document's whole text; null texts count as empty."""
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # automata have no cycles; looking for them again and again costs a tenth
         for b in batches:
             rows = [measure(t) if t else (0, 0.0, 0.0, 0.0, 0) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], **{k: [r[i] for r in rows] for i, k in enumerate(("n_words", "bare_share", "covered_share", "address_share", "bare_words"))}})
