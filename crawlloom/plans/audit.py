@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlloom.functions import text as tx
 from crawlloom.functions import urls
-from crawlloom.operators import graph, issues, pages, scoring
+from crawlloom.operators import detail, graph, issues, pages, scoring
 from crawlloom.plans.problems import normal_form_sql
 from crawlloom.sources import sinks
 from crawlloom.tables import table
@@ -416,7 +416,17 @@ def crawl_compare_pages(s, d):
     return issues.compare_pages(p.where("run_id = 0"), p.where("run_id = 1"))
 
 
-@query()
+_AT = lambda r: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, page_id DESC) AS rn FROM pages WHERE url IS NOT NULL AND run_id <= {r}) WHERE rn = 1"
+
+
+def _compare_sql() -> str:
+    start = _ISS.index("found AS (") + len("found AS (")
+    rules = " UNION ALL ".join(_ISS[start:].split(" UNION ALL ")[: _ISS.count("AS affected_count FROM latest")])
+    side = lambda t: f"SELECT * FROM ({rules.replace('FROM latest', f'FROM {t}')}) WHERE affected_count > 0"
+    return f"WITH p0 AS ({_AT(0)}), p1 AS ({_AT(12)}), a AS ({side('p0')}), b AS ({side('p1')}) SELECT coalesce(a.issue_type, b.issue_type) AS issue_type, coalesce(a.affected_count, 0) AS old_count, coalesce(b.affected_count, 0) AS new_count, coalesce(b.affected_count, 0) - coalesce(a.affected_count, 0) AS delta, CASE WHEN b.issue_type IS NULL THEN 'fixed' WHEN a.issue_type IS NULL THEN 'new' ELSE 'persisting' END AS state FROM a FULL JOIN b ON a.issue_type = b.issue_type"
+
+
+@query(_compare_sql())
 def crawl_compare_issues(s, d):
     p = table(s, d, "pages", *PAGE, "run_id")
     one = lambda r: issues.collect_issues(pages.latest(p.where(F.col("run_id") <= r), *[c for c in PAGE if c != "url"]))
@@ -468,22 +478,43 @@ def analytics_by_path(s, d):
     return scoring.by_path(_landing(s, d))
 
 
-@query()
+_SEV = "CASE x " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.SEVERITY.items()) + " ELSE 1.0 END"
+_HARD = "CASE x " + " ".join(f"WHEN '{k}' THEN {({'easy': 0, 'moderate': 4, 'hard': 8}[e] + {'developer': 3, 'platform': 2, 'content': 1, 'seo': 0}[o])}" for k, (e, o) in scoring.EASE.items()) + " ELSE 7 END"
+_SUM = f"list_sum(list_transform(iss, lambda x: ({_SEV})::DOUBLE))"
+_TOP = f"list_reduce(iss, lambda m, y: CASE WHEN ({_SEV.replace('CASE x', 'CASE y')}) > ({_SEV.replace('CASE x', 'CASE m')}) THEN y ELSE m END)"
+_UNIFIED = f"{_IDX}, {_UNI}"
+_OPP = f"""opp AS (SELECT url, {HALF(f"(CASE WHEN clicks * 2 + impressions * 0.05::DOUBLE + sessions > 0 THEN ln(1 + clicks * 2 + impressions * 0.05::DOUBLE + sessions) ELSE ln(1 + internal_links_count) * 0.3::DOUBLE END) * {_SUM}", 3)} AS priority_score,
+  len(iss)::INT AS n_issues, array_to_string(iss, ', ') AS technical_issues, {_TOP} AS top_fix FROM uni2 WHERE len(iss) > 0)"""
+_PRI = f"""typed AS (SELECT *, {_TYPE} AS page_type, greatest(1, list_max(list_transform(iss, lambda x: {_HARD}))) AS hardest FROM uni2 WHERE len(iss) > 0),
+  fac AS (SELECT *, CASE WHEN hardest >= 8 THEN 'hard' WHEN hardest >= 4 THEN 'moderate' ELSE 'easy' END AS ease, CASE hardest % 4 WHEN 3 THEN 'developer' WHEN 2 THEN 'platform' WHEN 1 THEN 'content' ELSE 'seo' END AS owner,
+   {HALF("greatest(0.0::DOUBLE, (CASE page_type WHEN 'home' THEN 3.0 WHEN 'category' THEN 2.5 WHEN 'product' THEN 2.0 WHEN 'blog' THEN 1.5 ELSE 1.0 END)::DOUBLE + least(2.0::DOUBLE, ln(1 + greatest(internal_links_count, 0)) * 0.6::DOUBLE) - least(1.0::DOUBLE, greatest(depth, 0) * 0.1::DOUBLE))", 3)} AS importance,
+   ln(1 + clicks * 2 + impressions * 0.05::DOUBLE) AS demand, ln(1 + sessions * (1 + er / 100)) AS business, {HALF("least(1.0::DOUBLE, 0.7::DOUBLE + least(0.2::DOUBLE, len(iss) * 0.05::DOUBLE) + CASE WHEN clicks > 0 OR impressions > 0 OR sessions > 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)", 3)} AS confidence FROM typed),
+  sco AS (SELECT *, {HALF(f"{_SUM} * (demand + business + importance) * (CASE ease WHEN 'easy' THEN 1.2 WHEN 'moderate' THEN 1.0 ELSE 0.85 END)::DOUBLE * confidence", 3)} AS priority_score FROM fac),
+  ban AS (SELECT *, CASE WHEN best > 0 AND priority_score / best >= 0.5 THEN 'high' WHEN best > 0 AND priority_score / best >= 0.2 THEN 'medium' ELSE 'low' END AS priority_band FROM (SELECT *, max(priority_score) OVER () AS best FROM sco)),
+  pri AS (SELECT url, page_type, priority_score, owner, ease, len(iss)::INT AS n_issues, array_to_string(iss, ', ') AS technical_issues, {_TOP} AS top_fix, priority_band, CASE WHEN priority_band = 'low' THEN 'low_impact' WHEN owner = 'developer' THEN 'needs_developer' WHEN owner = 'content' AND list_has_any(iss, ['thin', 'thin_critical']) THEN 'needs_content' WHEN priority_band = 'high' THEN 'do_now' ELSE 'do_later' END AS action_group FROM ban)"""
+
+
+@query(f"WITH {_UNIFIED[5:]} SELECT url, path, status_code, is_indexable, depth, internal_links_count, array_to_string(iss, ',') AS issues, clicks, impressions, sessions, er AS engagement_rate FROM uni2")
 def unified_report(s, d):
-    return _unified(s, d).withColumn("issues", F.array_join("issues", ","))
+    return _unified(s, d).withColumn("issues", F.array_join("issues", ",")).drop("position", "users")
 
 
-@query()
+@query(f"WITH {_UNIFIED[5:]}, {_OPP} SELECT * FROM opp")
 def opportunities(s, d):
     return scoring.opportunities(_unified(s, d))
 
 
-@query()
+@query(f"WITH {_UNIFIED[5:]}, {_PRI} SELECT * FROM pri")
 def priorities(s, d):
     return scoring.priorities(_unified(s, d))
 
 
-@query()
+@query(f"WITH {_UNIFIED[5:]}, {_PRI} SELECT action_group, priority_band, count(*) AS n_pages FROM pri GROUP BY ALL")
+def priority_summary(s, d):
+    return scoring.priorities(_unified(s, d)).groupBy("action_group", "priority_band").agg(F.count("*").alias("n_pages"))
+
+
+@query(f"WITH {_UNIFIED[5:]}, {_PRI} SELECT url, action_group, priority_score, priority_band, owner, ease, top_fix FROM pri ORDER BY list_position(['do_now','needs_content','needs_developer','needs_platform','do_later','low_impact'], action_group), priority_score DESC, url LIMIT 500")
 def action_board(s, d):
     return scoring.action_board(scoring.priorities(_unified(s, d)))
 
@@ -526,3 +557,22 @@ def link_opportunities(s, d):
 def keyword_merge(s, d):
     k = table(s, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity").groupBy(F.col("l_partkey").alias("url"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("keyword")).agg(F.sum("l_quantity").cast("long").alias("volume"), F.count("*").alias("traffic"))
     return scoring.merge_keywords(table(s, d, "part").select(F.col("p_partkey").alias("url")), k)
+
+
+@query(f"WITH {NOW}, k AS (SELECT url, CASE WHEN depth > 4 THEN 'deep' WHEN contains(url, '?') THEN 'query' ELSE 'other' END AS kind FROM latest), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY url) AS rn FROM k) SELECT kind, count(*) AS n, string_agg(url, ' ' ORDER BY url) FILTER (rn <= 10) AS samples FROM r GROUP BY kind")
+def deferred_summary(s, d):
+    p = now(s, d, "depth")
+    return detail.deferred_summary(p.select("url", F.when(F.col("depth") > 4, "deep").when(F.col("url").contains("?"), "query").otherwise("other").alias("kind")))
+
+
+@query()
+def url_detail(s, d):
+    p = now(s, d, "status_code", "title")
+    url = p.agg(F.min("url")).first()[0]
+    return detail.url_detail(url, p, _search(s, d), _landing(s, d), p.select("url", "status_code"), scoring.priorities(_unified(s, d)))
+
+
+@query()
+def summary_payload(s, d):
+    p = now(s, d)
+    return detail.summary_payload(_issues(p, s, d), scoring.priorities(_unified(s, d)))
