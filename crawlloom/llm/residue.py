@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.functions.urls import host
@@ -77,7 +77,7 @@ NULLS = re.compile(r"\(?(?:null|undefined|nan|none|nil|n/a|\[object object\]|unt
 ABOUT = re.compile(r"\b(?:template|templates|variable|variables|written|write|syntax|manual|themes?|checklist|vorlage|variable|modèle|plantilla|sjabloon|modelo de)\b|قالب|الگوی", re.IGNORECASE)
 QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|‘[^’\n]*’(?!\w)")
 TITLE_BREAK = re.compile(r"\s+[|·–—:/»-]\s+|\s*[|·]\s*")
-_TRIM = " \t.!?:;,-–—|·()[]#*•"
+_TRIM = " \t\r\n.!?:;,-–—|·()[]#*•"
 
 
 def placeholders(text: str) -> int:
@@ -183,20 +183,31 @@ def evidence(text: str, is_field: bool = False) -> str | None:
     return kind if telling and words <= FEW_WORDS else None
 
 
-def normal_line(line: Column) -> Column:
-    """A line as counted: lower case, digits as 0, without spaces at its ends."""
-    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
+_DIGIT = re.compile("[0-9]")
+
+
+def line_key(line: str) -> int:
+    """64-bit key of a normalised line: lower case, digits as 0, white space collapsed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(" ".join(_DIGIT.sub("0", line.lower()).split()))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def line_numbers(documents: DataFrame) -> DataFrame:
-    """(id, host, line): 64-bit keys of the distinct normalised lines of each record."""
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(normal_line(x))))
-    return documents.where("text is not null").select("id", "host", F.explode(lines).alias("line"))
+    """(id, host, line): keys of the distinct lines of each record that aren't empty."""
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, h, k) for i, h, t in zip(b["id"], b["host"], b["text"]) for k in {line_key(x) for x in t.split("\n") if x and not x.isspace()}]
+            yield pd.DataFrame(rows, columns=["id", "host", "line"])
+
+    return documents.where("text is not null").select("id", "host", "text").mapInPandas(body, "id long, host string, line long")
 
 
 def boilerplate(lines: DataFrame, records: DataFrame) -> DataFrame:
     """(host, line) of lines in a fifth of a host's records, and at least five."""
-    counted = lines.where(F.col("line") != F.xxhash64(F.lit(""))).groupBy("host", "line").count().where(F.col("count") >= RECURRENT_RECORDS)
+    counted = lines.groupBy("host", "line").count().where(F.col("count") >= RECURRENT_RECORDS)
     totals = records.groupBy("host").agg(F.count("*").alias("n"))
     return counted.join(totals, "host").where(F.col("count") >= RECURRENT_SHARE * F.col("n")).select("host", "line")
 
@@ -209,19 +220,31 @@ def residue(documents: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """
     corpus = documents if corpus is None else corpus
     lines = stage(boilerplate(line_numbers(corpus), corpus), "boilerplate")
+    texts = documents.where("text is not null").select("id", "text")
     if lines.isEmpty():
-        return documents.where("text is not null").select("id", "text").mapInPandas(_judge(False), "id long, kind string")
-    own = line_numbers(documents).join(lines, ["host", "line"], "left_semi").groupBy("id").agg(F.collect_list("line").alias("drop"))
-    keyed = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), F.xxhash64(normal_line(x)).alias("h")))
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(keyed, lambda s: ~F.array_contains("drop", s["h"])), lambda s: s["x"]), "\n"))
-    left = documents.where("text is not null").join(own, "id", "left").select("id", kept.alias("text"))
-    return left.mapInPandas(_judge(False), "id long, kind string")
+        drop = texts.withColumn("drop", F.lit(None).cast("array<long>"))
+    else:
+        own = line_numbers(documents).join(lines, ["host", "line"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("drop"))
+        drop = texts.join(own, "id", "left")
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kinds = []
+            for t, d in zip(b["text"], b["drop"]):
+                if d is not None and len(d):
+                    gone = set(map(int, d))
+                    t = "\n".join(x for x in t.split("\n") if not x or x.isspace() or line_key(x) not in gone)
+                kinds.append(evidence(t) if t else None)
+            out = pd.DataFrame({"id": b["id"], "kind": kinds})
+            yield out[out["kind"].notna()]
+
+    return drop.mapInPandas(body, "id long, kind string")
 
 
-def _judge(is_field: bool):
+def _judged_fields():
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kinds = [evidence(t, is_field) if t else None for t in b["text"]]
+            kinds = [evidence(t, True) if t else None for t in b["text"]]
             out = pd.DataFrame({"id": b["id"], "kind": kinds})
             yield out[out["kind"].notna()]
 
@@ -232,7 +255,7 @@ def field_residue(pages: DataFrame) -> DataFrame:
     """(id, kind) of pages (page_id, title, meta_description): one row a field that shows
     residue. A field is content as a whole, so nothing of it is boilerplate."""
     fields = pages.select(F.col("page_id").alias("id"), F.explode(F.array("title", "meta_description")).alias("text")).where("text is not null")
-    return fields.mapInPandas(_judge(True), "id long, kind string")
+    return fields.mapInPandas(_judged_fields(), "id long, kind string")
 
 
 def corpus_lines(documents: DataFrame) -> DataFrame:
