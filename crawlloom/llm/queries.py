@@ -107,23 +107,29 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "source_targets", "source", "target_share"))
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    model = reading.fit(reading.reviewed(docs, table(spark, d, "doc_labels", "doc_id", "reviewed_lang", "reading_level")))
-    told = language.told(docs.select(F.col("doc_id").alias("id"), "text"), _profiles(spark, d)).withColumn("are", language.document_languages(None))
-    english = told.where("are = array('en')").select(F.col("id").alias("doc_id"))
-    return reading.levels(docs.join(english, "doc_id", "left_semi"), model)
+def _model(spark: SparkSession, d: str) -> reading.Levels:
+    return reading.fit(reading.reviewed(_documents(spark, d), table(spark, d, "doc_labels", "doc_id", "reviewed_lang", "reading_level")))
+
+
+def _english(docs: DataFrame, profiles: language.Profiles) -> DataFrame:
+    told = language.told(docs.select(F.col("doc_id").alias("id"), "text"), profiles).withColumn("are", language.document_languages(None))
+    return told.where("are = array('en')").select(F.col("id").alias("doc_id"))
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     """Reading level of every document in English only."""
-    return _levels(spark, d)
+    docs = _documents(spark, d)
+    return reading.levels(docs.join(_english(docs, _profiles(spark, d)), "doc_id", "left_semi"), _model(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Levels are told first: words of other languages have no difficulty, so what isn't
+    English mostly drops out there, and the rest of the work sees level 3 only."""
     docs = _documents(spark, d)
-    hard = stage(_levels(spark, d).where("level = 3").select("doc_id"), "hard")
-    return _clean(docs.join(hard, "doc_id", "left_semi"), docs)
+    hard = stage(reading.hard(docs, _model(spark, d)), "hard")
+    at_three = docs.join(hard, "doc_id", "left_semi")
+    english = stage(_english(at_three, _profiles(spark, d)), "english")
+    return _clean(docs.join(english, "doc_id", "left_semi"), docs)
 
 
 QUERIES = {

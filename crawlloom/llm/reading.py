@@ -14,8 +14,10 @@ sentences. That pass sees every document and needs no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,14 @@ from pyspark.sql import functions as F
 
 from crawlloom.llm.clauses import ADDRESS, WORD
 from crawlloom.llm.encoding import plain_repair
-from crawlloom.llm.language import label_code, sentences
+from crawlloom.llm.language import label_code
 from crawlloom.session import stage
 
 #: Reviewed texts the model is fitted on at most (by hash of doc_id), and words it keeps.
 MOST_TEXTS, MOST_WORDS = 20_000, 200_000
+# Words, and what ends a sentence or line.
+PIECE = re.compile(WORD.pattern + r"|[.!?؟…][\"”»’)]*\s|[\r\n]")
+BREAKS = frozenset(".!?؟…\r\n")
 ROUNDS, ANCHOR, RIDGE = 4, 1.0, 0.5
 #: Words a sentence needs to be judged.
 LEAST_WORDS = 3
@@ -36,29 +41,80 @@ LEAST_WORDS = 3
 
 @dataclass
 class Levels:
-    """Difficulty and weight of words; the bounds between levels 1|2 and 2|3."""
+    """Weighed difficulty and weight of words; the bounds between levels 1|2 and 2|3."""
 
     words: dict[str, tuple[float, float]]
     low: float
     high: float
 
-    def sentence(self, text: str) -> float | None:
-        known = [self.words[w] for w in tokens(text) if w in self.words]
-        if len(known) < LEAST_WORDS:
-            return None
-        return sum(b * w for b, w in known) / sum(w for _, w in known)
+    def sentences(self, text: str) -> list[float]:
+        """Level of each sentence or line with at least LEAST_WORDS known words."""
+        low = plain_repair(text).lower()
+        if "://" in low or "www." in low:
+            low = ADDRESS.sub(" ", low)
+        get, out = self.words.get, []
+        known, above, below = 0, 0.0, 0.0
+        for t in PIECE.findall(low):
+            bw = get(t)
+            if bw is not None:
+                known += 1
+                above += bw[0]
+                below += bw[1]
+            elif t[0] in BREAKS:
+                if known >= LEAST_WORDS:
+                    out.append(above / below)
+                known, above, below = 0, 0.0, 0.0
+        if known >= LEAST_WORDS:
+            out.append(above / below)
+        return out
+
+    @cached_property
+    def signs(self):
+        """Finds the words that are harder than the bound of level 3, with their lengths."""
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for w, (above, below) in self.words.items():
+            if above > self.high * below:
+                a.add_word(w, len(w))
+        a.make_automaton()
+        return a
+
+    def has_sign(self, low: str) -> bool:
+        """Whether a text may hold such a word: short ones must stand for themselves."""
+        if not len(self.signs):
+            return False
+        for end, n in self.signs.iter(low):
+            if n > 6 or not (low[end - n : end - n + 1].isalnum() and end >= n or low[end + 1 : end + 2].isalnum()):
+                return True
+        return False
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "signs"}
+
+    def hard(self, text: str) -> bool:
+        """Whether most sentences are at level 3. A mean beyond the bound needs a word beyond
+        it, so a text that holds none of those words is settled by one linear search."""
+        if not self.has_sign(plain_repair(text).lower()):
+            return False
+        n, _, _, high = self.shares(text)
+        return n > 0 and high > 0.5
 
     def shares(self, text: str) -> tuple[int, float, float, float]:
         """(sentences judged, mean level, share above ``low``, share above ``high``)."""
-        got = [x for x in map(self.sentence, sentences(plain_repair(text))) if x is not None]
-        if not got:
+        got = self.sentences(text)
+        n = len(got)
+        if not n:
             return 0, 0.0, 0.0, 0.0
-        x = np.array(got)
-        return len(got), float(x.mean()), float((x > self.low).mean()), float((x > self.high).mean())
+        return n, sum(got) / n, sum(x > self.low for x in got) / n, sum(x > self.high for x in got) / n
 
 
 def tokens(text: str) -> list[str]:
-    return [w for w in map(str.lower, WORD.findall(ADDRESS.sub(" ", text))) if not w.isdigit()]
+    """Words of a text in lower case, without numbers and addresses."""
+    low = text.lower()
+    if "://" in low or "www." in low:
+        low = ADDRESS.sub(" ", low)
+    return [w for w in WORD.findall(low) if not w.isdigit()]
 
 
 def reviewed(documents: DataFrame, labels: DataFrame, lang: str = "en") -> DataFrame:
@@ -101,7 +157,8 @@ def fit(texts: DataFrame) -> Levels:
         level = stage(mean.select("doc_id", "level", (F.col("t") - (F.col("g") + ANCHOR * (F.col("t") - F.col("level"))) / (F.col("h") + ANCHOR)).alias("t")), "levels")
     spread = met.join(level, "doc_id").groupBy("word").agg(F.count("*").alias("texts"), (F.sum(F.col("n") * F.col("t") * F.col("t")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("t")) / F.sum("n"), F.lit(2))).alias("v"))
     kept = words.join(spread, "word").where("texts >= 2").orderBy(F.desc("texts"), "word").limit(MOST_WORDS).collect()
-    model = Levels({r["word"]: (float(r["b"]), 1.0 / (max(0.0, float(r["v"])) + 0.05)) for r in kept}, 0.0, 0.0)
+    weight = {r["word"]: 1.0 / (max(0.0, float(r["v"])) + 0.05) for r in kept}
+    model = Levels({r["word"]: (float(r["b"]) * weight[r["word"]], weight[r["word"]]) for r in kept}, 0.0, 0.0)
     bounds = calibrated(texts, model)
     model.low, model.high = bounds
     return model
@@ -118,7 +175,7 @@ def calibrated(texts: DataFrame, model: Levels) -> tuple[float, float]:
         right = np.zeros((2, len(grid)))
         for b in batches:
             for t, level in zip(b["text"], b["level"]):
-                got = [x for x in map(m.sentence, sentences(plain_repair(t))) if x is not None]
+                got = m.sentences(t)
                 if got:
                     over = (np.array(got)[:, None] > grid[None, :]).mean(0) > 0.5
                     right[0] += over == (level > -0.5)
@@ -156,3 +213,15 @@ def levels(documents: DataFrame, model: Levels) -> DataFrame:
             )
 
     return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, mean_level double, level int")
+
+
+def hard(documents: DataFrame, model: Levels) -> DataFrame:
+    """(doc_id) of the documents at level 3: the same as ``levels`` says, found sooner."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for b in batches:
+            yield b.loc[[bool(t) and m.hard(t) for t in b["text"]], ["doc_id"]]
+
+    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long")
