@@ -146,10 +146,13 @@ class Model:
                 new = self.score(text)
                 up = (new if new is not None else -8.0) - raw
                 if kind == "utf-8" and not ARABIC.search(token):
-                    if up >= 0 and "\ufffd" not in text:
-                        up += BETTER  # the exact check: all of it is in sequence form and decodes
-                    elif all(c in self.letters and any(len(u) > 2 for u in many) or unicodedata.category(c)[0] in "PSZ" for c in text if c > "\x7f") and "\ufffd" not in text:
-                        up = max(up, BETTER)  # marks too rare for bigrams, in a form that is no accident
+                    beyond = [c for c in text if c > "\x7f"]
+                    marks = all(unicodedata.category(c)[0] in "PSZ" for c in beyond)
+                    known = all(c in self.letters or unicodedata.category(c)[0] in "PSZ" for c in beyond)
+                    # The exact check: all of it is in sequence form and decodes to letters of the
+                    # corpus; three bytes in that form, or marks too rare for bigrams, are no accident.
+                    if known and (up >= 0 or marks or any(len(u) > 2 for u in many)):
+                        up = max(up, 0.0) + BETTER
                 if up >= BETTER and up > gain:
                     best, gain = (text, f"{page} {kind}"), up
             if best:
@@ -301,7 +304,8 @@ def vocabulary(values: DataFrame) -> DataFrame:
             for v in b["value"]:
                 if v and not v.isascii():
                     seen.update(TOKEN.findall(v))
-            yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
 
     return values.select("value").mapInPandas(body, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -319,7 +323,8 @@ def fit(values: DataFrame) -> Model:
                 s = " " + "".join(map(folded, t)) + " "
                 for i in range(len(s) - 1):
                     seen[s[i : i + 2]] += n
-        yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
 
     counted = stage(words.mapInPandas(bigrams, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
     chars = counted.select(F.substring("pair", 1, 1).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_CHARS).collect()
@@ -350,6 +355,8 @@ def fit(values: DataFrame) -> Model:
                         if u > b"\x7f" or v > b"\x7f":
                             seen[page, kind, u.hex(), v.hex()] += n
         keys = list(seen)
+        if not keys:
+            return
         yield pd.DataFrame({"page": [k[0] for k in keys], "kind": [k[1] for k in keys], "a": [k[2] for k in keys], "b": [k[3] for k in keys], "n": list(seen.values())})
 
     classes: dict[tuple[str, str], dict[tuple[bytes, bytes], float]] = defaultdict(dict)
@@ -396,6 +403,8 @@ def restore(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 _HINT = re.compile("[\x80-\x9f\u0400-\u04ff├┬Γ√]|[ÂÃâÐØÙÚÛÇÑ][^a-z ]|[ظطعغ][^\u0600-\u06ff\u200c\\s\\w.,:;!?()-]")
+# Any match of the above begins with one of these: a quick look first.
+_HINT_START = re.compile("[\x80-\x9f\u0400-\u04ff├┬Γ√ÂÃâÐØÙÚÛÇÑظطعغ]")
 _plain: dict[str, str] = {}
 
 
@@ -427,7 +436,7 @@ def plain_repair(text: str) -> str:
     """Undo UTF-8 read under a wrong page where bytes decode exactly, and Arabic script read as
     another single-byte page; for operators that must not stumble over garbled spots. Needs
     no corpus. Text without such spots comes back as it is."""
-    if text.isascii() or not _HINT.search(text):
+    if text.isascii() or not _HINT_START.search(text) or not _HINT.search(text):
         return text
 
     def one(m: re.Match) -> str:

@@ -215,6 +215,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Profiles:
                     if t[i] != " ":
                         k = (lang, t[i - 1 : i + 2])
                         seen[k] = seen.get(k, 0) + 1
+            if not seen:
+                continue
             yield pd.DataFrame({"l": [k[0] for k in seen], "g": [k[1] for k in seen], "n": list(seen.values())})
 
     counted = stage(picked.select("l", "text").mapInPandas(trigrams, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")), "trigrams")
