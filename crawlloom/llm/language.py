@@ -28,7 +28,7 @@ from crawlloom.session import stage
 #: Trigrams of a profile, and texts a language's profile is made from at most (by hash of id).
 PROFILE, SAMPLE = 500, 400
 #: Letters a stretch needs to be told, and the least confidence for it to count in a mixture.
-LEAST_LETTERS, SURE = 14, 0.12
+LEAST_LETTERS, SURE = 9, 0.12
 #: Stretches of another language that make a document a mixture.
 MIXED_SENTENCES = 2
 
