@@ -11,6 +11,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crawlloom.functions.urls import normal_form
 
@@ -223,6 +224,89 @@ def custom_regex(html: Column | str, rules: dict[str, tuple[str, int]]) -> list[
     return out
 
 
+_STEP = re.compile(r"([\w-]+|\*)?((?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\])*)$")
+_PART = re.compile(r"#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]")
+
+
+def selector(css: str) -> list | None:
+    """Steps of a selector of tags, #ids, .classes, [attributes] and descendants; None if it is another."""
+    out = []
+    for step in css.split():
+        m = _STEP.match(step)
+        if not m:
+            return None
+        out.append(((m.group(1) or "*").lower(), [p.groups() for p in _PART.finditer(m.group(2) or "")]))
+    return out or None
+
+
+class Selected(HTMLParser):
+    """Text, or an attribute, of the elements that a selector picks."""
+
+    def __init__(self, steps: list, attribute: str | None) -> None:
+        super().__init__(convert_charrefs=True)
+        self.steps, self.attribute = steps, attribute
+        self.open: list[tuple[str, dict]] = []
+        self.taking: list[tuple[int, list[str]]] = []
+        self.found: list[str] = []
+
+    @staticmethod
+    def fits(step: tuple, tag: str, a: dict) -> bool:
+        if step[0] not in ("*", tag):
+            return False
+        return all(a.get("id") == i if i else c in a.get("class", "").split() if c else k in a and (v is None or a[k] == v) for i, c, k, v in step[1])
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in reversed(attrs)}
+        if self.fits(self.steps[-1], tag, a):
+            want = list(self.steps[:-1])
+            for t, b in reversed(self.open):
+                if want and self.fits(want[-1], t, b):
+                    want.pop()
+            if not want:
+                if self.attribute:
+                    self.found.append(a.get(self.attribute, ""))
+                elif tag not in VOID:
+                    self.taking.append((len(self.open), []))
+        if tag not in VOID:
+            self.open.append((tag, a))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in [t for t, _ in self.open]:
+            return
+        while self.open:
+            gone = self.open.pop()[0]
+            while self.taking and self.taking[-1][0] == len(self.open):
+                self.found.append(" ".join("".join(self.taking.pop()[1]).split()))
+            if gone == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        for _, parts in self.taking:
+            parts.append(data)
+
+
+def custom_css(html: Column | str, css: str, attribute: str | None = None, every: bool = False) -> Column:
+    """The first element's text or attribute, or all joined by ' | '; '' where there is none or
+    the selector is of another kind."""
+    steps = selector(css)
+
+    @F.pandas_udf(StringType())
+    def picked(pages: pd.Series) -> pd.Series:
+        def one(h: str | None) -> str:
+            if not h or not steps:
+                return ""
+            p = Selected(steps, attribute)
+            p.feed(h)
+            for t in reversed([t for t, _ in p.open]):
+                p.handle_endtag(t)
+            got = [x for x in p.found if x]
+            return (" | ".join(got) if every else got[0]) if got else ""
+
+        return pages.map(one)
+
+    return picked(F.col(html) if isinstance(html, str) else html)
+
+
 def headers(h: Column | str) -> list[Column]:
     """Columns from a header map<string,string>, names in any case."""
     c = F.col(h) if isinstance(h, str) else h

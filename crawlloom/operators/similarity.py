@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.functions.text import hamming, simhash
@@ -15,6 +17,28 @@ def band_count(bands: int, distance: int, bits: int = 64) -> int:
     return next(b for b in range(wanted, bits + 1) if bits % b == 0)
 
 
+def bucket_keys(print_: str, distance: int, bands: int) -> Column:
+    """array<struct<band, value>>: two fingerprints within ``distance`` share one of these.
+
+    Up to distance 4 the bits are cut into distance + 3 blocks, three of which must agree: keys
+    of some 32 bits, so buckets stay small among thousands of millions of texts. Beyond that,
+    bands by the pigeonhole principle.
+    """
+
+    def bits(lo: int, hi: int) -> Column:
+        return F.shiftrightunsigned(print_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+
+    if distance <= 4:
+        n = distance + 3
+        cuts = [i * 64 // n for i in range(n + 1)]
+        agree = list(combinations(range(n), 3))
+        values = [F.xxhash64(*[bits(cuts[i], cuts[i + 1]) for i in c]) for c in agree]
+    else:
+        n = band_count(bands, distance)
+        values = [bits(i * (64 // n), (i + 1) * (64 // n)) for i in range(n)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), v.alias("value")) for i, v in enumerate(values)])
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, distance: int = 3, bands: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of near-duplicate texts.
 
@@ -23,13 +47,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, distance: int = 3, ban
     class_b, distance, similarity) of different classes within ``distance`` bits, each once,
     whichever bands match. No bucket is capped.
     """
-    n = band_count(bands, distance)
-    width = 64 // n
     prints = stage(simhash(docs.select(key, text), key, text).where("simhash is not null"), "prints")
     classes = stage(prints.groupBy("simhash").agg(F.min(key).alias("class_id")), "classes")
     members = prints.join(classes, "simhash").select(key, "class_id")
-    mask = F.lit((1 << width) - 1).cast("long")
-    cuts = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("simhash", b * width).bitwiseAND(mask).alias("value")) for b in range(n)])
+    cuts = bucket_keys("simhash", distance, bands)
     cut = classes.select("class_id", "simhash", F.explode(cuts).alias("c")).select("class_id", "simhash", "c.*")
     a, b = cut.alias("a"), cut.alias("b")
     near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.class_id") < F.col("b.class_id")) & (hamming("a.simhash", "b.simhash") <= distance))

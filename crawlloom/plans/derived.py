@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crawlloom.functions import html, urls
 from crawlloom.operators import content, logs, similarity
 from crawlloom.plans.audit import HALF, HOST, NOW, PATH, PATHKEY, links, now
 from crawlloom.sources import importers, readers
+from crawlloom.session import shared_dir
 from crawlloom.sources.safety import is_safe
+from crawlloom.streaming import logs as streams
 from crawlloom.tables import table
 
 Q: dict = {}
@@ -194,9 +198,6 @@ def log_board(s, d):
     return logs.log_board(logs.budget(logs.parsed(_lines(s, d))), scored)
 
 
-_SHINGLES = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\p{M}_\\x{0600}-\\x{06FF}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
-
-
 @query()
 def near_duplicate_docs(s, d):
     """Pairs of classes of near-equal texts; see also near_duplicate_members."""
@@ -270,3 +271,26 @@ def pattern_filter(s, d):
 @query("SELECT DISTINCT to_url AS url, regexp_matches(lower(to_url), '^https?://[^/?#]') AS safe FROM links")
 def safe_addresses(s, d):
     return table(s, d, "links", "to_url").distinct().select(F.col("to_url").alias("url"), is_safe(F.col("to_url")).alias("safe"))
+
+
+@query(f"WITH {_HITS}, {_BUD} SELECT * FROM bud")
+def log_stream(s, d):
+    """The crawl budget as a stream over files of lines, read until they are used up."""
+    root = f"{shared_dir(s)}/log-stream-{uuid.uuid4().hex}"
+    _lines(s, d).repartition(4).write.text(f"{root}/lines")
+    out = streams.running_budget(streams.log_lines(s, f"{root}/lines", 2)).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state")
+    out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/budget")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{root}/budget")
+
+
+@query()
+def throttle_state(s, d):
+    """Delay after every event of a host, the events arriving as a stream."""
+    root = f"{shared_dir(s)}/throttle-{uuid.uuid4().hex}"
+    e = table(s, d, "events", "event_id", "user_id", "value")
+    codes = F.array(*map(F.lit, (200, 200, 429, 503, 404)))
+    e.select((F.col("user_id") % 40).cast("string").alias("host"), "event_id", codes[(F.col("event_id") % 5).cast("int")].alias("status_code"), (F.coalesce("value", F.lit(0.0)) * 50).alias("ms")).write.parquet(f"{root}/events")
+    rows = s.readStream.schema("host string, event_id long, status_code int, ms double").parquet(f"{root}/events")
+    out = streams.throttled(rows).writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").format("parquet").option("path", f"{root}/delays")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("host string, event_id long, delay double").parquet(f"{root}/delays")
