@@ -198,13 +198,18 @@ def log_board(s, d):
     return logs.log_board(logs.budget(logs.parsed(_lines(s, d))), scored)
 
 
-@query()
+_FP = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\x{0600}-\\x{06FF}]+'), lambda x: x <> '') AS w FROM documents),
+  sh AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) >= 10), h AS (SELECT doc_id, ('0x' || substr(md5(s), 17, 16))::UBIGINT AS h FROM sh),
+  bits AS (SELECT doc_id, i, CASE WHEN sum((h >> i::UBIGINT) & 1) * 2 > count(*) THEN 1 ELSE 0 END AS b FROM h, generate_series(0, 63) t(i) GROUP BY doc_id, i), fp AS (SELECT doc_id, sum(b::HUGEINT << i::INT)::UBIGINT AS f FROM bits GROUP BY doc_id), cls AS (SELECT f, min(doc_id) AS class_id FROM fp GROUP BY f)"""
+
+
+@query(f"WITH {_FP} SELECT a.class_id AS class_a, b.class_id AS class_b, bit_count(xor(a.f, b.f))::INT AS distance, {HALF('(64 - bit_count(xor(a.f, b.f))) / 64.0::DOUBLE * 100', 1)} AS similarity FROM cls a JOIN cls b ON a.class_id < b.class_id AND bit_count(xor(a.f, b.f)) <= 3")
 def near_duplicate_docs(s, d):
     """Pairs of classes of near-equal texts; see also near_duplicate_members."""
     return similarity.near_duplicates(table(s, d, "documents", "doc_id", "text"), "doc_id", "text")[0]
 
 
-@query()
+@query(f"WITH {_FP} SELECT doc_id, class_id FROM fp JOIN cls USING (f)")
 def near_duplicate_members(s, d):
     return similarity.near_duplicates(table(s, d, "documents", "doc_id", "text"), "doc_id", "text")[1]
 
