@@ -84,7 +84,17 @@ _WALK = f"""WITH RECURSIVE {_PARENTS},
     FROM walk w JOIN parents p ON p.url = w.up WHERE p.parent IS NOT NULL AND NOT w.looped),
   ends AS (SELECT url, arg_max(up, depth) AS root, max(depth) AS depth, arg_max(path, depth) AS path, bool_or(looped) AS looped FROM walk GROUP BY url)"""
 
+_CASCADE = f"""WITH RECURSIVE newest AS (SELECT url, arg_max(struct_pack(c := canonical, t := ingested_at, run := run_id), struct_pack(a := crawled_at, b := page_id)) AS r FROM pages WHERE url IS NOT NULL GROUP BY url),
+  par0 AS MATERIALIZED (SELECT url, CASE WHEN r.c IS NULL OR r.c = '' THEN NULL ELSE {normal_form_sql('r.c')} END AS parent, r.t AS t, r.run AS run_id FROM newest), par AS MATERIALIZED (SELECT url, parent AS ref, t, run_id FROM par0 WHERE parent <> url),
+  first AS MATERIALIZED (SELECT url FROM par r WHERE NOT {_LIVE}), orph AS (SELECT url, 1 AS level FROM first UNION ALL SELECT p.url, o.level + 1 FROM par p JOIN orph o ON p.ref = o.url WHERE p.url NOT IN (SELECT url FROM first)),
+  refs AS (SELECT 'links' AS table_name, run_id, 'from_url' AS ref_field, from_url AS ref, loaded_at AS t FROM links UNION ALL SELECT 'links', run_id, 'to_url_normalized', coalesce(to_url_normalized, {normal_form_sql('to_url')}), loaded_at FROM links WHERE is_internal AND NOT is_special_link
+    UNION ALL SELECT 'headings', run_id, 'page_url', page_url, loaded_at FROM headings UNION ALL SELECT 'images', run_id, 'page_url', page_url, loaded_at FROM images),
+  told AS (SELECT *, NOT {_LIVE} AS direct, ref IN (SELECT url FROM orph) AS heir FROM refs r WHERE ref IS NOT NULL)
+  SELECT table_name, run_id, ref_field, count(*) AS n_refs, count(*) FILTER (direct) AS n_direct, count(*) FILTER (NOT direct AND heir) AS n_inherited FROM told GROUP BY ALL
+  UNION ALL SELECT 'pages', run_id, 'canonical', count(*), count(*) FILTER (level = 1), count(*) FILTER (level > 1) FROM par LEFT JOIN orph USING (url) GROUP BY run_id"""
+
 ORACLE = {
+    "p4_report": _CASCADE,
     "p4_found": f"""SELECT 'links' AS table_name, record_id, ref_field FROM (
         SELECT id AS record_id, from_url AS ref, loaded_at AS t, 'from_url' AS ref_field FROM links
         UNION ALL SELECT id, coalesce(to_url_normalized, {normal_form_sql('to_url')}), loaded_at, 'to_url_normalized' FROM links WHERE is_internal AND NOT is_special_link) r WHERE ref IS NOT NULL AND NOT {_LIVE}
