@@ -4,7 +4,8 @@ Method: Sainte-Lague apportionment. The mixture is cut into equal blocks of toke
 to sources by the highest quotients share / (2k + 1), one after the other, which gives every
 source, and every shard of the output, an integer quota. Documents of a source stand in a
 seeded order; its k-th block is the k-th stretch of that order, which starts again from the
-front where a source is repeated.
+front where a source is repeated. A document belongs to the block its middle falls in, so a
+source misses its quota by half a document at most.
 
 The driver sees the number of tokens of each source and of each bucket of a source; the
 running sums that tell a document's block are taken within a bucket and shifted by the
@@ -84,7 +85,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, blocks: int = 2_00
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = docs.withColumn("upto", F.sum("n").over(within)).join(offsets, ["source", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - F.col("n"))
     uses = placed.join(facts, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)))
-    uses = uses.withColumn("k", F.expr(f"cast((pass * have + start) div {block} as int)")).where("k < quota")
+    uses = uses.withColumn("k", F.expr(f"cast((pass * have + start + n div 2) div {block} as int)")).where("k < quota")
     return uses.join(seat, ["source", "k"]).select("shard", "block", "source", "doc_id", "pass", F.col("n").alias("n_tokens"))
 
 
