@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlloom.session import stage
 
+#: Levels of a breadth-first search after which what is known is written as one.
+MERGED = 16
+
 
 def rounded(c: Column, digits: int) -> Column:
     """Half up on the scaled double: the same in any engine with IEEE arithmetic."""
@@ -42,19 +47,21 @@ def link_score(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
     return rank.join(top, F.lit(True)).select("url", rounded(F.col("pr") / F.col("top") * 100, 2).alias("score"), rounded(F.col("pr"), 8).alias("raw"), "in_degree", "out_degree")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_depth: int = 8) -> DataFrame:
-    """(url, depth): breadth-first distance from ``seeds`` (url) over ``edges`` (src, dst): each
-    round joins the frontier only, and drops what is known by an anti join."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(url, depth): breadth-first distance from ``seeds`` (url) over ``edges`` (src, dst), until
+    nothing new is found: each round joins the frontier only, and drops what is known by an anti
+    join. What is known is staged anew every ``MERGED`` levels, so plans stay small."""
     edges = stage(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     frontier = stage(seeds.select("url").distinct().select("url", F.lit(0).alias("depth")), "frontier")
     found = frontier
-    for d in range(1, most_depth + 1):
+    for d in count(1):
         nxt = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = stage(nxt.join(found.select("url"), "url", "left_anti").select("url", F.lit(d).alias("depth")), "frontier")
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionAll(frontier)
-    return found
+        if d % MERGED == 0:
+            found = stage(found, "found")
 
 
 def redirect_chains(hops: DataFrame) -> DataFrame:

@@ -72,6 +72,12 @@ def test_reachable(spark):
     assert got == {"a": 0, "b": 1, "c": 2}
 
 
+def test_reachable_follows_long_chains(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", "n0")], "src string, dst string")
+    got = {r.url: r.depth for r in graph.reachable(edges, spark.createDataFrame([("n0",)], "url string")).collect()}
+    assert got == {f"n{i}": i for i in range(21)}
+
+
 def test_canonicals(spark):
     rows = [("https://e.com/a", 200, True, "https://e.com/b"), ("https://e.com/b", 200, True, "https://e.com/a"), ("https://e.com/c", 200, True, ""), ("https://e.com/d", 404, False, "https://e.com/d"), ("https://e.com/f", 200, True, "https://o.org/")]
     got = {(r.url[-1], r.issue) for r in pages.canonical_audit(spark.createDataFrame(rows, "url string, status_code int, is_indexable boolean, canonical string")).collect()}
