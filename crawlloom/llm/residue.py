@@ -6,6 +6,11 @@ unfilled placeholders, null values, filler, error or access messages, or notices
 are needed. Evidence must stand for itself: quoted text, and sentences about templates, are
 none, and messages count only where little else remains.
 
+A recurrent line that is evidence itself isn't boilerplate: a field, filler or error message
+stays however many records have it. A notice about scripts (or a null value) recurs on sound
+pages as well, so it counts if hardly any words of the record's own, or recurrent sentences,
+stand beside it.
+
 Counting shuffles 20 bytes a line, combined before the shuffle; boilerplate is joined by host
 and line, never broadcast, and texts are judged in place.
 """
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlloom.functions.urls import host
-from crawlloom.llm.clauses import WORD, units
+from crawlloom.llm.clauses import TERMINATORS, WORD, units
 from crawlloom.llm.encoding import plain_repair
 from crawlloom.session import stage
 
@@ -29,6 +34,8 @@ from crawlloom.session import stage
 RECURRENT_SHARE, RECURRENT_RECORDS = 0.2, 5
 #: Words beside error messages or script notices up to which they stand in place of content.
 FEW_WORDS = 14
+#: Words beside a recurrent script notice up to which the record is no more than that notice.
+OWN_WORDS = 5
 
 # How template engines mark a field; then names of fields, for single brackets.
 PLACEHOLDER = re.compile(
@@ -183,6 +190,33 @@ def evidence(text: str, is_field: bool = False) -> str | None:
     return kind if telling and words <= FEW_WORDS else None
 
 
+@lru_cache(maxsize=4096)
+def line_evidence(line: str) -> str | None:
+    """``evidence`` of a line that recurs, judged once in a process."""
+    return evidence(line)
+
+
+def without_boilerplate(text: str, recurrent: set[int]) -> str | None:
+    """The kind of residue of a text, after recurrent lines that show none are left out."""
+    rest, notices, own = [], [], 0
+    for x in text.split("\n"):
+        if not x or x.isspace():
+            rest.append(x)
+            continue
+        known = line_key(x) in recurrent
+        if known and (kind := line_evidence(x)):
+            (notices if kind in ("scripts", "null") else rest).append(x)
+            continue
+        if not known:
+            rest.append(x)
+        if own <= OWN_WORDS and not (known and x.rstrip()[-1] not in TERMINATORS):
+            own += len(WORD.findall(WAY_BACK.sub(" ", x.lower())))
+    kind = evidence("\n".join(rest))
+    if kind is None and notices and own <= OWN_WORDS:
+        return evidence("\n".join(notices)) or line_evidence(notices[0])
+    return kind
+
+
 _DIGIT = re.compile("[0-9]")
 
 
@@ -232,9 +266,9 @@ def residue(documents: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
             kinds = []
             for t, d in zip(b["text"], b["drop"]):
                 if d is not None and len(d):
-                    gone = set(map(int, d))
-                    t = "\n".join(x for x in t.split("\n") if not x or x.isspace() or line_key(x) not in gone)
-                kinds.append(evidence(t) if t else None)
+                    kinds.append(without_boilerplate(t, set(map(int, d))))
+                else:
+                    kinds.append(evidence(t) if t else None)
             out = pd.DataFrame({"id": b["id"], "kind": kinds})
             yield out[out["kind"].notna()]
 

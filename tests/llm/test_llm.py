@@ -188,6 +188,17 @@ def test_boilerplate_is_subtracted(spark):
     assert got == {99: "error", 100: "scripts"}
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [("Page not found", "error"), ("Please enable JavaScript to view this page.", "scripts"), ("Lorem ipsum dolor sit amet.", "filler"), ("Dear {{ first_name }}, welcome.", "placeholder"), ("undefined", "null")],
+)
+def test_copied_residue_is_no_boilerplate(spark, line, kind):
+    rows = [(i, "h", f"{line}\nRef: {i:04x}") for i in range(8)] + [(i, "h", f"{PLAIN} Text {i}.") for i in range(8, 20)]
+    rows += [(i, "all", f"Menu\nContact\n{line}") for i in range(20, 40)]
+    got = {r.id: r.kind for r in residue.residue(spark.createDataFrame(rows, "id long, host string, text string")).collect()}
+    assert got == {i: kind for i in [*range(8), *range(20, 40)]}
+
+
 def test_residue_of_nothing(spark):
     assert residue.residue(spark.createDataFrame([], "id long, host string, text string")).count() == 0
 
