@@ -118,14 +118,14 @@ FILLER_HINTS = (
     "|uw tekst|je tekst|voorbeeldtekst|voeg een|هذا نص|أضف النص|اكتب وصف|متن آزمایشی|متن خود"
 )
 MESSAGE_HINTS = (
-    "javascript|scripts|skript|جافاسكربت|السكربتات|جاوااسکریپت|اسکریپت|switch it on|checking your browser|went wrong|not exist|not found|nothing here|denied|forbidden|bad gateway|gateway time"
+    "javascript|scripts|skript|جافاسكربت|السكربتات|جاوااسکریپت|اسکریپت|on script|switch it on|checking your browser|went wrong|not exist|not found|nothing here|denied|forbidden|bad gateway|gateway time"
     "|server error|unavailable|too many requests|slow down|has expired|sign in again|suspended|maintenance|database connection|backend fetch|unexpected|seite nicht|zugriff|serverfehler|wartungsarbeiten"
     "|introuvable|refusé|erreur interne|no encontrada|no existe|denegado|error interno|mantenimiento|não encontrada|não existe|negado|erro interno|manutenção|niet gevonden|geweigerd|serverfout|onderhoud"
     "|خطأ في|غير موجودة|تعذر|صلاحية|الصيانة|پیدا نشد|خطای داخلی|دسترسی|در حال تعمیر|existe plus|existiert nicht|gibt es nicht|bestaat niet"
 )
 FIELD_SIGNS = ("{", "[", "%", "@@", "__", "<?", "*|")
-#: Characters up to which a text can be nothing but a null value, or a message and little else.
-NULL_CHARS, MESSAGE_CHARS = 60, 900
+#: Characters up to which a text can be nothing but a null value.
+NULL_CHARS = 60
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +139,18 @@ def _hints():
         a.make_automaton()
         return a
 
-    return automaton(FILLER_HINTS), automaton(MESSAGE_HINTS)
+    latin = "|".join(sorted(LOREM_STEMS | {w for w in LOREM if len(w) == 4}))
+    return automaton(FILLER_HINTS), automaton(MESSAGE_HINTS), automaton(latin)
+
+
+def _latin(low: str, signs) -> bool:
+    """Whether a text in lower case has the words that ``is_lorem`` asks of one of its units: three
+    in all, two of them with four letters; without quotes, also two that stand together."""
+    found = signs.iter(low)
+    if next(found, None) is None or next(found, None) is None:
+        return False
+    hits = [w in LOREM or len(w) >= 5 and w[:5] in LOREM_STEMS for w in WORD.findall(low)]
+    return sum(hits) >= 3 and (any(q in low for q in "“„«\"‘") or any(a and b for a, b in zip(hits, hits[1:])))
 
 
 def possible(text: str) -> bool:
@@ -147,10 +158,8 @@ def possible(text: str) -> bool:
     if len(text) < NULL_CHARS or any(s in text for s in FIELD_SIGNS) and PLACEHOLDER.search(text):
         return True
     low = text.lower()
-    filler, messages = _hints()
-    if any(True for _ in filler.iter(low)) or len(text) < MESSAGE_CHARS and any(True for _ in messages.iter(low)):
-        return True
-    return len(LOREM.intersection(low.split())) >= 2 or len(text) < 2 * NULL_CHARS and is_lorem(text)
+    filler, messages, latin = _hints()
+    return any(True for _ in filler.iter(low)) or any(True for _ in messages.iter(low)) or _latin(low, latin)
 
 
 def evidence(text: str, is_field: bool = False) -> str | None:

@@ -176,6 +176,16 @@ def test_evidence(text, kind):
     assert residue.evidence(text) == kind
 
 
+@pytest.mark.parametrize("line, kind", [("Please enable JavaScript to view this page.", "scripts"), ("Page not found", "error"), ("Turn on script.", "scripts"), ("Loremque ipsumque doloremque sitamet.", "filler")])
+def test_evidence_of_any_length(line, kind):
+    assert residue.evidence(line) == kind
+    assert residue.evidence((line + "\n") * (5000 // len(line))) == kind
+
+
+def test_filler_of_stems_in_long_text():
+    assert residue.evidence(PLAIN * 5 + " Loremque, ipsumque, doloremque. " + PLAIN) == "filler"
+
+
 @pytest.mark.parametrize("title, kind", [("Untitled-3", "null"), ("null - Barqui", "null"), ("(403) Access denied | Barqui", "error"), ("Access denied to crawlers: what the log shows", None), ("How to fix 404 errors step by step", None), ("%%site_name%%", "placeholder")])
 def test_titles(title, kind):
     assert residue.evidence(title, True) == kind
