@@ -107,8 +107,9 @@ def bare(unit: str, words: list[str]) -> list[int]:
 
 def measure(text: str) -> tuple[int, float, float, float, int]:
     """(words, share of characters without clauses, of those repeated, of those in addresses,
-    words without clauses); addresses count as text without clauses, unfilled fields not at
-    all. What is in doubt counts as without clauses if phrases of it keep coming back."""
+    words without clauses); each address is a word, and addresses count as text without clauses,
+    unfilled fields not at all. What is in doubt counts as without clauses if phrases of it keep
+    coming back."""
     text = plain_repair(text)
     if any(sign in text for sign in FIELD_SIGNS):
         text = PLACEHOLDER.sub(" ", text)
@@ -116,22 +117,24 @@ def measure(text: str) -> tuple[int, float, float, float, int]:
     addressed = "://" in text or "www." in text
     words: list[str] = []
     state: list[int] = []
-    address_chars = 0
+    addresses = 0
     for unit in units(text):
         found = ADDRESS.findall(unit) if addressed else ()
         if found:
-            address_chars += ADDRESS_CHARS * len(found)
+            addresses += len(found)
             unit = ADDRESS.sub(" ", unit)
         own = WORD.findall(unit)
         words += own
         # A few words beside an address are its label, not a sentence.
         state += [1] * len(own) if found and len(own) <= 6 * len(found) else bare(unit, own)
     chars = sum(map(len, words))
+    address_chars = ADDRESS_CHARS * addresses
     if not chars and not address_chars:
         return 0, 0.0, 0.0, 0.0, 0
     reach = repeated(words)
     if not any(state) and not address_chars:
         return len(words), 0.0, 0.0, 0.0, 0
+    n_words = len(words) + addresses
     need = pair = phrases = 0
     covered = [False] * len(words)
     for i in range(len(words) - 1, -1, -1):
@@ -145,7 +148,7 @@ def measure(text: str) -> tuple[int, float, float, float, int]:
     bare_chars = sum(len(w) for w, b in zip(words, is_bare) if b)
     held = sum(len(w) for w, b, c in zip(words, is_bare, covered) if b and c)
     without = bare_chars + address_chars
-    return len(words), without / (chars + address_chars), (held + address_chars) / without if without else 0.0, address_chars / (chars + address_chars), sum(is_bare)
+    return n_words, without / (chars + address_chars), (held + address_chars) / without if without else 0.0, address_chars / (chars + address_chars), sum(is_bare)
 
 
 def measures(documents: DataFrame) -> DataFrame:

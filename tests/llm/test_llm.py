@@ -60,6 +60,12 @@ def test_stuffed(spark, text, found):
     assert stuffing.stuffed(docs(spark, [text])).first().found is found
 
 
+def test_bare_list_of_addresses_is_stuffed(spark):
+    addresses = [f"https://e.example/a-{i}" for i in range(200)]
+    texts = ["\n".join(addresses), "\n".join(f"Lamp {a}" for a in addresses[:8]), " ".join(addresses[:3])]
+    assert [r.found for r in stuffing.stuffed(docs(spark, texts)).orderBy("doc_id").collect()] == [True, True, False]
+
+
 def test_stuffed_very_long_and_repeated_rows(spark):
     df = docs(spark, ["garden lamp " * 40_000, PLAIN, PLAIN])
     assert sorted(r.found for r in stuffing.stuffed(df.unionAll(df)).collect()) == [False] * 4 + [True] * 2
