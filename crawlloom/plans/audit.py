@@ -311,7 +311,7 @@ def reachability(s, d):
 
 
 def _hops(s, d):
-    p = table(s, d, "pages", "page_id").where("page_id % 3 = 0")
+    p = table(s, d, "pages", "page_id")
     n = lambda k: F.concat(F.lit("https://r.example/"), F.col("page_id").cast("string"), F.lit(k))
     one = p.select(n("").alias("original_url"), n("").alias("from_url"), n("/a").alias("to_url"), F.lit(301).alias("status_code"))
     two = p.where("page_id % 2 = 0").select(n("").alias("original_url"), n("/a").alias("from_url"), n("/b").alias("to_url"), F.lit(302).alias("status_code"))

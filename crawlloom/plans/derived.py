@@ -53,7 +53,7 @@ def hreflang_audit(s, d):
 
 
 def _entries(s, d):
-    p = table(s, d, "pages", "page_id", "url", "title", "meta_description").where("page_id % 2 = 0")
+    p = table(s, d, "pages", "page_id", "url", "title", "meta_description")
     kind = F.when(F.col("page_id") % 3 == 0, "Article").when(F.col("page_id") % 3 == 1, "Product").otherwise("Thing,Person")
     doc = F.struct(F.col("title").alias("name"), F.col("title").alias("headline"), F.when(F.col("page_id") % 4 == 0, F.lit("i.png")).alias("image"), F.col("meta_description").alias("description"), F.lit("2025-01-01").alias("datePublished"), F.lit("x").alias("author"))
     return p.select(F.col("url").alias("page_url"), kind.alias("type"), F.to_json(doc).alias("raw_data"))
@@ -237,7 +237,7 @@ def html_links(s, d):
 
 
 def _payload(s, d):
-    p = table(s, d, "pages", "page_id", "url").where("page_id % 10 = 0")
+    p = table(s, d, "pages", "page_id", "url")
     audit = lambda score, mode: F.struct(F.lit("t").alias("title"), score.alias("score"), F.lit(mode).alias("scoreDisplayMode"))
     a = F.struct(audit((F.col("page_id") % 100) / 100.0, "numeric").alias("speed"), audit(F.lit(1.0), "binary").alias("https"), audit(F.lit(None).cast("double"), "informative").alias("note"))
     c = F.struct(F.struct(((F.col("page_id") % 100) / 100.0).alias("score")).alias("performance"))

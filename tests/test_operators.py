@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from crawlloom.functions import html
 from crawlloom.functions import text as tx
 from crawlloom.operators import content, graph, issues, logs, pages, scoring, similarity
+from crawlloom.plans import audit, derived
 from crawlloom.sources import importers, readers, sinks
 
 
@@ -183,3 +184,12 @@ def test_headers_rules_and_indexability(spark):
     s = spark.createDataFrame([(200, "noindex", "", "u"), (404, "", "", "u"), (200, "", "v", "u"), (200, None, "u", "u")], "s int, r string, c string, u string")
     got = [tuple(r[0]) for r in s.select(html.indexability(F.col("s"), F.col("r"), F.col("c"), F.col("u"))).collect()]
     assert got == [(False, "Noindex"), (False, "Non-200 status: 404"), (True, "Canonicalised"), (True, "Indexable")]
+
+
+def test_derived_inputs_cover_every_page(spark, small):
+    pages_ = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()
+    urls_ = sorted(r.url for r in pages_)
+    assert sorted(r.url for r in derived.speed_metrics(spark, small).collect()) == urls_
+    assert sorted(r.url for r in derived.lighthouse_failed(spark, small).collect()) == urls_
+    assert sum(r.n for r in derived.schema_validation(spark, small).collect()) == len(urls_)
+    assert {r.original_url for r in audit.redirect_chains(spark, small).collect()} == {f"https://r.example/{r.page_id}" for r in pages_}
