@@ -266,6 +266,38 @@ def told(documents: DataFrame, profiles: Profiles) -> DataFrame:
     return documents.select("id", "text").mapInPandas(body, "id long, langs array<string>, sentences array<long>, lang string, confidence double")
 
 
+def by_language(texts, p: Profiles) -> list[list[tuple[str, str]]]:
+    """The (language, text) parts of each text: the text as it is under its language, and the
+    lines of a mixture by ``document_languages`` under theirs; none where nothing can be told."""
+    stretches: list[str] = []
+    bounds = [0]
+    for t in texts:
+        stretches += sentences(plain_repair(t)) if t else ()
+        bounds.append(len(stretches))
+    langs, sure, letters = p.tell(stretches)
+    out: list[list[tuple[str, str]]] = []
+    for t, lo, hi in zip(texts, bounds, bounds[1:]):
+        counts: dict[str, int] = {}
+        weight: dict[str, float] = {}
+        for lang, s, n in zip(langs[lo:hi], sure[lo:hi], letters[lo:hi]):
+            if lang is not None:
+                weight[lang] = weight.get(lang, 0) + int(n) * (0.01 + s)
+                if s >= SURE:
+                    counts[lang] = counts.get(lang, 0) + 1
+        many = [k for k, n in counts.items() if n >= MIXED_SENTENCES]
+        if len(many) < 2:
+            out.append([(max(weight, key=lambda k: (weight[k], k)), t)] if weight else [])
+            continue
+        parts: dict[str, list[str]] = {k: [] for k in sorted(many)}
+        at = next(k for k, s in zip(langs[lo:hi], sure[lo:hi]) if k in parts and s >= SURE)
+        for i in range(lo, hi):
+            if langs[i] in parts and sure[i] >= SURE:
+                at = langs[i]
+            parts[at].append(stretches[i])
+        out.append([(k, "\n".join(x)) for k, x in parts.items()])
+    return out
+
+
 def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """(id, segment, start, n_chars, lang, confidence): runs of sentences in one language.
 

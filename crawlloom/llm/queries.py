@@ -117,9 +117,10 @@ def _english(docs: DataFrame, profiles: language.Profiles) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Reading level of every document in English only."""
+    """Reading level of every document, by the model of its language; null where none can be told."""
     docs = _documents(spark, d)
-    return reading.levels(docs.join(_english(docs, _profiles(spark, d)), "doc_id", "left_semi"), _model(spark, d))
+    models = reading.fit_each(reading.reviewed_each(docs, table(spark, d, "doc_labels", "doc_id", "reviewed_lang", "reading_level")))
+    return reading.levels_each(docs, models, _profiles(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

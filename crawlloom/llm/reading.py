@@ -21,12 +21,12 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlloom.llm.clauses import ADDRESS, WORD
 from crawlloom.llm.encoding import plain_repair
-from crawlloom.llm.language import label_code
+from crawlloom.llm.language import Profiles, by_language, label_code
 from crawlloom.session import stage
 
 #: Reviewed texts the model is fitted on at most (by hash of doc_id), and words it keeps.
@@ -126,42 +126,70 @@ def reviewed(documents: DataFrame, labels: DataFrame, lang: str = "en") -> DataF
     return documents.select("doc_id", "text").where("text is not null").join(given, "doc_id").dropDuplicates(["doc_id"])
 
 
+def reviewed_each(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lang, doc_id, text, level): ``reviewed`` for every language that reviewers name."""
+    lang = label_code("reviewed_lang").alias("lang")
+    given = labels.where(F.col("reading_level").between(1, 3)).groupBy(lang, "doc_id").agg((F.avg("reading_level") - 2).alias("level")).where("lang is not null")
+    most = {r["lang"]: MOST_TEXTS / r["count"] for r in given.groupBy("lang").count().collect() if r["count"] > MOST_TEXTS}  # a row a language
+    if most:
+        rate = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(most.items()) for x in kv]), F.col("lang")), F.lit(1.0))
+        given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < 1e6 * rate)
+    return documents.select("doc_id", "text").where("text is not null").join(given, "doc_id").dropDuplicates(["lang", "doc_id"])
+
+
 def fit(texts: DataFrame) -> Levels:
     """Estimate from (doc_id, text, level); without texts every level is 2."""
+    return _fitted(texts, []).get(None) or Levels({}, 0.0, 0.0)
+
+
+def fit_each(texts: DataFrame) -> dict[str, Levels]:
+    """A model for each language of (lang, doc_id, text, level), all estimated in the same steps."""
+    return _fitted(texts, ["lang"])
+
+
+def _fitted(texts: DataFrame, by: list[str]) -> dict[str | None, Levels]:
+    """Models by the value of the column named in ``by``, or one model under None."""
     texts = stage(texts, "reviewed")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
+            for *k, t in zip(*(b[c] for c in [*by, "doc_id", "text"])):
                 seen: dict[str, int] = {}
                 for w in tokens(plain_repair(t)):
                     seen[w] = seen.get(w, 0) + 1
-                rows += [(i, w, n) for w, n in seen.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "word", "n"])
+                rows += [(*k, w, n) for w, n in seen.items()]
+            yield pd.DataFrame(rows, columns=[*by, "doc_id", "word", "n"])
 
-    met = stage(texts.select("doc_id", "text").mapInPandas(counts, "doc_id long, word string, n long"), "met")
-    level = texts.select("doc_id", "level", F.col("level").alias("t"))
-    words = met.select("word").distinct().withColumn("b", F.lit(0.0))
+    text, word = [*by, "doc_id"], [*by, "word"]
+    met = stage(texts.select(*text, "text").mapInPandas(counts, "".join(f"{c} string, " for c in by) + "doc_id long, word string, n long"), "met")
+    level = texts.select(*text, "level", F.col("level").alias("t"))
+    words = met.select(*word).distinct().withColumn("b", F.lit(0.0))
 
     def off(t: str, b: str):  # how far meetings are from balance, and its slope
         p = 1 / (1 + F.exp(F.col(b) - F.col(t)))
         return F.col("n") * (p - 0.5), F.col("n") * p * (1 - p)
 
     for _ in range(ROUNDS):
-        joined = met.join(level, "doc_id").join(words, "word")
+        joined = met.join(level, text).join(words, word)
         g, h = off("t", "b")
-        words = stage(joined.groupBy("word", "b").agg(F.sum(g).alias("g"), F.sum(h).alias("h")).select("word", (F.col("b") + (F.col("g") - RIDGE * F.col("b")) / (F.col("h") + RIDGE)).alias("b")), "difficulty")
-        joined = met.join(level, "doc_id").join(words, "word")
-        mean = joined.groupBy("doc_id", "level", "t").agg((F.sum(g) / F.sum("n")).alias("g"), (F.sum(h) / F.sum("n")).alias("h"))
-        level = stage(mean.select("doc_id", "level", (F.col("t") - (F.col("g") + ANCHOR * (F.col("t") - F.col("level"))) / (F.col("h") + ANCHOR)).alias("t")), "levels")
-    spread = met.join(level, "doc_id").groupBy("word").agg(F.count("*").alias("texts"), (F.sum(F.col("n") * F.col("t") * F.col("t")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("t")) / F.sum("n"), F.lit(2))).alias("v"))
-    kept = words.join(spread, "word").where("texts >= 2").orderBy(F.desc("texts"), "word").limit(MOST_WORDS).collect()
-    weight = {r["word"]: 1.0 / (max(0.0, float(r["v"])) + 0.05) for r in kept}
-    model = Levels({r["word"]: (float(r["b"]) * weight[r["word"]], weight[r["word"]]) for r in kept}, 0.0, 0.0)
-    bounds = calibrated(texts, model)
-    model.low, model.high = bounds
-    return model
+        words = stage(joined.groupBy(*word, "b").agg(F.sum(g).alias("g"), F.sum(h).alias("h")).select(*word, (F.col("b") + (F.col("g") - RIDGE * F.col("b")) / (F.col("h") + RIDGE)).alias("b")), "difficulty")
+        joined = met.join(level, text).join(words, word)
+        mean = joined.groupBy(*text, "level", "t").agg((F.sum(g) / F.sum("n")).alias("g"), (F.sum(h) / F.sum("n")).alias("h"))
+        level = stage(mean.select(*text, "level", (F.col("t") - (F.col("g") + ANCHOR * (F.col("t") - F.col("level"))) / (F.col("h") + ANCHOR)).alias("t")), "levels")
+    spread = met.join(level, text).groupBy(*word).agg(F.count("*").alias("texts"), (F.sum(F.col("n") * F.col("t") * F.col("t")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("t")) / F.sum("n"), F.lit(2))).alias("v"))
+    kept = words.join(spread, word).where("texts >= 2")
+    if by:
+        kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("texts"), "word"))).where(F.col("rn") <= MOST_WORDS)
+    else:
+        kept = kept.orderBy(F.desc("texts"), "word").limit(MOST_WORDS)
+    models: dict[str | None, Levels] = {}
+    for r in kept.collect():
+        weight = 1.0 / (max(0.0, float(r["v"])) + 0.05)
+        models.setdefault(r[by[0]] if by else None, Levels({}, 0.0, 0.0)).words[r["word"]] = (float(r["b"]) * weight, weight)
+    for k, model in models.items():
+        model.low, model.high = calibrated(texts.where(F.col(by[0]) == k) if by else texts, model)
+    return models
 
 
 def calibrated(texts: DataFrame, model: Levels) -> tuple[float, float]:
@@ -215,6 +243,36 @@ def levels(documents: DataFrame, model: Levels) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, mean_level double, level int")
 
 
+def levels_each(documents: DataFrame, models: dict[str, Levels], profiles: Profiles) -> DataFrame:
+    """``levels`` of every document, whatever its languages: each text is judged by the model of
+    its language. In a mixture each sentence is, one that can't be told going with those before
+    it. Level is null where no sentence can be judged, also for lack of reviews in a language."""
+    shared = documents.sparkSession.sparkContext.broadcast((models, profiles))
+    names = ["doc_id", "n_sentences", "mean_level", "level"]
+
+    def judged(parts: list[tuple[str, str]], models: dict[str, Levels]) -> tuple:
+        n, total, middle, high = 0, 0.0, 0.0, 0.0
+        for lang, text in parts:
+            if lang in models:
+                k, mean, m, h = models[lang].shares(text)
+                n, total, middle, high = n + k, total + k * mean, middle + k * m, high + k * h
+        if not n:
+            return 0, 0.0, None
+        return n, round(total / n, 4), 3 if 2 * high > n else 2 if 2 * middle > n else 1
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, p = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 512):
+                b = whole.iloc[lo : lo + 512]
+                rows = [(i, *judged(parts, models)) for i, parts in zip(b["doc_id"], by_language(b["text"], p))]
+                out = pd.DataFrame(rows, columns=names)
+                out["level"] = out["level"].astype("Int32")
+                yield out
+
+    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, mean_level double, level int")
+
+
 def hard(documents: DataFrame, model: Levels) -> DataFrame:
     """(doc_id) of the documents at level 3: the same as ``levels`` says, found sooner."""
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -317,6 +317,22 @@ def test_levels_of_held_out_reviews(spark):
     assert len(right) > 200 and sum(right) / len(right) > 0.9
 
 
+def test_levels_of_every_language(spark, profiles):
+    small, large = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+    read = lambda f: reading.reviewed_each(table(spark, f, "documents", "doc_id", "text"), table(spark, f, "doc_labels", "doc_id", "reviewed_lang", "reading_level"))
+    models = reading.fit_each(read(large))
+    assert sorted(models) == "ar de en es fa fr nl pt".split()
+    held = read(small)
+    rows = held.collect()
+    texts = {r.doc_id: r.text for r in rows}
+    mixed, sides = 10**6, [next(r.text for r in rows if r.lang == k) for k in ("de", "en")]
+    more = spark.createDataFrame([(mixed, "\n".join(sides)), (mixed + 1, None), (mixed + 2, "")], "doc_id long, text string")
+    got = {r.doc_id: r.level for r in reading.levels_each(held.select("doc_id", "text").unionByName(more), models, profiles).collect()}
+    assert got.keys() == {*texts, mixed, mixed + 1, mixed + 2} and got[mixed] and got[mixed + 1] is got[mixed + 2] is None
+    right = [got[r.doc_id] == round(r.level + 2) for r in rows if r.lang != "en" and got[r.doc_id]]
+    assert len(right) > 30 and sum(right) / len(right) > 0.6
+
+
 def test_hard_is_level_three(spark):
     folder = "/root/testdata/sf0.01"
     d = table(spark, folder, "documents", "doc_id", "text")
