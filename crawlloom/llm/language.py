@@ -298,8 +298,10 @@ def by_language(texts, p: Profiles) -> list[list[tuple[str, str]]]:
     return out
 
 
-def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
+def segments(documents: DataFrame, profiles: Profiles, whole_too: bool = False) -> DataFrame:
     """(id, segment, start, n_chars, lang, confidence): runs of sentences in one language.
+    With ``whole_too`` also a row for each document, its segment null, with the language and
+    confidence of ``told``; both are null or 0 where nothing can be told.
 
     Sentences with too few letters or too little confidence belong to the run before them.
     ``start`` counts characters of the text after undoing garbled spots.
@@ -311,13 +313,14 @@ def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 b = whole.iloc[lo : lo + 512]
-                stretches, owner, starts = [], [], []
-                for i, t in zip(b["id"], b["text"]):
+                stretches, owner, starts, rows = [], [], [], []
+                for k, (i, t) in enumerate(zip(b["id"], b["text"])):
                     for at, sentence in spans(plain_repair(t)) if t else ():
                         stretches.append(sentence)
                         owner.append(i)
                         starts.append(at)
-                langs, sure, _ = p.tell(stretches)
+                        rows.append(k)
+                langs, sure, letters = p.tell(stretches)
                 out: list[list] = []
                 for i, at, sentence, lang, c in zip(owner, starts, stretches, langs, sure):
                     same = bool(out) and out[-1][0] == i
@@ -328,7 +331,19 @@ def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
                         out[-1][5] = max(out[-1][5], float(c))
                     else:
                         out.append([i, out[-1][1] + 1 if same else 0, at, len(sentence), told_, float(c)])
-                yield pd.DataFrame(out, columns=["id", "segment", "start", "n_chars", "lang", "confidence"])
+                if whole_too:
+                    weight: dict[int, dict] = {}
+                    for i, lang, s, n in zip(rows, langs, sure, letters):
+                        if lang is not None:
+                            own = weight.setdefault(i, {})
+                            own[lang] = own.get(lang, 0) + int(n) * (0.01 + s)
+                    for k, (i, t) in enumerate(zip(b["id"], b["text"])):
+                        w = weight.get(k, {})
+                        best = max(w, key=lambda x: (w[x], x)) if w else None
+                        out.append([i, None, 0, len(plain_repair(t)) if t else 0, best, round(float(w[best] / sum(w.values())), 4) if w else 0.0])
+                frame = pd.DataFrame(out, columns=["id", "segment", "start", "n_chars", "lang", "confidence"])
+                frame["segment"] = frame["segment"].astype("Int32")
+                yield frame
 
     return documents.select("id", "text").mapInPandas(body, "id long, segment int, start int, n_chars int, lang string, confidence double")
 
@@ -340,10 +355,13 @@ def document_languages(told_: DataFrame) -> Column:
     return F.when(F.size(many) > 1, F.transform(many, lambda z: z["langs"])).when(F.col("lang").isNotNull(), F.array("lang"))
 
 
-def page_languages(pages: DataFrame, profiles: Profiles) -> DataFrame:
+def page_languages(pages: DataFrame, profiles: Profiles, parts: bool = False) -> DataFrame:
     """(page_id, label, are) of pages (page_id, title, meta_description, language) with any
     text: the languages of title and description (two if both are sure and differ), and the
-    code that the label spells. Pages where nothing can be told are left out."""
+    code that the label spells. Pages where nothing can be told are left out.
+
+    With ``parts`` (page_id, segment, field, lang, confidence) instead: a row for each page, its
+    segment null, and where title and description differ one for each of the two."""
     shared = pages.sparkSession.sparkContext.broadcast(profiles)
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,8 +380,20 @@ def page_languages(pages: DataFrame, profiles: Profiles) -> DataFrame:
                         are.append(sorted((la, lm)))
                     else:
                         are.append([lb] if lb else None)
-                yield pd.DataFrame({"page_id": b["page_id"], "are": are})
-
+                if parts:
+                    out = []
+                    for i, (t, x), ar, la, ca, lm, cm, lb, cb in zip(b["page_id"], pairs, are, a, sure_a, m, sure_m, both, sure_b):
+                        out.append([i, None, None, lb, float(cb) if lb else 0.0])
+                        if ar and len(ar) > 1:
+                            out += [[i, 0, "title", la, float(ca)], [i, 1, "meta_description", lm, float(cm)]]
+                    frame = pd.DataFrame(out, columns=["page_id", "segment", "field", "lang", "confidence"])
+                    frame["segment"] = frame["segment"].astype("Int32")
+                    yield frame
+                else:
+                    yield pd.DataFrame({"page_id": b["page_id"], "are": are})
+
+    if parts:
+        return pages.select("page_id", "title", "meta_description").mapInPandas(body, "page_id long, segment int, field string, lang string, confidence double")
     fields = pages.select("page_id", "title", "meta_description").where("coalesce(title, '') <> '' or coalesce(meta_description, '') <> ''")
     told_ = fields.mapInPandas(body, "page_id long, are array<string>").where("are is not null")
     return told_.join(pages.select("page_id", label_code("language").alias("label")), "page_id")

@@ -35,9 +35,15 @@ def _profiles(spark: SparkSession, d: str) -> language.Profiles:
 
 
 def p2_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Language and confidence of every document, and of each of its segments in one language."""
+    """Language and confidence of every document and page (segment null), of each segment of a
+    document in one language, and of title and description where they differ."""
     docs = _documents(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return language.segments(docs, _profiles(spark, d)).withColumnRenamed("id", "doc_id")
+    profiles = _profiles(spark, d)
+    rest = ["segment", "field", "start", "n_chars", "lang", "confidence"]
+    of_docs = language.segments(docs, profiles, True).select(F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), F.lit("text").alias("field"), *[c for c in rest if c != "field"])
+    pages = language.page_languages(table(spark, d, "pages", "page_id", "title", "meta_description", "language"), profiles, True)
+    of_pages = pages.select(F.lit("pages").alias("table_name"), F.col("page_id").alias("record_id"), "field", "segment", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n_chars"), "lang", "confidence")
+    return of_docs.unionByName(of_pages).select("table_name", "record_id", *rest)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

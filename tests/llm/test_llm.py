@@ -108,6 +108,17 @@ def test_pages(spark, profiles):
     assert got == {1: ("de", ["de", "en"]), 3: ("fr", ["en"])}
 
 
+def test_every_record_has_a_language(spark):
+    folder = "/root/testdata/sf0.001"
+    from crawlloom.llm import queries
+
+    rows = queries.p2_languages(spark, folder).collect()
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        ids = sorted(r[0] for r in table(spark, folder, name, key).collect())
+        whole = [r for r in rows if r.table_name == name and r.segment is None]
+        assert sorted(r.record_id for r in whole) == ids and any(r.lang and r.confidence > 0 for r in whole)
+
+
 def test_no_labels_at_all(spark):
     empty = language.fit(spark.createDataFrame([], "doc_id long, lang string, text string"), spark.createDataFrame([], "doc_id long, reviewed_lang string"))
     assert language.told(spark.createDataFrame([(1, "text of some length here")], "id long, text string"), empty).first().lang is None
