@@ -33,6 +33,7 @@ from crawlloom.session import stage
 # Code pages that bytes get read as, and pages whose bytes get misread.
 READ_AS = ("cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "cp1256", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
 WRITTEN_AS = ("cp1256", "cp1252", "cp1251", "cp850", "mac_roman", "iso8859-6")
+LATIN_WRITTEN_AS = ("cp1252", "cp850", "mac_roman")
 #: Letters of the bigram model; rarer ones share one place.
 MOST_CHARS = 800
 #: Least share of a script among letters beyond ASCII for it to be one of the corpus.
@@ -107,6 +108,18 @@ class Model:
         mapping = self.maps.get((page, kind), {})
         return "".join(u.decode("latin-1") if u < b"\x80" else mapping.get(u, "\ufffd") for u in units)
 
+    def decoded(self, b: bytes, units: list[bytes], page: str) -> str:
+        """UTF-8 bytes as text; a unit that doesn't decode through the learned mapping, if it knows it."""
+        try:
+            return b.decode("utf-8")
+        except UnicodeDecodeError:
+            mapping = self.maps.get((page, "utf-8"), {})
+        out = []
+        for u in units:
+            new = u.decode("utf-8", "replace")
+            out.append(mapping.get(u, new) if "\ufffd" in new else new)
+        return "".join(out)
+
     def exact(self, b: bytes, text: str) -> str:
         """What the known page that agrees most with the learned mapping makes of the bytes."""
         best, agreed = text, 0.6
@@ -138,7 +151,7 @@ class Model:
                 if kind == "utf-8":
                     if sum(len(u) == 1 and u > b"\x7f" for u in units) > len(many) / 2:
                         continue
-                    text = twice(b.decode("utf-8", "replace"), page)
+                    text = twice(self.decoded(b, units, page), page)
                 else:
                     text = self.exact(b, text)
                     if text.count("\ufffd") * 4 > len(text):
@@ -157,7 +170,30 @@ class Model:
                     best, gain = (text, f"{page} {kind}"), up
             if best:
                 return best
-        return None
+        return self._read_latin(token, raw)
+
+    def _read_latin(self, token: str, raw: float) -> tuple[str, str] | None:
+        """A Latin word in which letters beyond ASCII went through a wrong single-byte page: the
+        known pages are tried, and must give Latin letters of the corpus. Words in capitals are
+        left alone: they are too rare for the bigrams to tell from damage."""
+        if not any("a" <= c <= "z" for c in token):
+            return None
+        best, gain = None, BETTER
+        for page in READ_AS:
+            b = to_bytes(token, page)
+            if b is None:
+                continue
+            for written in LATIN_WRITTEN_AS:
+                try:
+                    text = b.decode(written)
+                except UnicodeDecodeError:
+                    continue
+                if text == token or not all(c.isalpha() and c.lower() in self.letters and script(c) == "LATIN" for c in text if c > "\x7f"):
+                    continue
+                new = self.score(text)
+                if new is not None and new - raw > gain:
+                    best, gain = (text, f"{page} {written}"), new - raw
+        return best
 
     def repair(self, text: str) -> tuple[str, str | None]:
         """(text with damaged tokens restored, the commonest class or 'lost'), None if unharmed.
@@ -169,7 +205,7 @@ class Model:
             r = self.read(t)
             if r:
                 classes[r[1]] += 1
-        for c in [c for c, n in classes.items() if c.endswith("bytes") and n < 2]:
+        for c in [c for c, n in classes.items() if not c.endswith("utf-8") and n < 2]:
             del classes[c]
         if not classes:
             return text, "lost" if LOST.search(text) else None

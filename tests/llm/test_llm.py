@@ -158,6 +158,20 @@ def test_substitution_cipher_is_learned(spark, page):
     assert got[len(corpus())].restored == good
 
 
+def test_latin_words_through_a_wrong_single_byte_page(spark):
+    good = "Wir grüßen Sie für das schöne Wetter und hören, dass größere Häuser über dem Fluß stehen."
+    bad = good.encode("cp1252").decode("mac_roman")
+    values = spark.createDataFrame([(i, v) for i, v in enumerate([*[good] * 30, bad])], "i int, value string")
+    got = {r.i: r for r in encoding.repaired(values, encoding.fit(values)).collect()}
+    assert got[30].restored == good and [i for i, r in got.items() if r.damage] == [30]
+
+
+def test_undecodable_units_use_the_learned_key():
+    model = encoding.Model(maps={("cp1252", "utf-8"): {b"\xe9": "é"}})
+    b = "für".encode() + b"\xe9"
+    assert model.decoded(b, encoding.UNITS.findall(b), "cp1252") == "füré"
+
+
 def test_lost_and_empty(spark):
     values = spark.createDataFrame([(1, "a caf� here"), (2, None), (3, ""), (4, "café")], "i int, value string")
     got = {r.i: r.damage for r in encoding.repaired(values, encoding.fit(values)).collect()}
