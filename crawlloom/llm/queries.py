@@ -16,17 +16,21 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     """Measures of every document beside what the crawl says of its page."""
-    docs = _documents(spark, d)
-    return stuffing.with_page(stuffing.stuffed(docs), docs, table(spark, d, "pages", "page_id", "word_count", "internal_links_count", "text_to_html_ratio"))
+    pages = table(spark, d, "pages", "page_id", "word_count", "internal_links_count", "text_to_html_ratio")
+    return stuffing.with_page(stuffing.stuffed(_documents(spark, d), pages), pages)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed(_documents(spark, d)).where("found").select("doc_id")
+    return stuffing.stuffed(_documents(spark, d), _counts(spark, d)).where("found").select("doc_id")
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages", "page_id", "word_count", "internal_links_count")
 
 
-def _clean(docs: DataFrame, every: DataFrame) -> DataFrame:
+def _clean(docs: DataFrame, every: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id of ``docs`` that neither p1 nor p7 finds."""
-    bad = stuffing.stuffed(docs).where("found").select("doc_id").unionByName(residue.residue(residue.corpus_lines(docs), residue.corpus_lines(every)).select(F.col("id").alias("doc_id")))
+    bad = stuffing.stuffed(docs, pages).where("found").select("doc_id").unionByName(residue.residue(residue.corpus_lines(docs), residue.corpus_lines(every)).select(F.col("id").alias("doc_id")))
     return docs.select("doc_id").join(bad, "doc_id", "left_anti")
 
 
@@ -54,7 +58,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     doc_cases = docs.select(F.col("doc_id").alias("id"), label.alias("label")).join(told, "id").where("are is not null and (size(are) > 1 or label is null or label <> are[0])").select("id", "are")
     doc_cases = stage(doc_cases, "cases")
     suspects = docs.join(doc_cases.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    clean = _clean(suspects, docs).select(F.col("doc_id").alias("id"))
+    clean = _clean(suspects, docs, _counts(spark, d)).select(F.col("doc_id").alias("id"))
     of_docs = doc_cases.join(clean, "id", "left_semi").select(F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), F.explode("are").alias("lang"))
 
     pages = table(spark, d, "pages", "page_id", "title", "meta_description", "language")
@@ -136,7 +140,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     hard = stage(reading.hard(docs, _model(spark, d)), "hard")
     at_three = docs.join(hard, "doc_id", "left_semi")
     english = stage(_english(at_three, _profiles(spark, d)), "english")
-    return _clean(docs.join(english, "doc_id", "left_semi"), docs)
+    return _clean(docs.join(english, "doc_id", "left_semi"), docs, _counts(spark, d))
 
 
 QUERIES = {

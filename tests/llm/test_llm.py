@@ -60,6 +60,39 @@ def test_stuffed(spark, text, found):
     assert stuffing.stuffed(docs(spark, [text])).first().found is found
 
 
+@pytest.mark.parametrize(
+    "items",
+    [
+        ["bolso de piel", "zapatillas baratas en línea", "lámpara de jardín", "comprar bolso de piel", "auditoría web gratis"],
+        ["mala de couro", "sapatilhas baratas", "candeeiro de jardim", "comprar mala de couro", "auditoria de site grátis"],
+        ["sac en cuir", "chaussures pas chères", "lampe de jardin en ligne", "audit de site", "sac en cuir pas cher"],
+        ["torebka ze skóry", "lampa do ogrodu", "tanie buty sportowe", "kup torebka ze skóry", "młynek do kawy"],
+        ["tuinlamp", "leren tas", "goedkope hardloopschoenen", "tuinlamp kopen", "koffiemolen"],
+        ["Gartenlampe", "Ledertasche für Damen", "Kaffeemühle", "Gartenlampe kaufen", "Laufschuhe"],
+    ],
+)
+@pytest.mark.parametrize("join", [" | ", ", ", " "])
+def test_stuffed_in_any_language(spark, items, join):
+    rng = random.Random(3)
+    text = join.join(rng.choice(items) for _ in range(40))
+    assert stuffing.stuffed(docs(spark, [text])).first().found
+
+
+def test_clause_words_between_keywords_hide_nothing(spark):
+    phrase = "cheap shoes for the buy shoes and the best cheap shoes to buy shoes "
+    sound = PLAIN + " " + "We moved in spring and the letters came late, but nothing was lost on the way. " + PLAIN.replace("shop", "office")
+    assert [r.found for r in stuffing.stuffed(docs(spark, [phrase * 20, sound])).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_page_decides_in_doubt(spark):
+    sentence = "The retrospective reconciliation of contradictory directives substantiates the hypothesis that the audit is late."
+    n = next(k for k in range(4, 40) if 0.5 < stuffing.measure(sentence + "\n" + "garden lamp, leather bag, " * k)[1] < 0.6)
+    df = spark.createDataFrame([(i, i, sentence + "\n" + "garden lamp, leather bag, " * n) for i in range(4)], "doc_id long, page_id long, text string")
+    pages = spark.createDataFrame([(0, 100, 90, "x"), (1, 100, 3, "x"), (2, None, 90, "x"), (1, 100, 3, "x")], "page_id long, word_count int, internal_links_count int, found string")
+    assert [r.found for r in stuffing.stuffed(df, pages).orderBy("doc_id").collect()] == [True, False, True, True]
+    assert stuffing.stuffed(df.limit(0), pages).count() == 0
+
+
 def test_bare_list_of_addresses_is_stuffed(spark):
     addresses = [f"https://e.example/a-{i}" for i in range(200)]
     texts = ["\n".join(addresses), "\n".join(f"Lamp {a}" for a in addresses[:8]), " ".join(addresses[:3])]
