@@ -20,6 +20,8 @@ from crawlloom.skew import hot_keys, salted
 
 #: Nodes that one task may contract in memory (about 200 bytes each).
 NODES_PER_TASK = 200_000
+#: Ranges that the first level is cut into however few the nodes are, as far as there are cores.
+MOST_LOCAL = 64
 SOLVED = "node string, root string, depth long, path array<string>, looped boolean"
 
 
@@ -126,10 +128,7 @@ def solve_forest(edges: DataFrame, with_path: bool = True, nodes_per_task: int =
     count = edges.count()
     if level and before and count > 0.75 * before and count > nodes_per_task:
         return _doubled(edges, with_path)
-    parts = -(-count // nodes_per_task)
-    if not level and count > 2_000:
-        parts = max(parts, min(parallelism(edges.sparkSession), 64) if count < 64 * nodes_per_task else parts)
-    parts = max(1, parts)
+    parts = max(1, -(-count // nodes_per_task), 0 if level else min(parallelism(edges.sparkSession), MOST_LOCAL))
     fragments = stage(contract(edges, parts, with_path), f"fragments{level}")
     settled = fragments.select(
         "node",
@@ -143,10 +142,11 @@ def solve_forest(edges: DataFrame, with_path: bool = True, nodes_per_task: int =
         return settled.drop("kind")
     leaving = fragments.where("kind = 0")
     exits = leaving.select(F.col("exit").alias("node")).distinct()
-    quotient = exits.join(fragments, "node").select("node", F.when(F.col("kind") == 0, F.col("exit")).alias("parent"), "steps", "path", "kind", F.col("exit").alias("end"))
-    quotient = stage(quotient, f"quotient{level}")
-    upper = stage(solve_forest(quotient.where("kind = 0").select("node", "parent", "steps", "path"), with_path, nodes_per_task, level + 1, count), f"upper{level}")
-    known = upper.unionByName(quotient.where("kind > 0").select("node", F.when(F.col("kind") == 1, F.col("end")).alias("root"), F.col("steps").alias("depth"), "path", (F.col("kind") == 2).alias("looped")))
+    # What ends in a cycle inside its range stays one step above itself, so that chains from
+    # other ranges that lead there are told as cycles; what ends at a root keeps that root.
+    up = F.when(F.col("kind") == 2, F.col("node")).when((F.col("kind") == 0) | (F.col("steps") > 0), F.col("exit"))
+    quotient = stage(exits.join(fragments, "node").select("node", up.alias("parent"), "steps", "path"), f"quotient{level}")
+    known = stage(solve_forest(quotient, with_path, nodes_per_task, level + 1, count), f"upper{level}")
     above = known.select(F.col("node").alias("exit"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"), F.col("looped").alias("up_looped"))
     a, b = salted(leaving.drop("kind"), above, ["exit"], hot_keys(leaving, ["exit"]), "node")
     joined = a.join(b, ["exit", "_salt"], "left")

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
+
 from crawlloom.operators.hierarchy import descendants, hierarchy
 from crawlloom.operators.hotkeys import target_stats
 from crawlloom.operators.orphans import orphan_cascade, orphan_report
@@ -100,6 +102,24 @@ def test_hierarchy_matches_walk(spark):
         assert pairs == Counter((a, u, i + 1) for u in parent for i, a in enumerate(walk(parent, u)[2]))
 
 
+@pytest.mark.parametrize("seed, size", [(1, 2), (2, 7), (3, 28), (4, 50), (5, 28), (6, 400)])
+def test_cycles_across_ranges(spark, seed, size):
+    """Functional graphs full of cycles, in names that range partitions cut anyhow."""
+    r = random.Random(seed)
+    parent = {"z1": "z2", "z2": "z1"} | {f"m{i:02d}": "z1" for i in range(40)} | {f"a{i:02d}": r.choice([f"m{i:02d}", "z1", "m00"]) for i in range(40)}
+    for g in range(12):
+        names = [f"{r.choice('abmyz')}{g}-{i}" for i in range(20)]
+        parent |= {x: r.choice([*names, *names, f"out{g}", None]) for x in names}
+    parent = {k: (None if v == k else v) for k, v in parent.items()}
+    solved = hierarchy(spark.createDataFrame(list(parent.items()), "url string, parent string"), seed % 2 == 0, nodes_per_task=size)
+    got = {x.node: (x.root, x.depth, list(x.path)) for x in solved.collect()}
+    assert set(got) == set(parent)
+    for u in parent:
+        root, depth, path = walk(parent, u)
+        want = (root, depth, path if seed % 2 == 0 else []) if parent[u] is not None else (u, 0, [])
+        assert got[u] == want, u
+
+
 def test_worst_case_chain_doubles(spark):
     n = 64
     order = list(range(n))
