@@ -13,13 +13,14 @@ that hold large shares of the references are split and only their spans repeated
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlloom.functions.urls import normal_form_udf
 from crawlloom.session import stage
-from crawlloom.skew import hot_keys, salted, url_key
+from crawlloom.skew import hot_keys, repeat, salted, split, url_key
 
 KEYS = ["k1", "k2"]
 FOREVER = "timestamp'9999-12-31 00:00:00'"
@@ -80,21 +81,27 @@ def direct_orphans(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return a.join(b, same & (F.col("b.born") <= F.col("a.t")) & (F.col("b.died") > F.col("a.t")), "left_anti").drop("_salt")
 
 
-def orphaned_pages(parents: DataFrame, spans: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def orphaned_pages(parents: DataFrame, spans: DataFrame) -> DataFrame:
     """(k1, k2, level): addresses whose parent is missing (level 1), their children (2) and so
     on: semi-joins with what the last round added, until it added nothing. Each address has
-    one parent, so no address comes twice and cycles, whose parents exist, never come."""
+    one parent, so no address comes twice and cycles, whose parents exist, never come; the
+    rounds end with the longest chain. A parent that many pages name is split."""
+    up = ["p1", "p2"]
     edges = parents.where("parent is not null")
     edges = stage(edges.select(*url_key("url"), *url_key("parent", "p"), "t"), "edges")
-    e, s = edges.alias("e"), spans.alias("s")
-    missing = e.join(s, (F.col("e.p1") == F.col("s.k1")) & (F.col("e.p2") == F.col("s.k2")) & (F.col("s.born") <= F.col("e.t")) & (F.col("s.died") > F.col("e.t")), "left_anti")
+    hot = stage(hot_keys(edges, up), "hot")
+    rest = stage(split(edges, up, hot, "k1"), "children")
+    live = repeat(spans.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "born", "died"), up, hot)
+    e, s = rest.alias("e"), live.alias("s")
+    same = reduce(Column.__and__, [F.col(f"e.{k}") == F.col(f"s.{k}") for k in (*up, "_salt")])
+    missing = e.join(s, same & (F.col("s.born") <= F.col("e.t")) & (F.col("s.died") > F.col("e.t")), "left_anti")
     added = stage(missing.select(*KEYS, F.lit(1).alias("level")), "orphans")
-    found, rest = [added], edges.select(*KEYS, "p1", "p2")
-    for level in range(2, most_rounds):
+    found = [added]
+    for level in count(2):
         if added.isEmpty():
             break
-        above = added.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"))
-        added = stage(rest.join(above, ["p1", "p2"], "left_semi").join(found[0].select(*KEYS), KEYS, "left_anti").select(*KEYS, F.lit(level).alias("level")), "orphans")
+        above = repeat(added.select(F.col("k1").alias("p1"), F.col("k2").alias("p2")), up, hot)
+        added = stage(rest.join(above, [*up, "_salt"], "left_semi").join(found[0].select(*KEYS), KEYS, "left_anti").select(*KEYS, F.lit(level).alias("level")), "orphans")
         found.append(added)
     return reduce(DataFrame.unionAll, found)
 

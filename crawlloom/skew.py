@@ -34,12 +34,19 @@ def hot_keys(df: DataFrame, keys: list[str], fraction: float = 1 / 256, rows_per
     )
 
 
+def split(df: DataFrame, keys: list[str], hot: DataFrame, spread_by: str) -> DataFrame:
+    """``df`` with a ``_salt``: rows of hot keys are spread over the parts by ``spread_by``."""
+    marked = df.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_salts"))).cast("int")).drop("_salts")
+
+
+def repeat(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with a ``_salt``: rows of hot keys once for each part."""
+    marked = df.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+
+
 def salted(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread_by: str) -> tuple[DataFrame, DataFrame]:
     """Give both sides a ``_salt``: hot keys of ``left`` are split by ``spread_by``, and only
     their rows of ``right`` are repeated, once for each part."""
-    marked = F.broadcast(hot)
-    a = left.join(marked, keys, "left")
-    a = a.withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_salts"))).cast("int")).drop("_salts")
-    b = right.join(marked, keys, "left")
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return a, b
+    return split(left, keys, hot, spread_by), repeat(right, keys, hot)
