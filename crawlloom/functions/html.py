@@ -21,7 +21,7 @@ SPECIAL = ("javascript:", "mailto:", "tel:", "#")
 IMAGE_TYPES = frozenset("jpg jpeg png gif webp avif svg ico bmp tiff".split())
 
 SCHEMA = (
-    "page_id long, url string, title string, meta map<string,string>, canonical string, prev_url string, next_url string, text string, n_paragraphs int, "
+    "page_id long, url string, title string, meta map<string,string>, canonical string, prev_url string, next_url string, text string, n_paragraphs int, n_bytes int, "
     "headings array<struct<level:int,text:string,position:int>>, "
     "links array<struct<href:string,to_url:string,anchor:string,rel:string,is_special:boolean,nofollow:boolean,is_image:boolean,position:int,in_navigation:boolean,in_footer:boolean,in_header:boolean,in_main:boolean>>, "
     "images array<struct<src:string,alt:string,has_alt:boolean,has_dimensions:boolean,is_lazy:boolean,extension:string,position:int>>, "
@@ -199,12 +199,20 @@ def extract(pages: DataFrame) -> DataFrame:
                     p.feed(h)
                     p.close("title")
                     p.close("p")
-                rows.append((i, u, p.title, p.meta, p.canonical, p.prev, p.next, " ".join(" ".join(p.texts).split()), p.paragraphs, p.headings, p.links, p.images, list(p.hreflang.values()), p.schema, list(p.resources.values()), p.mixed))
+                rows.append((i, u, p.title, p.meta, p.canonical, p.prev, p.next, " ".join(" ".join(p.texts).split()), p.paragraphs, len((h or "").encode("utf-8", "surrogatepass")), p.headings, p.links, p.images, list(p.hreflang.values()), p.schema, list(p.resources.values()), p.mixed))
             yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in re.split(r", (?=[a-z_]+ (?:long|string|int|map|array))", SCHEMA)])
 
     return pages.select("page_id", "url", "html").mapInPandas(body, SCHEMA)
 
 
+def measured(pages: DataFrame, preview: int = 500) -> DataFrame:
+    """(page_id, url, text_bytes, html_bytes, text_to_html_ratio, preview, n_paragraphs) of pages
+    (page_id, url, html): the ratio in percent, 0 without markup."""
+    n = F.octet_length("text")
+    ratio = F.when(F.col("n_bytes") > 0, F.floor(n / F.col("n_bytes") * 10000 + 0.5) / 100).otherwise(0.0)
+    return extract(pages).select("page_id", "url", n.alias("text_bytes"), F.col("n_bytes").alias("html_bytes"), ratio.alias("text_to_html_ratio"), F.substring("text", 1, preview).alias("preview"), "n_paragraphs")
+
+
 def children(extracted: DataFrame, name: str) -> DataFrame:
     """One row for each element of a list column: links, images, headings, hreflang, schema, resources, mixed."""
     return extracted.select("page_id", "url", F.explode(name).alias("x")).select("page_id", "url", "x.*")
@@ -307,65 +315,116 @@ def custom_css(html: Column | str, css: str, attribute: str | None = None, every
     return picked(F.col(html) if isinstance(html, str) else html)
 
 
+# Response headers kept as they are, and the names of their columns.
+PLAIN_HEADERS = (
+    ("server", "server"), ("x-powered-by", "powered_by"), ("cache-control", "cache_control"), ("expires", "expires"), ("etag", "etag"), ("last-modified", "last_modified"), ("age", "age"),
+    ("content-encoding", "content_encoding"), ("strict-transport-security", "hsts"), ("x-frame-options", "x_frame_options"), ("x-content-type-options", "x_content_type_options"), ("content-security-policy", "csp"),
+    ("referrer-policy", "referrer_policy"), ("x-robots-tag", "x_robots_tag"), ("content-type", "content_type"), ("content-length", "content_length"), ("content-language", "content_language"), ("vary", "vary"),
+)
+
+
+def header(h: Column, name: str) -> Column:
+    """A header of a map by its name in lower case, whatever case the map has; of several names
+    that differ in case only, the last; null where there is none."""
+    named = F.filter(F.map_entries(h), lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(named, F.lit(-1))["value"]
+
+
 def headers(h: Column | str) -> list[Column]:
-    """Columns from a header map<string,string>, names in any case."""
-    c = F.col(h) if isinstance(h, str) else h
-    low = F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    get = lambda n: F.try_element_at(low, F.lit(n))
-    has = lambda n, v: F.coalesce(F.lower(get(n)).contains(v), F.lit(False))
+    """Columns from a header map<string,string>, names in any case; '' where a header is missing."""
+    m = F.col(h) if isinstance(h, str) else h
+    get = lambda n: F.coalesce(header(m, n), F.lit(""))
+    has = lambda n, v: F.lower(get(n)).contains(v)
+    cached = (get("cache-control") != "") | (get("expires") != "") | (get("etag") != "")
     return [
-        get("server").alias("server"),
-        get("cache-control").alias("cache_control"),
-        get("strict-transport-security").isNotNull().alias("hsts_enabled"),
-        get("content-security-policy").alias("csp"),
-        get("x-frame-options").alias("x_frame_options"),
-        get("x-content-type-options").alias("x_content_type_options"),
-        get("referrer-policy").alias("referrer_policy"),
-        F.coalesce(get("permissions-policy"), get("feature-policy")).alias("permissions_policy"),
-        get("x-robots-tag").alias("x_robots_tag"),
+        *[get(n).alias(a) for n, a in PLAIN_HEADERS],
+        F.when(get("permissions-policy") != "", get("permissions-policy")).otherwise(get("feature-policy")).alias("permissions_policy"),
+        F.coalesce(cdn(m), F.lit("")).alias("cdn"),
+        F.coalesce(cached, F.lit(False)).alias("has_cache_headers"),
+        ((get("content-encoding") != "") & (get("content-encoding") != "identity")).alias("is_compressed"),
+        (get("strict-transport-security") != "").alias("hsts_enabled"),
         has("x-robots-tag", "noindex").alias("header_noindex"),
-        get("content-encoding").isNotNull().alias("is_compressed"),
-        cdn(low).alias("cdn"),
+        has("x-robots-tag", "nofollow").alias("header_nofollow"),
+        (get("set-cookie") != "").alias("has_cookies"),
     ]
 
 
-def cdn(low: Column) -> Column:
-    """Content network by header, first rule that matches."""
-    get = lambda n: F.lower(F.coalesce(F.try_element_at(low, F.lit(n)), F.lit("")))
-    has = lambda n: F.map_contains_key(low, n)
-    return (
-        F.when(has("cf-ray") | get("server").contains("cloudflare"), "cloudflare")
-        .when(has("x-amz-cf-id"), "cloudfront")
-        .when(has("x-fastly-request-id") | get("x-served-by").contains("cache-"), "fastly")
-        .when(get("server").contains("akamai") | has("x-akamai-transformed"), "akamai")
-        .when(has("x-vercel-id"), "vercel")
-        .when(has("x-nf-request-id"), "netlify")
-        .when(has("x-sucuri-id"), "sucuri")
-    )
+# Headers that give a content network away, in the order they are tried.
+NETWORKS = (("CloudFlare", ("cf-ray", "cf-cache-status")), ("CloudFront", ("x-amz-cf-id", "x-amz-cf-pop")), ("Akamai", ("x-akamai-request-id",)), ("Fastly", ()), ("Sucuri", ("x-sucuri-id",)), ("Vercel", ("x-vercel-id",)), ("Netlify", ("x-nf-request-id",)))
+
+
+def cdn(h: Column) -> Column:
+    """Content network by the names of a header map, the first that fits; null if none does.
+    Fastly is told by the value of x-served-by."""
+    has = lambda signs: F.exists(F.map_keys(h), lambda k: F.lower(k).isin(*signs))
+    out = None
+    for name, signs in NETWORKS:
+        when = has(signs) if signs else F.lower(F.coalesce(header(h, "x-served-by"), F.lit(""))).contains("fastly")
+        out = F.when(when, name) if out is None else out.when(when, name)
+    return out
+
+
+def link_header(header: Column | str, rel: str) -> Column:
+    """The address that an HTTP Link header gives for a relation; '' if it gives none."""
+    c = F.coalesce(F.col(header) if isinstance(header, str) else header, F.lit(""))
+    return F.trim(F.regexp_extract(c, f'(?i)<([^>]*)>\\s*(?:;[^,<]*)?;\\s*rel="?{rel}"?(?=\\s*(?:[;,]|$))', 1))
 
 
-def indexability(status: Column, robots: Column, canonical: Column, url: Column) -> Column:
-    """struct<is_indexable, reason>: other status, noindex, canonicalised, or indexable."""
-    r = F.lower(F.coalesce(robots, F.lit("")))
+def declared_canonical(header: Column, html: Column) -> Column:
+    """The canonical address as written: that of the Link header wins over the page's own."""
+    h = link_header(header, "canonical")
+    return F.when(h != "", h).otherwise(F.coalesce(html, F.lit("")))
+
+
+def indexability(status: Column, robots: Column, canonical: Column, url: Column, x_robots: Column | None = None, normal: Column | None = None) -> Column:
+    """struct<is_indexable, reason>: other status, noindex (in the page or in x-robots-tag),
+    canonicalised, or indexable. A canonical that is the address itself, or its normal form
+    (``normal``), changes nothing."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(robots, F.lit("")), F.coalesce(x_robots if x_robots is not None else F.lit(""), F.lit(""))))
     out = lambda ok, why: F.struct(F.lit(ok).alias("is_indexable"), why.alias("reason"))
+    c = F.coalesce(canonical, F.lit(""))
+    elsewhere = (c != "") & (c != url) & ((c != normal) if normal is not None else F.lit(True))
     return (
         F.when(F.coalesce(status, F.lit(0)) != 200, out(False, F.concat(F.lit("Non-200 status: "), F.coalesce(status, F.lit(0)).cast("string"))))
-        .when(r.contains("noindex"), out(False, F.lit("Noindex")))
-        .when((F.coalesce(canonical, F.lit("")) != "") & (canonical != url), out(True, F.lit("Canonicalised")))
+        .when(said.contains("noindex"), out(False, F.lit("Noindex directive")))
+        .when(elsewhere, out(True, F.lit("Canonicalised")))
         .otherwise(out(True, F.lit("Indexable")))
     )
 
 
-# What gives a shop platform away, in order.
-PLATFORMS = (("shopify", ("cdn.shopify.com", "myshopify.com")), ("salla", ("salla.sa", "cdn.salla")), ("zid", ("zid.store", "zid.sa")), ("woocommerce", ("woocommerce",)), ("wordpress", ("wp-content", "wp-includes")))
+# What gives a platform away in markup or headers, in the order they are tried.
+PLATFORMS = (
+    ("shopify", ("cdn.shopify.com", "myshopify.com", "shopify", "x-shopid", "x-shopify")),
+    ("salla", ("salla.sa", "cdn.salla", "s-cdn.net", "salla")),
+    ("zid", ("zid.store", "cdn.zid", "x-zid", "zidapi", "zid")),
+    ("woocommerce", ("woocommerce", "wp-content/plugins/woocommerce", "wc-ajax", "wc_")),
+    ("wordpress", ("wp-content/", "wp-includes/", "/wp-json/", 'generator" content="wordpress')),
+)
 
 
-def platform(html: Column | str) -> Column:
-    low = F.lower(F.col(html) if isinstance(html, str) else html)
+def platform(html: Column | str, headers: Column | None = None) -> Column:
+    """Shop or blog platform of a page by its markup and its header map; 'unknown' if none."""
+    seen = F.lower(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")))
+    if headers is not None:
+        named = F.transform(F.map_entries(headers), lambda e: F.concat(F.lit(" "), F.lower(e["key"]), F.lit(":"), F.lower(F.coalesce(e["value"], F.lit("")))))
+        seen = F.concat(seen, F.coalesce(F.array_join(named, ""), F.lit("")))
     out = None
     for name, signs in PLATFORMS:
-        when = low.contains(signs[0])
-        for s in signs[1:]:
-            when = when | low.contains(s)
+        when = seen.contains(signs[0])
+        for sign in signs[1:]:
+            when = when | seen.contains(sign)
         out = F.when(when, name) if out is None else out.when(when, name)
     return out.otherwise("unknown")
+
+
+# Addresses that a platform's crawl leaves out, and parameters that only sort or filter.
+PRESETS = {
+    "zid": {"exclude": ("*/cart*", "*/checkout*", "*/account*", "*add-to-cart*"), "strip": ("sort_by", "sort", "order_by", "order", "view")},
+    "salla": {"exclude": ("*/cart*", "*/checkout*", "*/profile*", "*/login*", "*add-to-cart*"), "strip": ("sort", "order", "view")},
+    "shopify": {"exclude": ("*/cart*", "*/checkout*", "*/account*", "*/collections/*/products.json", "*add-to-cart*"), "strip": ("sort_by", "sortBy", "view")},
+    "woocommerce": {"exclude": ("*/cart*", "*/checkout*", "*/my-account*", "*add-to-cart*", "*/wp-admin*"), "strip": ("orderby", "order", "min_price", "max_price")},
+    "wordpress": {
+        "exclude": ("*/wp-admin*", "*/wp-login.php*", "*/xmlrpc.php*", "*/wp-json/*", "*/feed/*", "*/feed", "*/comments/feed/*", "*/tag/*/feed/*", "*/category/*/feed/*", "*/author/*/feed/*", "*?replytocom=*", "*&replytocom=*", "*?attachment_id=*", "*&attachment_id=*", "*?p=*", "*/author/*", "*/tag/*", "*/?s=*", "*&s=*"),
+        "strip": ("replytocom", "attachment_id", "unapproved", "moderation-hash", "preview", "preview_id", "preview_nonce"),
+    },
+}

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-#: White space as Python's str.split knows it, for the JVM's and RE2's regular expressions.
+#: White space of Unicode: for the JVM, whose class is many times faster than the same characters
+#: listed, and listed for engines without it (RE2).
+JVM_SPACE = r"(?U)\s"
 SPACE = "[\\s\u00a0\u0085\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -22,11 +24,13 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends (``trim`` only takes spaces)."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(c), f"^{JVM_SPACE}+|{JVM_SPACE}+$", "")
 
 
 def squeeze(c: Column | str) -> Column:
-    return strip(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    """White space collapsed to single spaces, none at the ends: after the collapse only single
+    spaces are left, so ``trim`` does the rest without another pattern."""
+    return F.trim(F.regexp_replace(col(c), f"{JVM_SPACE}+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -40,16 +44,19 @@ def duplicate_key(c: Column | str, compose: bool = True) -> Column:
     return F.lower(squeeze(nfc(col(c)) if compose else col(c)))
 
 
+#: MD5 of the empty text.
+NO_TEXT = hashlib.md5(b"").hexdigest()
+
+
 def content_hash(c: Column | str) -> Column:
-    """Hash of a text up to case and white space; '' for none."""
-    t = squeeze(F.lower(col(c)))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(F.md5(t))
+    """Hash of a text up to case and white space; '' for none. The text is squeezed once."""
+    return F.replace(F.coalesce(F.md5(squeeze(F.lower(col(c)))), F.lit("")), F.lit(NO_TEXT), F.lit(""))
 
 
 def words(c: Column | str) -> Column:
     """Words: runs of letters, digits, underscores and Arabic-block characters."""
     spaced = F.regexp_replace(col(c), r"[^\p{L}\p{N}\p{M}_؀-ۿ\s]", " ")
-    return F.filter(F.split(spaced, f"{SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(spaced, f"{JVM_SPACE}+"), lambda w: w != "")
 
 
 _WORD = re.compile(r"[\w\u0600-\u06ff]+")
@@ -135,30 +142,37 @@ def cell(c: Column | str) -> Column:
 
 
 def safe_filename(c: Column | str, most: int = 100) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(col(c), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"_+", "_"), 1, most)
+    """A file name: forbidden characters and runs of white space as '_', none at the ends;
+    'untitled' where nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"), f"{JVM_SPACE}+", "_")
+    clean = F.substring(F.regexp_replace(clean, "^_+|_+$", ""), 1, most)
+    return F.when(clean == "", F.lit("untitled")).otherwise(clean)
 
 
 def format_bytes(c: Column | str) -> Column:
+    """'0 B', '512.00 B', '1.50 KB' up to TB; exact halves go to the even digit."""
     n = col(c).cast("double")
-    out = F.when(n < 1024, F.format_string("%.1f B", n))
-    for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024**k))
-    return out.otherwise(F.format_string("%.1f TB", n / 1024**4))
+    out = F.when(n.isNull(), F.lit(None)).when(n == 0, F.lit("0 B"))
+    for k, unit in enumerate(("B", "KB", "MB", "GB")):
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(n / 1024**k, 2)))
+    return out.otherwise(F.format_string("%.2f TB", F.bround(n / 1024**4, 2)))
 
 
 def format_duration(seconds: Column | str) -> Column:
-    """'59.9s', '2m 0s', '1h 2m'; seconds are rounded before they are split."""
+    """'59.9s', '2m 0s', '1h 2m 3s'; from a minute on, seconds are rounded before they are split."""
     s = col(seconds).cast("double")
-    n = F.floor(s + 0.5).cast("long")
+    n = F.rint(s).cast("long")
     return (
-        F.when(s < 59.95, F.format_string("%.1fs", s))
-        .when(n < 3600, F.format_string("%dm %ds", F.expr("1L") * F.floor(n / 60), n % 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(n / 3600), F.floor((n % 3600) / 60)))
+        F.when(s.isNull(), F.lit(None))
+        .when(s < 60, F.format_string("%.1fs", F.bround(s, 1)))
+        .when(n < 3600, F.format_string("%dm %ds", F.floor(n / 60), n % 60))
+        .otherwise(F.format_string("%dh %dm %ds", F.floor(n / 3600), F.floor((n % 3600) / 60), n % 60))
     )
 
 
 def truncated(c: Column | str, most: int = 100) -> Column:
-    return F.when(F.char_length(col(c)) > most, F.concat(F.substring(col(c), 1, most - 3), F.lit("..."))).otherwise(col(c))
+    t = F.coalesce(col(c), F.lit(""))
+    return F.when(F.char_length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
 
 
 # Crawlers by what their agent contains, in the order they are tried.
@@ -174,13 +188,10 @@ def bot(agent: Column | str) -> Column:
 
 
 def hreflang_code(c: Column | str) -> Column:
-    """Normal spelling of a language tag: en, zh-Hant, pt-BR, x-default."""
-    parts = F.split(F.regexp_replace(strip(c), "_", "-"), "-")
-    one = F.transform(
-        parts,
-        lambda p, i: F.when(i == 0, F.lower(p)).when((F.length(p) == 4) & p.rlike("^[A-Za-z]+$"), F.initcap(p)).when((F.length(p) == 2) | p.rlike(r"^\d{3}$"), F.upper(p)).otherwise(p),
-    )
-    return F.when(F.lower(strip(c)) == "x-default", F.lit("x-default")).otherwise(F.array_join(one, "-"))
+    """Normal spelling of a language tag: en, zh-Hant, pt-BR, x-default. Only '-' parts it."""
+    t = strip(F.coalesce(col(c), F.lit("")))
+    one = F.transform(F.split(t, "-"), lambda p, i: F.when(i == 0, F.lower(p)).when(p.rlike(r"^\p{L}{4}$"), F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 3)))).otherwise(F.upper(p)))
+    return F.when(F.lower(t) == "x-default", F.lit("x-default")).otherwise(F.array_join(one, "-"))
 
 
 # What a normalised tag must look like.

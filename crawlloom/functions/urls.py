@@ -112,6 +112,14 @@ def is_internal(url: Column | str, domains: list[str]) -> Column:
     return (part(url, "authority") == "") | inside
 
 
+def in_own_domains(url: Column | str, domains: Column) -> Column:
+    """The variant for canonical addresses, with the domains as an array: the port stays part of
+    the host, relative addresses are inside, and nothing else is without domains."""
+    h = F.regexp_replace(F.lower(part(url, "authority")), r"^www\.", "")
+    clean = F.transform(F.filter(domains, lambda d: F.coalesce(d, F.lit("")) != ""), lambda d: F.regexp_replace(F.lower(d), r"^www\.", ""))
+    return (h == "") | F.exists(clean, lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d)))
+
+
 def query_pairs(url: Column | str) -> Column:
     """array<struct<k,v>> of the query, in order, blanks kept, not percent-decoded."""
     pieces = F.filter(F.split(part(url, "query"), "&"), lambda s: s != "")

@@ -35,16 +35,50 @@ def hreflang_audit(tags: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 # Required and recommended properties of rich results by type.
-_REQUIRED = """Product: name image | Offer: price priceCurrency availability | Organization: name | LocalBusiness: name address | BreadcrumbList: itemListElement | FAQPage: mainEntity
-| Article: headline image datePublished author | BlogPosting: headline image datePublished author | NewsArticle: headline image datePublished author | Recipe: name image recipeIngredient recipeInstructions
-| Review: itemReviewed reviewRating author | AggregateRating: ratingValue reviewCount | Event: name startDate location | VideoObject: name description thumbnailUrl uploadDate | Person: name | Course: name description provider
-| JobPosting: title description datePosted hiringOrganization jobLocation | SoftwareApplication: name operatingSystem applicationCategory | WebSite: name url | WebPage:"""
-_RECOMMENDED = """Product: description brand offers aggregateRating review sku | Offer: url validFrom priceValidUntil | Organization: url logo sameAs contactPoint address | LocalBusiness: telephone openingHours geo url image
-| Article: dateModified publisher mainEntityOfPage description | BlogPosting: dateModified publisher description | NewsArticle: dateModified publisher description | Recipe: nutrition totalTime recipeYield aggregateRating
-| Review: datePublished reviewBody | AggregateRating: bestRating worstRating | Event: endDate description image offers performer | VideoObject: duration contentUrl embedUrl | Person: image url jobTitle sameAs
-| Course: offers hasCourseInstance | JobPosting: validThrough employmentType baseSalary | SoftwareApplication: aggregateRating offers description | WebSite: potentialAction | WebPage: name description"""
-REQUIREMENTS = {k.strip(): v.split() for k, _, v in (p.partition(":") for p in _REQUIRED.split("|"))}
-RECOMMENDATIONS = {k.strip(): v.split() for k, _, v in (p.partition(":") for p in _RECOMMENDED.split("|"))}
+REQUIREMENTS = {
+    "Product": ("name", "image"),
+    "Offer": ("price", "priceCurrency", "availability"),
+    "Organization": ("name",),
+    "LocalBusiness": ("name", "address"),
+    "BreadcrumbList": ("itemListElement",),
+    "FAQPage": ("mainEntity",),
+    "Article": ("headline", "image", "datePublished", "author"),
+    "BlogPosting": ("headline", "image", "datePublished", "author"),
+    "NewsArticle": ("headline", "image", "datePublished", "author"),
+    "Recipe": ("name", "image", "recipeIngredient", "recipeInstructions"),
+    "Review": ("itemReviewed", "reviewRating", "author"),
+    "AggregateRating": ("ratingValue", "reviewCount"),
+    "Event": ("name", "startDate", "location"),
+    "VideoObject": ("name", "description", "thumbnailUrl", "uploadDate"),
+    "Person": ("name",),
+    "Course": ("name", "description", "provider"),
+    "JobPosting": ("title", "description", "datePosted", "hiringOrganization", "jobLocation"),
+    "SoftwareApplication": ("name", "operatingSystem", "applicationCategory"),
+    "WebSite": ("name", "url"),
+    "WebPage": (),
+}
+RECOMMENDATIONS = {
+    "Product": ("description", "brand", "offers", "aggregateRating", "review", "sku"),
+    "Offer": ("url", "validFrom", "priceValidUntil"),
+    "Organization": ("url", "logo", "sameAs", "contactPoint", "address"),
+    "LocalBusiness": ("telephone", "openingHours", "geo", "url", "image"),
+    "Article": ("dateModified", "publisher", "mainEntityOfPage", "description"),
+    "BlogPosting": ("dateModified", "publisher", "description"),
+    "NewsArticle": ("dateModified", "publisher", "description"),
+    "Recipe": ("nutrition", "totalTime", "recipeYield", "aggregateRating"),
+    "Review": ("datePublished", "reviewBody"),
+    "AggregateRating": ("bestRating", "worstRating"),
+    "Event": ("endDate", "description", "image", "offers", "performer"),
+    "VideoObject": ("duration", "contentUrl", "embedUrl"),
+    "Person": ("image", "url", "jobTitle", "sameAs"),
+    "Course": ("offers", "hasCourseInstance"),
+    "JobPosting": ("validThrough", "employmentType", "baseSalary"),
+    "SoftwareApplication": ("aggregateRating", "offers", "description"),
+    "WebSite": ("potentialAction",),
+    "WebPage": ("name", "description"),
+}
+# Types a site should have somewhere, and those that stand in for them.
+EXPECTED_TYPES = (("Organization", ("Organization", "LocalBusiness")), ("BreadcrumbList", ("BreadcrumbList",)), ("WebSite", ("WebSite",)))
 
 
 def falsy(json: Column) -> Column:
@@ -65,6 +99,19 @@ def schema_audit(entries: DataFrame) -> DataFrame:
     return e.select("page_url", "type", state.alias("state"), F.array_join(F.when(F.size(req) > 0, req).otherwise(rec), ",").alias("missing"))
 
 
+def schema_types(entries: DataFrame) -> DataFrame:
+    """(type, n): how often each type occurs; an entry with several counts for each."""
+    kinds = F.transform(F.split(F.coalesce("type", F.lit("")), ","), lambda t: F.trim(t))
+    return entries.select(F.explode(kinds).alias("type")).where("type <> ''").groupBy("type").agg(F.count("*").alias("n"))
+
+
+def schema_opportunities(entries: DataFrame) -> DataFrame:
+    """(missing_type): types that a site should have and that no entry has; none without entries."""
+    have = schema_types(entries).agg(F.collect_set(F.when(F.col("type").isin(*[t for _, ts in EXPECTED_TYPES for t in ts]), F.col("type"))).alias("have"), F.count("*").alias("n"))
+    lacking = [F.when(~F.arrays_overlap("have", F.array(*map(F.lit, ts))), F.lit(name)) for name, ts in EXPECTED_TYPES]
+    return have.where("n > 0").select(F.explode(F.array_compact(F.array(*lacking))).alias("missing_type"))
+
+
 def sitemap_diff(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, issue): not_crawled, in_sitemap_4xx, in_sitemap_redirect, in_sitemap_noindex,
     in_sitemap_canonicalised, not_in_sitemap, important_not_in_sitemap (depth <= 2): one full
@@ -99,14 +146,19 @@ def sitemap_coverage(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
 SECURITY_HEADERS = (("hsts_enabled", "high"), ("csp", "medium"), ("x_frame_options", "medium"), ("x_content_type_options", "low"), ("referrer_policy", "low"), ("permissions_policy", "low"))
 
 
-def security_audit(pages: DataFrame, headers: DataFrame) -> DataFrame:
-    """(url, issue, severity) of 200 pages: not_https and missing headers; headers are joined
-    on the raw address, and a page without a header row lacks them all."""
+def security_audit(pages: DataFrame, headers: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
+    """(url, issue, severity) of 200 pages: not_https, missing headers, and mixed_content for
+    the pages of ``mixed`` (url); headers are joined on the raw address, and a page without a
+    header row lacks them all."""
     h = headers.select(F.col("page_url").alias("h_url"), *[n for n, _ in SECURITY_HEADERS])
     j = pages.where("status_code = 200").join(h, F.col("url") == F.col("h_url"), "left")
     missing = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")).isin("", "false")
     one = lambda when, n, s: F.when(when, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity")))
-    flags = F.array(one(~F.lower("url").startswith("https://"), "not_https", "high"), *[one(missing(n), f"missing_{n}", s) for n, s in SECURITY_HEADERS])
+    flags = [one(~F.lower("url").startswith("https://"), "not_https", "high"), *[one(missing(n), f"missing_{n}", s) for n, s in SECURITY_HEADERS]]
+    if mixed is not None:
+        j = j.join(mixed.select("url", F.lit(True).alias("_mixed")).distinct(), "url", "left")
+        flags.append(one(F.col("_mixed"), "mixed_content", "high"))
+    flags = F.array(*flags)
     return j.select("url", F.explode(F.array_compact(flags)).alias("i")).select("url", "i.*")
 
 
@@ -173,6 +225,13 @@ def external_status(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy(cls.alias("class")).agg(F.count("*").alias("n"))
 
 
+def broken_external(statuses: DataFrame) -> DataFrame:
+    """The external addresses (url, status_code, error) that answer 400 or more without only
+    barring crawlers, or that gave an error."""
+    s = F.col("status_code")
+    return statuses.where(((s >= 400) & ~s.isin(*BLOCKED)) | F.col("error").isNotNull())
+
+
 def unchecked_external(links: DataFrame, statuses: DataFrame) -> DataFrame:
     """Distinct external http(s) targets without a known status (null-safe anti join)."""
     want = links.where("not is_internal and not is_special_link").select(F.col("to_url_normalized").alias("url")).where(F.col("url").rlike("^https?://")).distinct()

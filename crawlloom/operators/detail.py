@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crawlloom.functions.urls import path_key, without_query
@@ -47,6 +49,50 @@ def summary_payload(issues: DataFrame, scored: DataFrame, n_issues: int = 20, n_
     return a.join(b, F.lit(True)).select(F.to_json(F.struct("issues", "opportunities")).alias("payload"))
 
 
+def inlinks_of(url: str, links: DataFrame) -> DataFrame:
+    """The links whose target, normalised or as found, is ``url``: a filter that reaches the files."""
+    return links.where((F.col("to_url_normalized") == url) | (F.col("to_url") == url))
+
+
+# The tables of a crawl, in the order they are reported.
+CRAWL_TABLES = ("pages", "links", "images", "headings", "schema_entries", "http_headers", "redirects", "external_link_status", "crawl_queue", "visited_urls")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows) of a crawl's tables; 0 for one that isn't there."""
+    spark = SparkSession.getActiveSession() if not tables else next(iter(tables.values())).sparkSession
+    every = spark.createDataFrame([(t,) for t in CRAWL_TABLES], "table_name string")
+    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items() if name in CRAWL_TABLES]
+    if not counted:
+        return every.withColumn("n_rows", F.lit(0).cast("long"))
+    return every.join(F.broadcast(reduce(DataFrame.unionByName, counted)), "table_name", "left").select("table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+def next_in_queue(queue: DataFrame, n: int = 1) -> DataFrame:
+    """The next n of a crawl queue (url, depth, priority, added_at): highest priority, then the
+    oldest, then by url; what stays is the queue without them (left_anti on url)."""
+    return queue.orderBy(F.desc("priority"), F.asc_nulls_last("added_at"), "url").limit(n)
+
+
+def labelled(parts: dict[str, DataFrame], label: str = "issue") -> DataFrame:
+    """One table of several, each row with the name of the one it comes from; columns that only
+    some have are null in the others."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(F.lit(name).alias(label), *df.columns) for name, df in parts.items()])
+
+
+def metrics_snapshot(events: DataFrame, recent: int = 500) -> DataFrame:
+    """One JSON row of metric events (at, kind, name, value): counters summed, the last value of
+    gauges, count, total, mean, least and most of timings in hundredths, and the last events."""
+    half = lambda c: F.floor(c * 100 + 0.5) / 100
+    by = events.groupBy("kind", "name").agg(F.sum("value").alias("s"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max_by("value", F.struct("at", "value")).alias("last"))
+    entry = lambda kind, value: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", value))))
+    timing = F.struct(F.col("n").alias("count"), half(F.col("s")).alias("total_ms"), half(F.col("s") / F.col("n")).alias("avg_ms"), half(F.col("lo")).alias("min_ms"), half(F.col("hi")).alias("max_ms")).alias("v")
+    wide = by.agg(entry("counter", F.col("s").alias("v")).alias("c"), entry("gauge", F.col("last").alias("v")).alias("g"), entry("timing", timing).alias("t"))
+    last = events.where("kind = 'event'").orderBy(F.desc("at"), "name").limit(recent).agg(F.array_sort(F.collect_list(F.struct("at", "name", "value"))).alias("recent_events"))
+    table = lambda c: F.map_from_entries(c)
+    return wide.join(last, F.lit(True)).select(F.to_json(F.struct(table("c").alias("counters"), table("g").alias("gauges"), table("t").alias("timings"), "recent_events")).alias("metrics"))
+
+
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlloom.session import stage
+from crawlloom.session import bucketed, stage
+from crawlloom.skew import hot_keys
 
 #: Levels of a breadth-first search after which what is known is written as one.
 MERGED = 16
+#: Rounds of link_score written together.
+AT_ONCE = 6
 
 
 def rounded(c: Column, digits: int) -> Column:
@@ -23,9 +27,15 @@ def link_score(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
     (src, dst): edges once, without self links, between nodes only; the mass of nodes without
     out-links is spread evenly; score is relative to the largest, in hundredths of a percent.
 
-    Each round is one join and one aggregation over staged edges, and one number, the mass
-    of nodes without out-links, through the driver; its result is staged, so plans stay small
-    and a lost executor costs one round.
+    The ranks are the same as of ``rounds`` power iterations, put together from walks: with A the
+    damped transition matrix, v(k) = A v(k-1), v(0) = 1, every iterate is a weighted sum of the
+    v(k), and the weights follow from what each v(k) leaves at nodes without out-links. So a round
+    is one join and one sum and needs no number from the driver. Edges are written once in buckets
+    by source and each v(k) in the same buckets by address: joins stay where the rows lie, and
+    only sums by target, combined before, are shuffled. AT_ONCE rounds are one job, in which each
+    round's shuffle serves the next round and the result. The few sources that hold large shares of
+    the edges would fill their buckets: their edges lie apart, and their values (one a hot source)
+    are broadcast. A lost executor costs AT_ONCE rounds of its part.
     """
     nodes = stage(nodes.select("url").where("url is not null").distinct(), "nodes")
     n = nodes.count()
@@ -34,15 +44,37 @@ def link_score(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
     known = nodes.select(F.col("url").alias("k"))
     inside = edges.select("src", "dst").where("src <> dst").distinct()
     inside = stage(inside.join(known, F.col("src") == F.col("k"), "left_semi").join(known, F.col("dst") == F.col("k"), "left_semi"), "edges")
-    out = inside.groupBy("src").agg(F.count("*").alias("out_degree"))
+    out = stage(inside.groupBy("src").agg(F.count("*").alias("out_degree")), "out")
     into = inside.groupBy("dst").agg(F.count("*").alias("in_degree"))
-    base = stage(nodes.join(out, F.col("url") == F.col("src"), "left").join(into, F.col("url") == F.col("dst"), "left").select("url", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree")), "base")
-    rank = stage(base.select("url", "out_degree", "in_degree", F.lit(1.0 / n).alias("pr")), "rank")
-    for _ in range(rounds):
-        lost = rank.where("out_degree = 0").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("x")).first()["x"]
-        sent = inside.join(rank.select(F.col("url").alias("src"), F.try_divide(F.col("pr"), F.col("out_degree").cast("double")).alias("part")), "src").groupBy("dst").agg(F.sum("part").alias("got"))
-        new = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
-        rank = stage(base.join(sent, F.col("url") == F.col("dst"), "left").select("url", "out_degree", "in_degree", new.alias("pr")), "rank")
+    base = bucketed(nodes.join(out, F.col("url") == F.col("src"), "left").join(into, F.col("url") == F.col("dst"), "left").select("url", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree")), "url", "base")
+    leads_on = out.select(F.col("src").alias("dst"), F.lit(False).alias("dead"))
+    weighed = inside.join(out, "src").join(leads_on, "dst", "left").select("src", "dst", (damping / F.col("out_degree")).alias("w"), F.coalesce("dead", F.lit(True)).alias("dead"))
+    hot = hot_keys(inside, ["src"]).select("src")
+    hot = stage(hot, "hot") if not hot.isEmpty() else None
+    own = bucketed(weighed.join(F.broadcast(hot), "src", "left_anti") if hot is not None else weighed, "src", "edges")
+    apart = stage(weighed.join(F.broadcast(hot), "src", "left_semi"), "apart") if hot is not None else None
+    now, walks, parts = base.select(F.col("url").alias("src"), F.lit(1.0).alias("v")), [], []
+    for k in range(1, rounds + 1):
+        sent = own.join(now, "src").select("dst", "dead", (F.col("w") * F.col("v")).alias("v"))
+        if hot is not None:
+            sent = sent.unionAll(apart.join(F.broadcast(now.join(F.broadcast(hot), "src", "left_semi")), "src").select("dst", "dead", (F.col("w") * F.col("v")).alias("v")))
+        walk = sent.groupBy("dst").agg(F.sum("v").alias("v"), F.bool_or("dead").alias("dead"))
+        parts.append(walk.select("dst", "v", "dead", F.lit(k).alias("k")))
+        if len(parts) == AT_ONCE or k == rounds:
+            walks.append(bucketed(reduce(DataFrame.unionAll, parts), "dst", "walks", placed=True))
+            walk, parts = walks[-1].where(F.col("k") == k), []
+        now = walk.select(F.col("dst").alias("src"), "v")
+    every = reduce(DataFrame.unionAll, walks)
+    ends = {r["k"]: r["d"] for r in every.where("dead").groupBy("k").agg(F.sum("v").alias("d")).collect()}  # a number a round
+    ends[0] = base.where("out_degree = 0").count()
+    share, lost = [0.0], [ends[0] / n]  # by round: what every node is given, and what nodes without out-links hold
+    for t in range(1, rounds + 1):
+        share.append((1 - damping) / n + damping * lost[t - 1] / n)
+        lost.append(sum(share[t - k] * ends.get(k, 0.0) for k in range(t)) + ends.get(t, 0.0) / n)
+    weight = F.array(*[F.lit(share[rounds - k]) for k in range(rounds)], F.lit(1.0 / n))
+    got = every.groupBy("dst").agg(F.sum(F.col("v") * F.get(weight, F.col("k"))).alias("got"))
+    first = share[rounds] if rounds else 1.0 / n
+    rank = stage(base.join(got, F.col("url") == F.col("dst"), "left").select("url", "in_degree", "out_degree", (F.lit(first) + F.coalesce("got", F.lit(0.0))).alias("pr")), "rank")
     top = F.broadcast(rank.agg(F.max("pr").alias("top")))
     return rank.join(top, F.lit(True)).select("url", rounded(F.col("pr") / F.col("top") * 100, 2).alias("score"), rounded(F.col("pr"), 8).alias("raw"), "in_degree", "out_degree")
 

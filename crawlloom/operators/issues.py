@@ -92,37 +92,61 @@ def by_severity(issues: DataFrame) -> DataFrame:
 
 # Words of an issue's name (first match wins), impact and effort of mending it.
 HINTS = (
-    (("broken", "404"), "high", "low"),
-    (("redirect", "chain"), "medium", "low"),
-    (("canonical",), "high", "low"),
-    (("duplicate",), "medium", "medium"),
-    (("title",), "high", "low"),
-    (("description", "meta"), "medium", "low"),
-    (("thin", "content"), "medium", "high"),
-    (("image", "alt"), "medium", "low"),
-    (("orphan", "inlink"), "high", "medium"),
-    (("hreflang", "lang"), "medium", "medium"),
-    (("speed", "lcp", "cls"), "high", "high"),
-    (("https", "mixed", "security"), "high", "low"),
+    (("broken", "404", "مكسور", "معطّل"), "high", "low"),
+    (("redirect", "chain", "تحويل", "توجيه"), "medium", "low"),
+    (("canonical", "قانون", "كانونيكال"), "high", "low"),
+    (("duplicate", "مكرر", "تكرار"), "medium", "medium"),
+    (("title", "عنوان"), "high", "low"),
+    (("description", "meta", "وصف"), "medium", "low"),
+    (("thin", "content", "ضعيف", "محتوى"), "medium", "high"),
+    (("image", "alt", "صور", "بديل"), "medium", "low"),
+    (("orphan", "يتيم", "inlink", "روابط داخلية"), "high", "medium"),
+    (("hreflang", "lang", "لغة"), "medium", "medium"),
+    (("speed", "performance", "lcp", "cls", "أداء", "سرعة"), "high", "high"),
+    (("https", "mixed", "security", "أمان"), "high", "low"),
+)
+#: Why each of these matters and what to do, in the same order.
+ADVICE = (
+    ("Dead links waste crawl visits and readers' patience.", "Mend each, or redirect it once to what replaced it."),
+    ("Every further hop costs time and weakens the link.", "Let each redirect lead to its end in one step."),
+    ("A wrong canonical keeps the right page out of the index.", "Name the preferred address on every page."),
+    ("Pages that look alike compete with each other.", "Merge them, or tell them apart by title and text."),
+    ("The title is what searchers read first.", "Give every page its own, of 50 to 60 characters."),
+    ("The description decides whether a result is opened.", "Write one for every page, of 120 to 160 characters."),
+    ("Little text answers few questions.", "Say more about the subject, or merge the page."),
+    ("Without a text, an image says nothing to readers who can't see it.", "Describe each image that means something."),
+    ("What no page links to is hardly found.", "Link to it from related pages."),
+    ("Alternates that don't agree send readers to the wrong language.", "Let all versions name each other."),
+    ("Slow pages lose readers.", "Load less, later, and from caches."),
+    ("Insecure parts make the whole page untrusted.", "Load everything over https."),
 )
 
 
 def with_hints(issues: DataFrame) -> DataFrame:
-    """Issues with impact, effort and hint_score = weight of impact / weight of effort."""
+    """Issues with impact, effort, why and how ('' for issues that no hint knows), and
+    hint_score = weight of impact / weight of effort."""
     low = F.lower("issue_type")
 
-    def chain(at: int, fallback: Column) -> Column:
+    def chain(values: list[str], fallback: Column) -> Column:
         out = None
-        for words, *levels in HINTS:
+        for (words, *_), value in zip(HINTS, values):
             when = reduce(Column.__or__, [low.contains(w) for w in words])
-            out = F.when(when, levels[at]) if out is None else out.when(when, levels[at])
+            out = F.when(when, value) if out is None else out.when(when, value)
         return out.otherwise(fallback)
 
-    df = issues.withColumn("impact", chain(0, F.when(F.col("severity").isin("critical", "high"), "high").when(F.col("severity") == "medium", "medium").otherwise("low"))).withColumn("effort", chain(1, F.lit("medium")))
+    by_severity = F.when(F.col("severity").isin("critical", "high"), "high").when(F.col("severity") == "low", "low").otherwise("medium")
+    df = issues.withColumn("impact", chain([h[1] for h in HINTS], by_severity)).withColumn("effort", chain([h[2] for h in HINTS], F.lit("medium")))
+    df = df.withColumn("why", chain([w for w, _ in ADVICE], F.lit(""))).withColumn("how", chain([h for _, h in ADVICE], F.lit("")))
     w = lambda c: F.when(F.col(c) == "high", 3).when(F.col(c) == "medium", 2).otherwise(1)
     return df.withColumn("hint_score", F.floor(w("impact") / w("effort") * 100 + 0.5) / 100)
 
 
+def top_issues(issues: DataFrame, n: int = 3) -> DataFrame:
+    """The n gravest issues: by severity, then by how many they affect."""
+    rank = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])
+    return issues.orderBy(F.coalesce(F.try_element_at(rank, "severity"), F.lit(9)), F.desc("affected_count"), "issue_type").limit(n)
+
+
 def health(issues: DataFrame, n_pages: int | Column) -> DataFrame:
     """One row: score 0 to 100 and its band, from occurrences by severity over pages."""
     n = F.lit(n_pages) if isinstance(n_pages, int) else n_pages

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from crawlloom.functions.text import bot
 from crawlloom.functions.urls import path_key
 
-# Common and combined log format; referrer and agent are optional.
-LINE = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+)(?: (\S+))?" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
+# Fixed value: a line of the common or combined log format; referrer and agent are optional,
+# the method is in capitals and the protocol must be there.
+LINE = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([A-Z]+)\s+([^"\s]+)\s+(\S+)"\s+(\d{3})\s+(\S+)(?:\s+"([^"]*)"\s+"([^"]*)")?'
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def parsed(lines: DataFrame) -> DataFrame:
         g(4).alias("method"),
         F.regexp_replace(g(5), r"[?#].*$", "").alias("path"),
         g(7).cast("int").alias("status_code"),
-        F.when(g(8) == "-", F.lit(0)).otherwise(F.expr(f"try_cast(regexp_extract(value, r'{LINE}', 8) as bigint)")).cast("long").alias("bytes"),
+        F.coalesce(g(8).try_cast("long"), F.lit(0).cast("long")).alias("bytes"),
         g(9).alias("referrer"),
         g(10).alias("agent"),
         bot(g(10)).alias("bot"),
@@ -66,6 +67,14 @@ def log_board(paths: DataFrame, scored: DataFrame) -> DataFrame:
     return j.select("url", "path", "hits", (F.col("errors") > 0).alias("wasted"), score.alias("boosted_score"), ((score >= 50) & (F.col("hits") >= 10)).alias("high_value"))
 
 
+def important_lines(lines: DataFrame, n: int = 20) -> DataFrame:
+    """(at, value): the last n lines (at, value) of level ERROR or CRITICAL, or that begin a
+    traceback, in order; each task sends its own last n."""
+    level = F.regexp_extract("value", r"\|\s*(DEBUG|INFO|SUCCESS|WARNING|ERROR|CRITICAL)\s*\|", 1)
+    kept = level.isin("ERROR", "CRITICAL") | (level == "") & F.col("value").contains("Traceback (most recent call last)")
+    return lines.where(kept).orderBy(F.desc("at"), "value").limit(n).orderBy("at", "value")
+
+
 def run_log_levels(lines: DataFrame) -> DataFrame:
     """(level, n) of '... | LEVEL | ...' lines."""
     level = F.regexp_extract("value", r"\|\s*(DEBUG|INFO|SUCCESS|WARNING|ERROR|CRITICAL)\s*\|", 1)

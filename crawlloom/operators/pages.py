@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlloom.functions.text import duplicate_key
-from crawlloom.functions.urls import HYGIENE_TRACKING, depth, host, part, path_key, query_pairs
+from crawlloom.functions.urls import HYGIENE_TRACKING, depth, host, in_own_domains, part, path_key, query_pairs, registrable
 
 
 def latest(pages: DataFrame, *columns: str) -> DataFrame:
@@ -89,20 +89,21 @@ def inlinked_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
     return good.join(inlink_counts(others), "url", "left").select("url", n.alias("n_inlinks"), F.when(n == 0, "orphan").when(n <= 2, "low").otherwise("ok").alias("class"))
 
 
-def canonical_audit(pages: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+def canonical_audit(pages: DataFrame, domains: list[str] | None = None) -> DataFrame:
     """(url, issue, canonical): missing, canonicalised, external, to_non_200, to_non_indexable,
     loop, chain. A page without canonical has only 'missing'. A self canonical of a page that
-    isn't 200 is to_non_200 too. External means another registrable host than the page's own."""
+    isn't 200 is to_non_200 too. External means outside the crawl's ``domains``; without them,
+    as in a crawl of many sites, outside the page's own domain."""
     p = pages.select("url", "status_code", F.coalesce("is_indexable", F.lit(False)).alias("is_indexable"), F.coalesce("canonical", F.lit("")).alias("canonical"))
     t = p.select(F.col("url").alias("t_url"), F.col("status_code").alias("t_status"), F.col("is_indexable").alias("t_indexable"), F.col("canonical").alias("t_canonical"))
     j = p.join(t, p["canonical"] == t["t_url"], "left")
     has, other, found = F.col("canonical") != "", F.col("canonical") != F.col("url"), F.col("t_url").isNotNull()
-    own = lambda c: F.substring_index(host(c), ".", -2)
+    own = F.array(*map(F.lit, domains)) if domains is not None else F.array(registrable("url"))
     issue = lambda name, when: F.when(when, F.lit(name))
     flags = F.array(
         issue("missing", ~has & (F.col("status_code") == 200) & F.col("is_indexable")),
         issue("canonicalised", has & other),
-        issue("external", has & (own("canonical") != own("url"))),
+        issue("external", has & ~in_own_domains("canonical", own)),
         issue("to_non_200", has & found & (F.col("t_status") != 200)),
         issue("to_non_indexable", has & found & (F.col("t_status") == 200) & ~F.col("t_indexable")),
         issue("loop", has & other & found & (F.col("t_canonical") == F.col("url"))),
@@ -136,7 +137,8 @@ LEGACY_FORMATS = ("jpg", "jpeg", "png", "gif")
 
 
 def image_audit(images: DataFrame) -> DataFrame:
-    """One row: occurrences and distinct sources by fault. Alt states exclude each other."""
+    """One row: occurrences, distinct sources and percentages of images by fault; images without
+    srcset where that column is there. Alt states exclude each other."""
     no_alt = ~F.coalesce("has_alt", F.lit(False))
     empty = ~no_alt & (F.coalesce("alt_is_empty", F.lit(False)) | (F.coalesce("alt", F.lit("")) == ""))
     faults = {
@@ -151,7 +153,11 @@ def image_audit(images: DataFrame) -> DataFrame:
     first = marked.where("src is not null").groupBy("src").agg(*[F.min_by(n, "id").alias(n) for n in faults])
     a = marked.agg(F.count("*").alias("n_images"), *[F.count_if(n).alias(n) for n in faults])
     b = first.agg(F.count("*").alias("n_unique"), *[F.count_if(n).alias(f"unique_{n}") for n in faults])
-    return a.join(F.broadcast(b), F.lit(True))  # one row beside one row
+    if "srcset" in images.columns:
+        a = a.join(F.broadcast(images.agg(F.count_if(F.coalesce("srcset", F.lit("")) == "").alias("no_srcset"))), F.lit(True))
+    both = a.join(F.broadcast(b), F.lit(True))  # one row beside one row
+    share = lambda n, of: F.when(F.col(of) > 0, F.floor(F.col(n) / F.col(of) * 10000 + 0.5) / 100).otherwise(0.0)
+    return both.select("*", *[share(n, "n_images").alias(f"{n}_pct") for n in faults])
 
 
 def image_formats(images: DataFrame) -> DataFrame:
@@ -178,14 +184,36 @@ def status_overview(pages: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*parts))).alias("metric", "value"))
 
 
-def site_comparison(pages: DataFrame, links: DataFrame, images: DataFrame) -> DataFrame:
-    """(site, n_pages, n_indexable, n_4xx, n_links, n_images, mean_words) by host."""
+def problem_pages(pages: DataFrame, n: int = 100) -> DataFrame:
+    """(url, status_code, note): the first n pages, by url, that answered 400 or more or failed;
+    the note is the error, else the title."""
+    bad = pages.where((F.coalesce("status_code", F.lit(0)) >= 400) | (F.coalesce("crawl_error", F.lit("")) != ""))
+    note = F.when(F.coalesce("crawl_error", F.lit("")) != "", F.col("crawl_error")).otherwise(F.coalesce("title", F.lit("")))
+    return bad.select("url", "status_code", note.alias("note")).orderBy("url").limit(n)
+
+
+def rollups(links: DataFrame, images: DataFrame) -> DataFrame:
+    """(url, n_internal, n_external, n_nofollow, n_images, n_images_without_alt) by page; an
+    empty alternative text counts as none, and a link that doesn't say is external."""
+    inside = F.coalesce("is_internal", F.lit(False))
+    a = links.where("from_url is not null").groupBy(F.col("from_url").alias("url")).agg(F.count_if(inside).alias("n_internal"), F.count_if(~inside).alias("n_external"), F.count_if(F.coalesce("nofollow", F.lit(False))).alias("n_nofollow"))
+    b = images.where("page_url is not null").groupBy(F.col("page_url").alias("url")).agg(F.count("*").alias("n_images"), F.count_if(F.coalesce("alt", F.lit("")) == "").alias("n_images_without_alt"))
+    return a.join(b, "url", "full").select("url", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_internal", "n_external", "n_nofollow", "n_images", "n_images_without_alt")])
+
+
+def site_comparison(pages: DataFrame, links: DataFrame, images: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """(site, n_pages, n_indexable, n_4xx, n_links, n_images, mean_words) by host, and n_schema
+    with structured-data entries (page_url)."""
     h = lambda c: host(c).alias("site")
     p = pages.groupBy(h("url")).agg(F.count("*").alias("n_pages"), F.count_if(F.coalesce("is_indexable", F.lit(False))).alias("n_indexable"), F.count_if(F.col("status_code").between(400, 499)).alias("n_4xx"), F.sum(F.coalesce("word_count", F.lit(0))).alias("w"))
     li = links.groupBy(h("from_url")).agg(F.count("*").alias("n_links"))
     im = images.groupBy(h("page_url")).agg(F.count("*").alias("n_images"))
-    return p.join(li, "site", "left").join(im, "site", "left").select(
-        "site", "n_pages", "n_indexable", "n_4xx", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_images", F.lit(0)).alias("n_images"), (F.floor(F.col("w") / F.col("n_pages") * 100 + 0.5) / 100).alias("mean_words")
+    j, more = p.join(li, "site", "left").join(im, "site", "left"), []
+    if schema is not None:
+        j = j.join(schema.groupBy(h("page_url")).agg(F.count("*").alias("n_schema")), "site", "left")
+        more = [F.coalesce("n_schema", F.lit(0)).alias("n_schema")]
+    return j.select(
+        "site", "n_pages", "n_indexable", "n_4xx", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_images", F.lit(0)).alias("n_images"), *more, (F.floor(F.col("w") / F.col("n_pages") * 100 + 0.5) / 100).alias("mean_words")
     )
 
 

@@ -180,3 +180,23 @@ def merge_keywords(pages: DataFrame, keywords: DataFrame, n: int = 5) -> DataFra
     return pages.select("url").join(totals, "url", "left").join(top, "url", "left").select("url", F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"), F.coalesce("traffic", F.lit(0)).alias("traffic"), F.coalesce("top", F.lit("")).alias("top"))
 
 
+def search_totals(pages: DataFrame) -> DataFrame:
+    """One row of search pages (clicks, impressions, position): sums, click rate in percent and
+    unweighted mean position to two places, pages."""
+    n, i = F.count("*"), F.sum("impressions")
+    return pages.agg(F.sum("clicks").alias("total_clicks"), i.alias("total_impressions"), F.when(i > 0, half_up(F.sum("clicks") / i * 100, 2)).otherwise(0.0).alias("avg_ctr"), F.when(n > 0, half_up(F.sum(F.coalesce("position", F.lit(0.0)).cast("decimal(18,4)")).cast("double") / n, 2)).otherwise(0.0).alias("avg_position"), n.alias("pages_count"))
+
+
+def search_top(pages: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
+    """(kind, name, clicks, impressions): the n pages and the n queries with most clicks."""
+    first = lambda df, c, kind: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), "clicks", "impressions").orderBy(F.desc("clicks"), "name").limit(n)
+    return first(pages, "page", "page").unionByName(first(queries, "query", "query"))
+
+
+def analytics_summary(landing: DataFrame, channels: DataFrame, n: int = 20) -> DataFrame:
+    """(kind, name, sessions, users): one 'total' row named by nothing, the n landing pages with
+    most sessions, and all channels (channel, sessions, users)."""
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    total = landing.agg(z("sessions"), z("users")).select(F.lit("total").alias("kind"), F.lit("").alias("name"), "sessions", "users")
+    pages = landing.select(F.lit("landing").alias("kind"), F.col("path").alias("name"), "sessions", "users").orderBy(F.desc("sessions"), "name", F.desc("users")).limit(n)
+    return total.unionByName(pages).unionByName(channels.select(F.lit("channel").alias("kind"), F.col("channel").alias("name"), "sessions", "users"))

@@ -120,7 +120,7 @@ def least_linked(s, d):
 
 _CAN = f"""{NOW}, p AS (SELECT url, status_code, coalesce(is_indexable, FALSE) AS ix, coalesce(canonical, '') AS c FROM latest),
   j AS (SELECT p.*, t.url AS tu, t.status_code AS ts, t.ix AS ti, t.c AS tc FROM p LEFT JOIN p t ON p.c = t.url),
-  canon AS (SELECT url, unnest(list_filter([CASE WHEN c = '' AND status_code = 200 AND ix THEN 'missing' END, CASE WHEN c <> '' AND c <> url THEN 'canonicalised' END, CASE WHEN c <> '' AND {SITE2('c')} <> {SITE2('url')} THEN 'external' END,
+  canon AS (SELECT url, unnest(list_filter([CASE WHEN c = '' AND status_code = 200 AND ix THEN 'missing' END, CASE WHEN c <> '' AND c <> url THEN 'canonicalised' END, CASE WHEN c <> '' AND {AUTH('c')} <> '' AND NOT (regexp_replace({AUTH('c')}, '^www\\.', '') = {SITE2('url')} OR suffix(regexp_replace({AUTH('c')}, '^www\\.', ''), '.' || {SITE2('url')})) THEN 'external' END,
    CASE WHEN c <> '' AND tu IS NOT NULL AND ts <> 200 THEN 'to_non_200' END, CASE WHEN c <> '' AND tu IS NOT NULL AND ts = 200 AND NOT ti THEN 'to_non_indexable' END, CASE WHEN c <> '' AND c <> url AND tu IS NOT NULL AND tc = url THEN 'loop' END,
    CASE WHEN c <> '' AND c <> url AND tu IS NOT NULL AND tc <> '' AND tc <> c AND tc <> url THEN 'chain' END], lambda x: x IS NOT NULL)) AS issue, c AS canonical FROM j)"""
 
@@ -146,10 +146,11 @@ _IMG = """img AS (SELECT id, src, NOT coalesce(has_alt, FALSE) AS no_alt, coales
   coalesce(coalesce(has_alt, FALSE) AND NOT (coalesce(alt_is_empty, FALSE) OR coalesce(alt, '') = '') AND length(alt) > 125, FALSE) AS long_alt, NOT coalesce(has_explicit_dimensions, FALSE) AS no_dimensions,
   lower(coalesce(file_extension, '')) IN ('jpg','jpeg','png','gif') AS legacy_format, NOT coalesce(is_lazy_loaded, FALSE) AS not_lazy FROM images),
   uni AS (SELECT * FROM img WHERE src IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src ORDER BY id) = 1)"""
+_PCT = lambda c: f"CASE WHEN count(*) > 0 THEN {HALF(f'count(*) FILTER ({c})::DOUBLE / count(*) * 100', 2)} ELSE 0.0 END AS {c}_pct"
 _FAULTS = ("no_alt", "empty_alt", "long_alt", "no_dimensions", "legacy_format", "not_lazy")
 
 
-@query(f"WITH {_IMG} SELECT * FROM (SELECT count(*) AS n_images, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in _FAULTS)} FROM img), (SELECT count(*) AS n_unique, {', '.join(f'count(*) FILTER ({c}) AS unique_{c}' for c in _FAULTS)} FROM uni)")
+@query(f"WITH {_IMG} SELECT * FROM (SELECT count(*) AS n_images, {', '.join(f'count(*) FILTER ({c}) AS {c}' for c in _FAULTS)} FROM img), (SELECT count(*) AS n_unique, {', '.join(f'count(*) FILTER ({c}) AS unique_{c}' for c in _FAULTS)} FROM uni), (SELECT {', '.join(_PCT(c) for c in _FAULTS)} FROM img)")
 def image_audit(s, d):
     return pages.image_audit(table(s, d, "images"))
 
@@ -304,8 +305,8 @@ def link_score(s, d):
     return graph.link_score(now(s, d, "status_code"), _edges(s, d))
 
 
-@query(f"""WITH RECURSIVE {NOW}, e AS (SELECT DISTINCT from_url AS src, to_url_normalized AS dst FROM links WHERE is_internal AND NOT is_special_link AND from_url IS NOT NULL AND to_url_normalized IS NOT NULL),
-  w AS (SELECT url, 0 AS depth FROM latest WHERE depth = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 8) SELECT url, min(depth) AS depth FROM w GROUP BY url""")
+@query(f"""WITH RECURSIVE {NOW}, e AS MATERIALIZED (SELECT DISTINCT from_url AS src, to_url_normalized AS dst FROM links WHERE is_internal AND NOT is_special_link AND from_url IS NOT NULL AND to_url_normalized IS NOT NULL),
+  w(url, depth) USING KEY (url) AS (SELECT url, 0 FROM latest WHERE depth = 0 UNION SELECT e.dst, min(w.depth) + 1 FROM w JOIN e ON e.src = w.url WHERE e.dst NOT IN (SELECT url FROM recurring.w) GROUP BY e.dst) SELECT url, depth FROM w""")
 def reachability(s, d):
     return graph.reachable(_edges(s, d), now(s, d, "depth").where("depth = 0"))
 
@@ -319,18 +320,31 @@ def _hops(s, d):
     return three.unionAll(two).unionAll(one)
 
 
-@query("""WITH p AS (SELECT 'https://r.example/' || page_id AS u, page_id FROM pages WHERE page_id % 3 = 0) SELECT u AS original_url, u || ' > ' || u || '/a' || CASE WHEN page_id % 2 = 0 THEN ' > ' || u || '/b' ELSE '' END || CASE WHEN page_id % 12 = 0 THEN ' > ' || u ELSE '' END AS chain,
+@query("""WITH p AS (SELECT 'https://r.example/' || page_id AS u, page_id FROM pages) SELECT u AS original_url, u || ' > ' || u || '/a' || CASE WHEN page_id % 2 = 0 THEN ' > ' || u || '/b' ELSE '' END || CASE WHEN page_id % 12 = 0 THEN ' > ' || u ELSE '' END AS chain,
   CASE WHEN page_id % 12 = 0 THEN u WHEN page_id % 2 = 0 THEN u || '/b' ELSE u || '/a' END AS final_url, 1 + (page_id % 2 = 0)::INT + (page_id % 12 = 0)::INT AS n_hops, page_id % 2 = 0 AS is_chain, page_id % 12 = 0 AS is_loop, (page_id % 2 = 0)::INT AS n_temporary FROM p""")
 def redirect_chains(s, d):
     return graph.redirect_chains(_hops(s, d))
 
 
+def mixed_content(s, d):
+    """Pages (url, severity) over https with something over http: images (passive), and, standing
+    in for scripts and forms that the tables lack, image links (active) and footer links (form)."""
+    bad = lambda page, target: F.col(page).startswith("https://") & F.col(target).startswith("http://")
+    of_images = table(s, d, "images", "page_url", "src").where(bad("page_url", "src")).select(F.col("page_url").alias("url"), F.lit("passive").alias("severity"))
+    li = table(s, d, "links", "from_url", "to_url", "is_image_link", "in_footer").where(bad("from_url", "to_url") & (F.col("is_image_link") | F.col("in_footer")))
+    return of_images.unionAll(li.select(F.col("from_url").alias("url"), F.when(F.col("is_image_link"), "active").otherwise("form").alias("severity"))).distinct()
+
+
+_MIXED = "mixed AS (SELECT page_url AS url, 'passive' AS severity FROM images WHERE page_url LIKE 'https://%' AND src LIKE 'http://%' UNION SELECT from_url, CASE WHEN is_image_link THEN 'active' ELSE 'form' END FROM links WHERE from_url LIKE 'https://%' AND to_url LIKE 'http://%' AND (is_image_link OR in_footer))"
+
+
 def _issues(p, s, d):
     li, im = links(s, d), table(s, d, "images")
     canon, hyg, thin = pages.canonical_audit(p), pages.url_hygiene(p), pages.thin_content(p)
     inl = pages.inlinked_pages(p, li)
     dup = pages.duplicates(p)
     img = pages.image_audit(im)
+    chains, mixed = graph.redirect_chains(_hops(s, d)), mixed_content(s, d)
     one = lambda c: img.select(F.col(c).alias("affected_count"))
     return issues.collect_issues(
         p,
@@ -339,6 +353,7 @@ def _issues(p, s, d):
             "Long URLs": hyg.where("issue = 'long'"), "Noisy or Duplicate URL Patterns": hyg.where("issue in ('many_params', 'tracking', 'duplicate_path')"), "404 Pages with Inlinks": pages.broken_with_inlinks(p, li), "Duplicate Titles": dup.where("kind = 'title'"),
             "Orphan Pages": inl.where("class = 'orphan'"), "Low Internal Linking": inl.where("class = 'low'"), "Critical Thin Content": thin.where("class = 'critical'"), "Thin Content": thin.where("class = 'thin'"),
             "Images Without Alt": one("unique_no_alt"), "Images Without Dimensions": one("unique_no_dimensions"), "Legacy Image Formats": one("unique_legacy_format"), "Images Without Lazy Loading": one("unique_not_lazy"),
+            "Redirect Chains": chains.where("is_chain"), "Redirect Loops": chains.where("is_loop"), "Active Mixed Content": mixed.where("severity = 'active'"), "Passive Mixed Content": mixed.where("severity = 'passive'"), "Insecure Form Submission (Mixed Content)": mixed.where("severity = 'form'"),
         },
     )
 
@@ -365,11 +380,12 @@ def _rules_sql() -> str:
         "Long URLs": "hyg WHERE issue = 'long'", "Noisy or Duplicate URL Patterns": "hyg WHERE issue IN ('many_params', 'tracking', 'duplicate_path')", "404 Pages with Inlinks": "b404", "Duplicate Titles": "dups WHERE kind = 'title'",
         "Orphan Pages": "inl WHERE n_inlinks = 0", "Low Internal Linking": "inl WHERE n_inlinks BETWEEN 1 AND 2", "Critical Thin Content": "thin WHERE class = 'critical'", "Thin Content": "thin WHERE class = 'thin'",
         "Images Without Alt": "uni WHERE no_alt", "Images Without Dimensions": "uni WHERE no_dimensions", "Legacy Image Formats": "uni WHERE legacy_format", "Images Without Lazy Loading": "uni WHERE not_lazy",
+        "Redirect Chains": "pages WHERE page_id % 2 = 0", "Redirect Loops": "pages WHERE page_id % 12 = 0", "Active Mixed Content": "mixed WHERE severity = 'active'", "Passive Mixed Content": "mixed WHERE severity = 'passive'", "Insecure Form Submission (Mixed Content)": "mixed WHERE severity = 'form'",
     }
     parts += [f"SELECT '{k}', count(*) FROM {c}" for k, c in more.items()]
     known = ", ".join(f"('{n}', '{sv}', '{c}', {least})" for n, sv, c, least in issues.RULES)
     strip = lambda c: c[len(NOW) + 2 :]
-    ctes = ", ".join([NOW, strip(_CAN), strip(_HYG), strip(_B404), strip(_INL), strip(_THIN), _IMG, _DUPS[len("WITH ") + len(NOW) + 2 :]])
+    ctes = ", ".join([NOW, strip(_CAN), strip(_HYG), strip(_B404), strip(_INL), strip(_THIN), _IMG, _MIXED, _DUPS[len("WITH ") + len(NOW) + 2 :]])
     return f"WITH {ctes}, found AS ({' UNION ALL '.join(parts)}), rules(issue_type, severity, category, least) AS (VALUES {known}), iss AS (SELECT issue_type, severity, category, affected_count FROM found JOIN rules USING (issue_type) WHERE affected_count >= least)"
 
 
@@ -387,12 +403,14 @@ def issues_by_severity(s, d):
 
 
 def _hint_sql() -> str:
-    case = lambda at, other: "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(issue_type), '{w}')''' for w in h[0])} THEN '{h[at]}'" for h in issues.HINTS) + f" ELSE {other} END"
+    has = lambda words: " OR ".join("contains(lower(issue_type), '" + w + "')" for w in words)
+    case = lambda values, other: "CASE " + " ".join("WHEN " + has(h[0]) + " THEN '" + v.replace("'", "''") + "'" for h, v in zip(issues.HINTS, values)) + f" ELSE {other} END"
     w = lambda c: f"CASE {c} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
-    imp = case(1, "CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN severity = 'medium' THEN 'medium' ELSE 'low' END")
-    eff = case(2, "'medium'")
+    imp = case([h[1] for h in issues.HINTS], "CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN severity = 'low' THEN 'low' ELSE 'medium' END")
+    eff = case([h[2] for h in issues.HINTS], "'medium'")
+    why, how = (case([a[i] for a in issues.ADVICE], "''") for i in (0, 1))
     ratio = HALF("(" + w("impact") + ")::DOUBLE / (" + w("effort") + ")", 2)
-    return f", hin AS (SELECT *, {imp} AS impact, {eff} AS effort FROM iss) SELECT *, {ratio} AS hint_score FROM hin"
+    return f", hin AS (SELECT *, {imp} AS impact, {eff} AS effort, {why} AS why, {how} AS how FROM iss) SELECT *, {ratio} AS hint_score FROM hin"
 
 
 @query(_ISS + _hint_sql())
@@ -451,18 +469,19 @@ def technical_index(s, d):
 
 
 def _search(s, d):
-    """Search rows stood in for by clicks derived from the crawl: impressions by depth."""
-    p = table(s, d, "pages", "page_id", "url", "depth").where("page_id % 4 = 0")
+    """Search rows stood in for by numbers derived from the crawl: a row for each page row with a
+    title, so that pages without one have none."""
+    p = table(s, d, "pages", "page_id", "url", "title").where("coalesce(title, '') <> ''")
     return p.select(F.col("url").alias("page"), (F.col("page_id") % 23).alias("clicks"), (F.col("page_id") % 997).alias("impressions"), (F.col("page_id") % 50).cast("double").alias("position"))
 
 
 def _landing(s, d):
-    p = table(s, d, "pages", "page_id", "url").where("page_id % 3 = 0")
+    p = table(s, d, "pages", "page_id", "url", "status_code").where("status_code = 200")
     return p.select(urls.part("url", "path").alias("path"), (F.col("page_id") % 41).alias("sessions"), (F.col("page_id") % 17).alias("users"), ((F.col("page_id") % 8) / 8).alias("engagement_rate"))
 
 
-_SEARCH = "search AS (SELECT url AS page, page_id % 23 AS clicks, page_id % 997 AS impressions, (page_id % 50)::DOUBLE AS position FROM pages WHERE page_id % 4 = 0)"
-_LAND = f"landing AS (SELECT {PATH('url')} AS path, page_id % 41 AS sessions, page_id % 17 AS users, (page_id % 8) / 8.0::DOUBLE AS er FROM pages WHERE page_id % 3 = 0), bp AS (SELECT {PATHKEY('path')} AS path, sum(sessions) AS sessions, sum(users) AS users, CASE WHEN sum(sessions) > 0 THEN {HALF('sum(er * sessions) / sum(sessions)', 4)} ELSE 0.0 END AS engagement_rate FROM landing GROUP BY 1)"
+_SEARCH = "search AS (SELECT url AS page, page_id % 23 AS clicks, page_id % 997 AS impressions, (page_id % 50)::DOUBLE AS position FROM pages WHERE coalesce(title, '') <> '')"
+_LAND = f"landing AS (SELECT {PATH('url')} AS path, page_id % 41 AS sessions, page_id % 17 AS users, (page_id % 8) / 8.0::DOUBLE AS er FROM pages WHERE status_code = 200), bp AS (SELECT {PATHKEY('path')} AS path, sum(sessions) AS sessions, sum(users) AS users, CASE WHEN sum(sessions) > 0 THEN {HALF('sum(er * sessions) / sum(sessions)', 4)} ELSE 0.0 END AS engagement_rate FROM landing GROUP BY 1)"
 _UNI = f"""{_SEARCH}, {_LAND}, sp AS (SELECT page, arg_max(struct_pack(c := clicks, i := impressions, p := position), struct_pack(a := impressions, b := clicks)) AS s FROM search GROUP BY page),
   spp AS (SELECT {PATHKEY('page')} AS path, arg_min(struct_pack(c := clicks, i := impressions, p := position), page) AS s, min(page) AS page FROM search GROUP BY 1),
   uni2 AS (SELECT idx.*, coalesce(coalesce(sp.s, spp.s).c, 0) AS clicks, coalesce(coalesce(sp.s, spp.s).i, 0) AS impressions, coalesce(bp.sessions, 0) AS sessions, coalesce(bp.engagement_rate, 0.0) AS er FROM idx LEFT JOIN sp ON sp.page = idx.url LEFT JOIN spp ON spp.path = idx.path LEFT JOIN bp ON bp.path = idx.path)"""

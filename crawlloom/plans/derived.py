@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from crawlloom.functions import html, urls
+from crawlloom.functions.text import HREFLANG
 from crawlloom.operators import content, logs, similarity
-from crawlloom.plans.audit import HALF, HOST, NOW, PATH, PATHKEY, links, now
+from crawlloom.plans.audit import _MIXED, HALF, HOST, NOW, PATH, PATHKEY, SQUEEZE, links, mixed_content, now
+from crawlloom.plans.problems import normal_form_sql
 from crawlloom.sources import importers, readers
-from crawlloom.session import shared_dir
+from crawlloom.session import scratch
 from crawlloom.sources.safety import is_safe
 from crawlloom.streaming import logs as streams
 from crawlloom.tables import table
@@ -29,25 +29,29 @@ def query(sql: str | None = None):
     return add
 
 
-# Language alternates: every page names itself under its label, and its canonical as x-default.
-_TAGS = f"{NOW}, tags AS (SELECT url, coalesce(language, '') AS hreflang, url AS href FROM latest WHERE page_id % 5 <> 0 UNION ALL SELECT url, 'x-default', canonical FROM latest WHERE canonical IS NOT NULL AND page_id % 3 = 0)"
+# Language alternates: pages name themselves under their label and their canonical as x-default,
+# so that pages without label or without canonical lack the one or the other.
+CODE = lambda c: f"(CASE WHEN lower(trim({c})) = 'x-default' THEN 'x-default' ELSE array_to_string(list_transform(string_split(trim({c}), '-'), lambda p, i: CASE WHEN i = 1 THEN lower(p) WHEN regexp_full_match(p, '\\p{{L}}{{4}}') THEN upper(p[1]) || lower(p[2:]) ELSE upper(p) END), '-') END)"
+_TAGS = f"{NOW}, tags AS (SELECT *, {CODE('hreflang')} AS code FROM (SELECT url, language AS hreflang, url AS href FROM latest WHERE language IS NOT NULL UNION ALL SELECT url, 'x-default', canonical FROM latest WHERE canonical IS NOT NULL))"
+_IS = "lower(regexp_extract(coalesce(p.language, ''), '^([A-Za-z]{2})(?:[-_].*)?$', 1))"
+_HREF = f"""{_TAGS}, src AS (SELECT url, bool_or(code = 'x-default') AS x, bool_or(href = url) AS s FROM tags GROUP BY url), tgt AS (SELECT t.url, t.href, t.code, p.status_code, coalesce(p.is_indexable, FALSE) AS ix, {_IS} AS is_lang FROM tags t JOIN latest p ON p.url = t.href),
+  aud AS (SELECT url, 'missing_x_default' AS issue, '' AS detail FROM src WHERE NOT x UNION SELECT url, 'missing_self', '' FROM src WHERE NOT s UNION SELECT url, 'to_non_200', href FROM tgt WHERE status_code <> 200 UNION SELECT url, 'to_noindex', href FROM tgt WHERE status_code = 200 AND NOT ix
+   UNION SELECT url, 'no_return', href FROM tgt WHERE href <> url AND (href, url) NOT IN (SELECT (url, href) FROM tags) UNION SELECT url, 'invalid_code', hreflang FROM tags WHERE NOT regexp_matches(code, '{HREFLANG}')
+   UNION SELECT url, 'duplicate_lang', lower(hreflang) FROM tags GROUP BY url, lower(hreflang) HAVING count(DISTINCT href) > 1 UNION SELECT url, 'language_mismatch', href FROM tgt WHERE code <> 'x-default' AND is_lang <> '' AND is_lang <> lower(string_split(code, '-')[1]))"""
 
 
 def _tags(s, d):
     p = now(s, d, "language", "canonical")
-    own = p.where("page_id % 5 <> 0").select("url", F.coalesce("language", F.lit("")).alias("hreflang"), F.col("url").alias("href"))
-    return own.unionAll(p.where("canonical is not null and page_id % 3 = 0").select("url", F.lit("x-default").alias("hreflang"), F.col("canonical").alias("href")))
+    own = p.where("language is not null").select("url", F.col("language").alias("hreflang"), F.col("url").alias("href"))
+    return own.unionAll(p.where("canonical is not null").select("url", F.lit("x-default").alias("hreflang"), F.col("canonical").alias("href")))
 
 
-@query(f"""WITH {_TAGS}, src AS (SELECT url, bool_or(lower(hreflang) = 'x-default') AS x, bool_or(href = url) AS s FROM tags GROUP BY url), tgt AS (SELECT t.url, t.href, p.status_code, coalesce(p.is_indexable, FALSE) AS ix FROM tags t JOIN latest p ON p.url = t.href)
-  SELECT issue, count(*) AS n FROM (SELECT url, 'missing_x_default' AS issue, '' AS detail FROM src WHERE NOT x UNION SELECT url, 'missing_self', '' FROM src WHERE NOT s UNION SELECT url, 'to_non_200', href FROM tgt WHERE status_code <> 200 UNION SELECT url, 'to_noindex', href FROM tgt WHERE status_code = 200 AND NOT ix
-   UNION SELECT url, 'no_return', href FROM tgt WHERE href <> url AND (href, url) NOT IN (SELECT (url, href) FROM tags)) GROUP BY issue""")
+@query(f"WITH {_HREF} SELECT issue, count(*) AS n FROM aud GROUP BY issue")
 def hreflang_summary(s, d):
-    found = content.hreflang_audit(_tags(s, d), now(s, d, "status_code", "is_indexable", "language"))
-    return found.where("issue not in ('invalid_code', 'duplicate_lang', 'language_mismatch')").groupBy("issue").agg(F.count("*").alias("n"))
+    return content.hreflang_audit(_tags(s, d), now(s, d, "status_code", "is_indexable", "language")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_HREF} SELECT * FROM aud")
 def hreflang_audit(s, d):
     return content.hreflang_audit(_tags(s, d), now(s, d, "status_code", "is_indexable", "language"))
 
@@ -59,18 +63,36 @@ def _entries(s, d):
     return p.select(F.col("url").alias("page_url"), kind.alias("type"), F.to_json(doc).alias("raw_data"))
 
 
-@query("""WITH e AS (SELECT CASE page_id % 3 WHEN 0 THEN 'Article' WHEN 1 THEN 'Product' ELSE 'Thing' END AS type, coalesce(trim(title, ' '), '') AS t, page_id % 4 = 0 AS im FROM pages WHERE page_id % 2 = 0),
-  f AS (SELECT type, CASE WHEN type = 'Thing' THEN 'unknown' WHEN t IN ('', '0', '0.0', 'false', 'null', '[]', '{}') OR NOT im THEN 'invalid' ELSE 'incomplete' END AS state FROM e) SELECT type, state, count(*) AS n FROM f GROUP BY ALL""")
+_LACK = lambda names: "list_filter([" + ", ".join(f"CASE WHEN coalesce({e}, '') IN ('', '0', '0.0', 'false', 'null', '[]', '{{}}') THEN '{n}' END" for n, e in names) + "], lambda x: x IS NOT NULL)"
+_HAS = {"name": "t", "headline": "t", "image": "im", "description": "m", "datePublished": "'2025-01-01'", "author": "'x'"}
+_OF = lambda which, kind: _LACK([(n, _HAS.get(n, "''")) for n in which[kind]])
+_CASES = lambda which: "CASE type " + " ".join(f"WHEN '{k}' THEN {_OF(which, k)}" for k in ("Article", "Product")) + " ELSE [] END"
+
+
+@query(f"""WITH e AS (SELECT CASE page_id % 3 WHEN 0 THEN 'Article' WHEN 1 THEN 'Product' ELSE 'Thing' END AS type, trim(title, ' ') AS t, trim(meta_description, ' ') AS m, CASE WHEN page_id % 4 = 0 THEN 'i.png' END AS im FROM pages),
+  f AS (SELECT type, {_CASES(content.REQUIREMENTS)} AS req, {_CASES(content.RECOMMENDATIONS)} AS rec FROM e)
+  SELECT type, CASE WHEN type = 'Thing' THEN 'unknown' WHEN len(req) > 0 THEN 'invalid' WHEN len(rec) > 0 THEN 'incomplete' ELSE 'eligible' END AS state, array_to_string(CASE WHEN len(req) > 0 THEN req ELSE rec END, ',') AS missing, count(*) AS n FROM f GROUP BY ALL""")
 def schema_validation(s, d):
-    return content.schema_audit(_entries(s, d)).groupBy("type", "state").agg(F.count("*").alias("n"))
+    return content.schema_audit(_entries(s, d)).groupBy("type", "state", "missing").agg(F.count("*").alias("n"))
+
+
+@query("SELECT type, count(*) AS n FROM (SELECT unnest(CASE page_id % 3 WHEN 0 THEN ['Article'] WHEN 1 THEN ['Product'] ELSE ['Thing', 'Person'] END) AS type FROM pages) GROUP BY type")
+def schema_types(s, d):
+    return content.schema_types(_entries(s, d))
+
+
+@query("SELECT unnest(['Organization', 'BreadcrumbList', 'WebSite']) AS missing_type FROM (SELECT count(*) AS n FROM pages) WHERE n > 0")
+def schema_opportunities(s, d):
+    return content.schema_opportunities(_entries(s, d))
 
 
-_SM = "sm AS (SELECT DISTINCT url FROM latest WHERE page_id % 3 <> 0 UNION SELECT url || 'missing' FROM latest WHERE page_id % 50 = 0)"
+# A sitemap of the pages that have a description or didn't answer 200, and of all canonicals.
+_SM = "sm AS (SELECT DISTINCT url FROM latest WHERE coalesce(meta_description, '') <> '' OR status_code <> 200 UNION SELECT canonical FROM latest WHERE canonical IS NOT NULL)"
 
 
 def _sitemap(s, d):
-    p = now(s, d, "status_code")
-    return p.where("page_id % 3 <> 0").select("url").unionAll(p.where("page_id % 50 = 0").select(F.concat("url", F.lit("missing")).alias("url")))
+    p = now(s, d, "status_code", "meta_description", "canonical")
+    return p.where("coalesce(meta_description, '') <> '' or status_code <> 200").select("url").unionAll(p.where("canonical is not null").select(F.col("canonical").alias("url")))
 
 
 @query(f"""WITH {NOW}, {_SM}, j AS (SELECT coalesce(sm.url, p.url) AS url, sm.url AS su, p.url AS pu, coalesce(status_code, 0) AS st, coalesce(is_indexable, TRUE) AS ix, coalesce(canonical, '') AS c, coalesce(depth, 99) AS depth FROM sm FULL JOIN latest p ON p.url = sm.url)
@@ -86,16 +108,16 @@ def sitemap_coverage(s, d):
 
 
 def _headers(s, d):
-    p = now(s, d, "status_code").where("page_id % 4 <> 0")
+    p = now(s, d, "server").where("server is not null")  # no headers were kept where no server is named
     on = lambda k: F.when(F.col("page_id") % k == 0, F.lit("on"))
     return p.select(F.col("url").alias("page_url"), (F.col("page_id") % 2 == 0).alias("hsts_enabled"), on(3).alias("csp"), on(5).alias("x_frame_options"), on(7).alias("x_content_type_options"), on(2).alias("referrer_policy"), F.lit("").alias("permissions_policy"))
 
 
-@query(f"""WITH {NOW}, p AS (SELECT url, page_id, page_id % 4 <> 0 AS h FROM latest WHERE status_code = 200), x AS (SELECT url, unnest(list_filter([CASE WHEN lower(url) NOT LIKE 'https://%' THEN 'not_https|high' END, CASE WHEN NOT (h AND page_id % 2 = 0) THEN 'missing_hsts_enabled|high' END, CASE WHEN NOT (h AND page_id % 3 = 0) THEN 'missing_csp|medium' END,
-  CASE WHEN NOT (h AND page_id % 5 = 0) THEN 'missing_x_frame_options|medium' END, CASE WHEN NOT (h AND page_id % 7 = 0) THEN 'missing_x_content_type_options|low' END, CASE WHEN NOT (h AND page_id % 2 = 0) THEN 'missing_referrer_policy|low' END, 'missing_permissions_policy|low'], lambda x: x IS NOT NULL)) AS i FROM p)
+@query(f"""WITH {NOW}, {_MIXED}, p AS (SELECT url, page_id, server IS NOT NULL AS h FROM latest WHERE status_code = 200), x AS (SELECT url, unnest(list_filter([CASE WHEN lower(url) NOT LIKE 'https://%' THEN 'not_https|high' END, CASE WHEN NOT (h AND page_id % 2 = 0) THEN 'missing_hsts_enabled|high' END, CASE WHEN NOT (h AND page_id % 3 = 0) THEN 'missing_csp|medium' END,
+  CASE WHEN NOT (h AND page_id % 5 = 0) THEN 'missing_x_frame_options|medium' END, CASE WHEN NOT (h AND page_id % 7 = 0) THEN 'missing_x_content_type_options|low' END, CASE WHEN NOT (h AND page_id % 2 = 0) THEN 'missing_referrer_policy|low' END, 'missing_permissions_policy|low', CASE WHEN url IN (SELECT url FROM mixed) THEN 'mixed_content|high' END], lambda x: x IS NOT NULL)) AS i FROM p)
   SELECT url, string_split(i, '|')[1] AS issue, string_split(i, '|')[2] AS severity FROM x""")
 def security_headers(s, d):
-    return content.security_audit(now(s, d, "status_code"), _headers(s, d))
+    return content.security_audit(now(s, d, "status_code"), _headers(s, d), mixed_content(s, d))
 
 
 def _resources(s, d):
@@ -103,9 +125,10 @@ def _resources(s, d):
     return i.select("page_url", F.col("src").alias("url"), F.coalesce("file_extension", F.lit("")).alias("resource_type"), (urls.host("src") == urls.host("page_url")).alias("is_internal"), (F.col("page_url").startswith("https://") & F.col("src").startswith("http://")).alias("is_mixed_content"))
 
 
-@query(f"SELECT coalesce(file_extension, '') AS resource_type, count(*) AS n, count(DISTINCT src) AS n_unique, count(*) FILTER ({HOST('src')} = {HOST('page_url')}) AS n_internal, count(*) FILTER (page_url LIKE 'https://%' AND src LIKE 'http://%') AS n_mixed, 0 AS n_broken FROM images GROUP BY 1")
+@query(f"SELECT coalesce(file_extension, '') AS resource_type, count(*) AS n, count(DISTINCT src) AS n_unique, count(*) FILTER ({HOST('src')} = {HOST('page_url')}) AS n_internal, count(*) FILTER (page_url LIKE 'https://%' AND src LIKE 'http://%') AS n_mixed, count(*) FILTER (length(src) % 7 = 0) AS n_broken FROM images GROUP BY 1")
 def resource_inventory(s, d):
-    return content.resource_inventory(_resources(s, d))
+    status = F.when(F.char_length("url") % 7 == 0, 404).otherwise(200).alias("status_code")
+    return content.resource_inventory(_resources(s, d), _resources(s, d).select("url").distinct().select("url", status))
 
 
 def _axe(s, d):
@@ -143,12 +166,14 @@ def pagination_audit(s, d):
 
 
 def _statuses(s, d):
-    t = links(s, d).where("not is_internal and not is_special_link").select(F.col("to_url_normalized").alias("url"), "id").where("url is not null").groupBy("url").agg(F.min("id").alias("id")).where("id % 3 <> 0")
+    """Statuses of external targets, known for those that were linked in the first twenty runs."""
+    t = table(s, d, "links", "id", "run_id", "to_url_normalized", "is_internal", "is_special_link").where("not is_internal and not is_special_link and to_url_normalized is not null")
+    t = t.groupBy(F.col("to_url_normalized").alias("url")).agg(F.min("id").alias("id"), F.min("run_id").alias("run")).where("run < 20")
     codes = F.array(*map(F.lit, (200, 200, 404, 403, 500, 429, 301)))
     return t.select("url", codes[(F.col("id") % 7).cast("int")].alias("status_code"), F.when(F.col("id") % 11 == 0, F.lit("timeout")).alias("error"))
 
 
-_ST = "st AS (SELECT url, [200,200,404,403,500,429,301][(id % 7) + 1] AS status_code, CASE WHEN id % 11 = 0 THEN 'timeout' END AS error FROM (SELECT to_url_normalized AS url, min(id) AS id FROM links WHERE NOT is_internal AND NOT is_special_link AND to_url_normalized IS NOT NULL GROUP BY 1) WHERE id % 3 <> 0)"
+_ST = "st AS (SELECT url, [200,200,404,403,500,429,301][(id % 7) + 1] AS status_code, CASE WHEN id % 11 = 0 THEN 'timeout' END AS error FROM (SELECT to_url_normalized AS url, min(id) AS id, min(run_id) AS run FROM links WHERE NOT is_internal AND NOT is_special_link AND to_url_normalized IS NOT NULL GROUP BY 1) WHERE run < 20)"
 
 
 @query(f"WITH {_ST} SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN status_code IN (401, 403, 429) THEN 'blocked' WHEN status_code >= 400 THEN 'broken' ELSE 'ok' END AS class, count(*) AS n FROM st GROUP BY 1")
@@ -156,6 +181,11 @@ def external_status(s, d):
     return content.external_status(_statuses(s, d))
 
 
+@query(f"WITH {_ST} SELECT * FROM st WHERE (status_code >= 400 AND status_code NOT IN (401, 403, 429)) OR error IS NOT NULL")
+def broken_external(s, d):
+    return content.broken_external(_statuses(s, d))
+
+
 @query(f"WITH {_ST} SELECT DISTINCT to_url_normalized AS url FROM links WHERE NOT is_internal AND NOT is_special_link AND regexp_matches(to_url_normalized, '^https?://') AND to_url_normalized NOT IN (SELECT url FROM st)")
 def external_unchecked(s, d):
     return content.unchecked_external(links(s, d), _statuses(s, d))
@@ -215,27 +245,46 @@ def near_duplicate_members(s, d):
 
 
 def _markup(s, d):
-    p = now(s, d, "title", "meta_description", "canonical", "h1_text").where("trim(title) <> '' and canonical is not null and canonical <> ''")
+    """A small document for every page: title, description, canonical, links, image, paragraphs."""
+    p = now(s, d, "title", "meta_description", "canonical")
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     t, m, c = esc(F.col("title")), esc(F.col("meta_description")), esc(F.col("canonical"))
-    page = F.concat(F.lit("<html><head><title>"), t, F.lit('</title><meta name="description" content="'), m, F.lit('"><link rel="canonical" href="'), c, F.lit('"></head><body><nav><a href="/x?utm_source=a">Home</a></nav><h1>'), t, F.lit('</h1><p>One.</p><script>var a = "</p>";</script><img src="a.png" alt=""><p>Two.</p><footer><a href="mailto:a@b.example" rel="nofollow">Mail</a></footer></body></html>'))
+    page = F.concat(*[F.lit(x) if x not in ("T", "M", "C") else {"T": t, "M": m, "C": c}[x] for x in _PIECES])
     return p.select("page_id", "url", page.alias("html"))
 
 
-_MK = f"{NOW}, mk AS (SELECT * FROM latest WHERE trim(title) <> '' AND canonical IS NOT NULL AND canonical <> '')"
+# A document in pieces; T, M and C stand for title, description and canonical.
+_PIECES = (
+    "<html><head><title>", "T", '</title><meta name="description" content="', "M", '"><link rel="canonical" href="', "C", '"></head><body><nav><a href="/x?utm_source=a">Home</a></nav><h1>', "T",
+    '</h1><p>One.</p><script>var a = "</p>";</script><img src="a.png" alt=""><p>Two.</p><footer><a href="mailto:a@b.example" rel="nofollow">Mail</a></footer></body></html>',
+)
+_ESC = lambda c: f"replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
+_BYTES = "strlen(" + " || ".join({"T": _ESC("title"), "M": _ESC("meta_description"), "C": _ESC("canonical")}.get(x, f"'{x}'") for x in _PIECES) + ")"
+_TITLE, _DESC = SQUEEZE("coalesce(title, '')"), SQUEEZE("coalesce(meta_description, '')")
+_TEXT = f"'Home ' || CASE WHEN {_TITLE} = '' THEN '' ELSE {_TITLE} || ' ' END || 'One. Two. Mail'"
 
 
-@query(f"WITH {_MK} SELECT page_id, list_sum([1]) AS one, 2 AS n_paragraphs, 1 AS n_headings, 2 AS n_links, 1 AS n_images, coalesce(trim(meta_description), '') AS description FROM mk")
+@query(f"WITH {NOW} SELECT page_id, {_TITLE} AS title, 2 AS n_paragraphs, CASE WHEN {_TITLE} = '' THEN 0 ELSE 1 END AS n_headings, 2 AS n_links, 1 AS n_images, trim(coalesce(meta_description, '')) AS description, {_TEXT} AS text, CASE WHEN coalesce(canonical, '') <> '' THEN {normal_form_sql('canonical')} END AS canonical FROM latest")
 def html_extract(s, d):
     x = html.extract(_markup(s, d))
-    return x.select("page_id", F.lit(1).alias("one"), "n_paragraphs", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.col("meta")["description"].alias("description"))
+    return x.select("page_id", "title", "n_paragraphs", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.col("meta")["description"].alias("description"), "text", "canonical")
+
+
+@query(f"WITH {NOW}, t AS (SELECT page_id, {_TEXT} AS t, {_BYTES} AS b FROM latest) SELECT page_id, strlen(t) AS text_bytes, b AS html_bytes, {HALF('strlen(t)::DOUBLE / b * 100', 2)} AS text_to_html_ratio, substr(t, 1, 500) AS preview, 2 AS n_paragraphs FROM t")
+def html_content(s, d):
+    return html.measured(_markup(s, d)).select("page_id", "text_bytes", "html_bytes", "text_to_html_ratio", "preview", "n_paragraphs")
 
 
-@query(f"WITH {_MK} SELECT page_id, lower(regexp_extract(url, '^([^:]+://)', 1)) || {HOST('url')} || '/x' AS to_url, 'Home' AS anchor, TRUE AS in_navigation FROM mk")
+@query(f"WITH {NOW} SELECT page_id, lower(regexp_extract(url, '^([^:]+://)', 1)) || {HOST('url')} || '/x' AS to_url, 'Home' AS anchor, TRUE AS in_navigation FROM latest")
 def html_links(s, d):
     return html.children(html.extract(_markup(s, d)), "links").where("not is_special").select("page_id", "to_url", "anchor", "in_navigation")
 
 
+@query(f"WITH {NOW} SELECT page_id, lower(regexp_extract(url, '^([^:]+://)', 1)) || {HOST('url')} || regexp_extract({PATH('url')}, '^(.*/)', 1) || 'a.png' AS src, '' AS alt, TRUE AS has_alt, FALSE AS has_dimensions, FALSE AS is_lazy, 'png' AS extension FROM latest")
+def html_images(s, d):
+    return html.children(html.extract(_markup(s, d)), "images").select("page_id", "src", "alt", "has_alt", "has_dimensions", "is_lazy", "extension")
+
+
 def _payload(s, d):
     p = table(s, d, "pages", "page_id", "url")
     audit = lambda score, mode: F.struct(F.lit("t").alias("title"), score.alias("score"), F.lit(mode).alias("scoreDisplayMode"))
@@ -244,12 +293,12 @@ def _payload(s, d):
     return p.select("url", "page_id", F.to_json(F.struct(F.struct(c.alias("categories"), a.alias("audits")).alias("lighthouseResult"))).alias("payload"))
 
 
-@query("SELECT url, 'speed' AS audit_id, (page_id % 100) / 100.0::DOUBLE AS score, 'numeric' AS mode FROM pages WHERE page_id % 10 = 0 AND page_id % 100 < 100")
+@query("SELECT url, 'speed' AS audit_id, (page_id % 100) / 100.0::DOUBLE AS score, 'numeric' AS mode FROM pages")
 def lighthouse_failed(s, d):
     return importers.failed_audits(_payload(s, d)).select("url", "audit_id", "score", "mode")
 
 
-@query("SELECT url, (page_id % 100)::INT AS performance FROM pages WHERE page_id % 10 = 0")
+@query("SELECT url, (page_id % 100)::INT AS performance FROM pages")
 def speed_metrics(s, d):
     return importers.speed_metrics(_payload(s, d)).select("url", "performance")
 
@@ -268,20 +317,28 @@ def crux_series(s, d):
     return importers.history(_crux(s, d)).select("origin", "period_end", F.col("lcp_p75_ms").alias("lcp"))
 
 
-@query("SELECT to_url AS url, count(*) AS n FROM links WHERE contains(to_url, '/sale') OR regexp_matches(to_url, '\\.html$') GROUP BY 1")
+@query("SELECT to_url AS url, count(*) AS n FROM links WHERE contains(to_url, '/sale') OR contains(to_url, '.html') OR regexp_matches(to_url, '/p[0-9]') GROUP BY 1")
 def pattern_filter(s, d):
-    return table(s, d, "links", "to_url").where(readers.matches_any("to_url", ["/sale", "*.html"]) & (F.col("to_url").contains("/sale") | F.col("to_url").endswith(".html"))).groupBy(F.col("to_url").alias("url")).agg(F.count("*").alias("n"))
+    fits = readers.matches_any("to_url", ["/sale", "*.html", "/p[0-9]"])
+    return table(s, d, "links", "to_url").where(fits).groupBy(F.col("to_url").alias("url")).agg(F.count("*").alias("n"))
+
+
+# Literal addresses from customer keys, so that every reserved range occurs.
+_FIRST = (10, 127, 172, 192, 169, 8, 100, 224, 0, 203)
 
 
-@query("SELECT DISTINCT to_url AS url, regexp_matches(lower(to_url), '^https?://[^/?#]') AS safe FROM links")
+@query(f"""WITH ip AS (SELECT {list(_FIRST)}[c_custkey % {len(_FIRST)} + 1] AS a, (c_custkey // {len(_FIRST)}) % 256 AS b FROM customer)
+  SELECT DISTINCT to_url AS url, coalesce(regexp_matches(lower(to_url), '^https?://[^/?#]'), FALSE) AS safe FROM links UNION SELECT 'http://' || a || '.' || b || '.0.1/', NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b IN (0, 168)) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)) FROM ip""")
 def safe_addresses(s, d):
-    return table(s, d, "links", "to_url").distinct().select(F.col("to_url").alias("url"), is_safe(F.col("to_url")).alias("safe"))
+    key = table(s, d, "customer", "c_custkey").select("c_custkey", F.array(*map(F.lit, _FIRST))[(F.col("c_custkey") % len(_FIRST)).cast("int")].alias("a"))
+    literal = key.select(F.concat(F.lit("http://"), F.col("a").cast("string"), F.lit("."), (F.floor(F.col("c_custkey") / len(_FIRST)) % 256).cast("string"), F.lit(".0.1/")).alias("url"))
+    return table(s, d, "links", "to_url").select(F.col("to_url").alias("url")).unionAll(literal).distinct().select("url", is_safe(F.col("url")).alias("safe"))
 
 
 @query(f"WITH {_HITS}, {_BUD} SELECT * FROM bud")
 def log_stream(s, d):
     """The crawl budget as a stream over files of lines, read until they are used up."""
-    root = f"{shared_dir(s)}/log-stream-{uuid.uuid4().hex}"
+    root = scratch(s, "log-stream")
     _lines(s, d).repartition(4).write.text(f"{root}/lines")
     out = streams.running_budget(streams.log_lines(s, f"{root}/lines", 2)).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state")
     out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/budget")).trigger(availableNow=True).start().awaitTermination()
@@ -291,7 +348,7 @@ def log_stream(s, d):
 @query()
 def throttle_state(s, d):
     """Delay after every event of a host, the events arriving as a stream."""
-    root = f"{shared_dir(s)}/throttle-{uuid.uuid4().hex}"
+    root = scratch(s, "throttle")
     e = table(s, d, "events", "event_id", "user_id", "value")
     codes = F.array(*map(F.lit, (200, 200, 429, 503, 404)))
     e.select((F.col("user_id") % 40).cast("string").alias("host"), "event_id", codes[(F.col("event_id") % 5).cast("int")].alias("status_code"), (F.coalesce("value", F.lit(0.0)) * 50).alias("ms")).write.parquet(f"{root}/events")

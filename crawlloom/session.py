@@ -60,8 +60,30 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, placed: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder in buckets by hash of ``key``, as many as there are
+    shuffle partitions, and read it back: joins and aggregations on the key then need no
+    exchange. ``placed``: its rows already lie so (it comes from such a join)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    (df if placed else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved; the files outlive the name
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder that ``drop_stages`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def drop_stages() -> None:
-    """Delete what ``stage`` wrote; called at exit, or when results have been consumed."""
+    """Delete what ``stage`` wrote and ``scratch`` named; called at exit, or when results have been consumed."""
     while _staged:
         spark, path = _staged.pop()
         try:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlloom.functions.urls import host
+
 AUDIT = "struct<id:string,title:string,score:string,scoreDisplayMode:string,displayValue:string,numericValue:double,details:string>"
 
 
@@ -12,15 +14,30 @@ def _lighthouse(payload: Column) -> Column:
     return F.coalesce(F.get_json_object(payload, "$.lighthouseResult"), payload)
 
 
-def speed_metrics(raw: DataFrame) -> DataFrame:
-    """(url, four scores in percent, lab and field metrics, overall category) of (url, payload)."""
+def _speed_columns() -> dict[str, Column]:
     j = _lighthouse(F.col("payload"))
     num = lambda path: F.get_json_object(j, path).cast("double")
     field = lambda k: F.get_json_object("payload", f"$.loadingExperience.metrics.{k}.percentile").cast("double")
-    scores = [F.floor(num(f"$.categories.{k}.score") * 100 + 0.5).cast("int").alias(a) for k, a in (("performance", "performance"), ("accessibility", "accessibility"), ("best-practices", "best_practices"), ("seo", "seo"))]
-    lab = [num(f"$.audits.{k}.numericValue").alias(a) for k, a in (("first-contentful-paint", "fcp"), ("largest-contentful-paint", "lcp"), ("total-blocking-time", "tbt"), ("cumulative-layout-shift", "cls"), ("speed-index", "speed_index"), ("interactive", "tti"))]
-    real = [field(k).alias(a) for k, a in (("LARGEST_CONTENTFUL_PAINT_MS", "field_lcp"), ("INTERACTION_TO_NEXT_PAINT", "field_inp"), ("CUMULATIVE_LAYOUT_SHIFT_SCORE", "field_cls"), ("FIRST_CONTENTFUL_PAINT_MS", "field_fcp"), ("EXPERIMENTAL_TIME_TO_FIRST_BYTE", "field_ttfb"))]
-    return raw.select("url", *scores, *lab, *real, F.get_json_object("payload", "$.loadingExperience.overall_category").alias("overall"))
+    scores = {a: F.floor(num(f"$.categories.{k}.score") * 100 + 0.5).cast("int") for k, a in (("performance", "performance"), ("accessibility", "accessibility"), ("best-practices", "best_practices"), ("seo", "seo"))}
+    lab = {a: num(f"$.audits.{k}.numericValue") for k, a in (("first-contentful-paint", "fcp"), ("largest-contentful-paint", "lcp"), ("total-blocking-time", "tbt"), ("cumulative-layout-shift", "cls"), ("speed-index", "speed_index"), ("interactive", "tti"))}
+    real = {a: field(k) for k, a in (("LARGEST_CONTENTFUL_PAINT_MS", "field_lcp"), ("INTERACTION_TO_NEXT_PAINT", "field_inp"), ("CUMULATIVE_LAYOUT_SHIFT_SCORE", "field_cls"), ("FIRST_CONTENTFUL_PAINT_MS", "field_fcp"), ("EXPERIMENTAL_TIME_TO_FIRST_BYTE", "field_ttfb"))}
+    return scores | lab | real | {"overall": F.get_json_object("payload", "$.loadingExperience.overall_category")}
+
+
+def speed_metrics(raw: DataFrame) -> DataFrame:
+    """(url, four scores in percent, lab and field metrics, overall category) of (url, payload)."""
+    return raw.select("url", *[c.alias(n) for n, c in _speed_columns().items()])
+
+
+def flatten_speed(raw: DataFrame) -> DataFrame:
+    """The exported speed table of (url, payload): scores, three lab metrics, and the categories
+    that the payload gives the field metrics ('' where there is none)."""
+    c = _speed_columns()
+    band = lambda k: F.coalesce(F.get_json_object("payload", f"$.loadingExperience.metrics.{k}.category"), F.lit(""))
+    return raw.select(
+        "url", *[c[n].alias(n) for n in ("performance", "accessibility", "best_practices", "seo")], c["lcp"].alias("lcp_lab_ms"), c["cls"].alias("cls_lab"), c["tbt"].alias("tbt_lab_ms"),
+        F.coalesce(c["overall"], F.lit("")).alias("crux_overall"), band("LARGEST_CONTENTFUL_PAINT_MS").alias("lcp_field"), band("CUMULATIVE_LAYOUT_SHIFT_SCORE").alias("cls_field"), band("INTERACTION_TO_NEXT_PAINT").alias("inp_field"),
+    )
 
 
 def audits(raw: DataFrame) -> DataFrame:
@@ -86,7 +103,53 @@ def search_rows(raw: DataFrame, *dimensions: str) -> DataFrame:
     return x.select(*[F.get("r.keys", F.lit(i)).alias(n) for i, n in enumerate(dimensions)], F.col("r.clicks").alias("clicks"), F.col("r.impressions").alias("impressions"), half(F.col("r.ctr") * 100, 4).alias("ctr"), half(F.col("r.position"), 2).alias("position"))
 
 
-def backlinks(raw: DataFrame, domains: int = 50) -> DataFrame:
-    """(rank, domain, links): the first domains of a backlinks payload by links."""
-    x = raw.select(F.explode(F.from_json(F.get_json_object("payload", "$.domains"), "array<struct<domain:string,links:bigint>>")).alias("d")).select("d.*")
-    return x.orderBy(F.desc("links"), "domain").limit(domains)
+def search_sites(raw: DataFrame) -> DataFrame:
+    """(site_url, permission_level) of a list of sites (payload); entries without address left out."""
+    x = raw.select(F.explode(F.from_json(F.get_json_object("payload", "$.siteEntry"), "array<struct<siteUrl:string,permissionLevel:string>>")).alias("s"))
+    return x.where("coalesce(s.siteUrl, '') <> ''").select(F.col("s.siteUrl").alias("site_url"), F.coalesce("s.permissionLevel", F.lit("")).alias("permission_level"))
+
+
+def analytics_properties(raw: DataFrame) -> DataFrame:
+    """(property_id, display_name, account, property_type) of account summaries (payload)."""
+    kind = "array<struct<displayName:string,propertySummaries:array<struct<property:string,displayName:string,propertyType:string>>>>"
+    x = raw.select(F.explode(F.from_json(F.get_json_object("payload", "$.accountSummaries"), kind)).alias("a")).select(F.col("a.displayName").alias("account"), F.explode("a.propertySummaries").alias("p"))
+    z = lambda c: F.coalesce(c, F.lit(""))
+    rows = x.select(F.substring_index(z("p.property"), "/", -1).alias("property_id"), z("p.displayName").alias("display_name"), z("account").alias("account"), z("p.propertyType").alias("property_type"))
+    return rows.where("property_id <> ''")
+
+
+def backlink_summary(raw: DataFrame) -> DataFrame:
+    """(site_url, domain_rating, backlinks_total, referring_domains, organic_traffic) of overview
+    payloads (site_url, payload), with or without a ``metrics`` level."""
+    j = F.coalesce(F.get_json_object("payload", "$.metrics"), F.col("payload"))
+    n = lambda k: F.get_json_object(j, f"$.{k}").try_cast("double")
+    return raw.select("site_url", n("domain_rating").alias("domain_rating"), n("backlinks").cast("long").alias("backlinks_total"), n("refdomains").cast("long").alias("referring_domains"), n("traffic").cast("long").alias("organic_traffic"))
+
+
+def backlink_domains(raw: DataFrame, n: int = 50) -> DataFrame:
+    """(position, domain, domain_rating, backlinks, first_seen): the first n of each payload's referring
+    domains, as they come."""
+    x = raw.select("site_url", F.posexplode(F.slice(F.from_json(F.get_json_object("payload", "$.refdomains"), "array<struct<domain:string,domain_rating:double,backlinks:bigint,first_seen:string>>"), 1, n)).alias("at", "d"))
+    return x.select("site_url", (F.col("at") + 1).alias("position"), "d.*")
+
+
+def backlink_anchors(raw: DataFrame, n: int = 30) -> DataFrame:
+    """(site_url, position, text, backlinks): the first n of each payload's anchors, as they come."""
+    x = raw.select("site_url", F.posexplode(F.slice(F.from_json(F.get_json_object("payload", "$.anchors"), "array<struct<anchor:string,backlinks:bigint>>"), 1, n)).alias("at", "d"))
+    return x.select("site_url", (F.col("at") + 1).alias("position"), F.col("d.anchor").alias("text"), F.col("d.backlinks").alias("backlinks"))
+
+
+def domains_of_backlinks(rows: DataFrame, n: int = 50) -> DataFrame:
+    """(domain, trust_flow_max, backlinks): the n referring domains of backlinks (source_url,
+    trust_flow) by trust, then by links."""
+    d = host("source_url")
+    by = rows.where(d != "").groupBy(d.alias("domain")).agg(F.max(F.coalesce("trust_flow", F.lit(0))).alias("trust_flow_max"), F.count("*").alias("backlinks"))
+    return by.orderBy(F.desc("trust_flow_max"), F.desc("backlinks"), "domain").limit(n)
+
+
+def flatten_accessibility(results: DataFrame) -> DataFrame:
+    """(url, violations, nodes, critical, serious, moderate, minor) of axe results (url, violations)."""
+    v = F.coalesce(F.from_json("violations", "array<struct<id:string,impact:string,help:string,nodes:array<string>>>"), F.array().cast("array<struct<id:string,impact:string,help:string,nodes:array<string>>>"))
+    of = lambda k: F.size(F.filter(v, lambda x: F.coalesce(x["impact"], F.lit("minor")) == k)).alias(k)
+    nodes = F.aggregate(v, F.lit(0), lambda a, x: a + F.coalesce(F.size(x["nodes"]), F.lit(0)))
+    return results.select("url", F.size(v).alias("violations"), nodes.alias("nodes"), *[of(k) for k in ("critical", "serious", "moderate", "minor")])

@@ -15,21 +15,19 @@ from crawlloom.operators.logs import parsed
 ENTRY = "loc string, lastmod string, changefreq string, priority string"
 
 
-def sitemap(spark: SparkSession, path: str, most_depth: int = 3) -> DataFrame:
+def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(url, lastmod, changefreq, priority, source_sitemap) of a sitemap or index of sitemaps;
-    gzip and namespaces don't matter; indexes are followed to ``most_depth``, each file once.
-    Only addresses of index files pass through the driver: a file holds at most 50,000."""
+    gzip and namespaces don't matter; indexes are followed until no file is new, each once.
+    Only addresses of sitemap files pass through the driver, never those of pages."""
     todo, seen, found = [path], set(), []
-    for _ in range(most_depth + 1):
+    while todo:
         here = [p for p in dict.fromkeys(todo) if p not in seen]
         seen.update(here)
         todo = []
         for p in here:
             kids = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(p)
-            todo += [r["loc"].strip() for r in kids.where("loc is not null").limit(50_000).collect()]
+            todo += [r["loc"].strip() for r in kids.where("loc is not null").collect()]  # files to open next
             found.append(spark.read.format("xml").option("rowTag", "url").schema(ENTRY).load(p).withColumn("source_sitemap", F.lit(p)))
-        if not todo:
-            break
     every = found[0]
     for f in found[1:]:
         every = every.unionAll(f)
@@ -64,16 +62,44 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.text(path))
 
 
-def exported_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "windows-1252")) -> DataFrame:
-    """CSV with a header in the first encoding that leaves no lost characters in its first
-    lines; names stripped of spaces and a byte-order mark. No row cap."""
-    df = None
-    for e in encodings:
-        df = spark.read.csv(path, header=True, encoding=e, multiLine=True, escape='"')
-        head = "".join(str(r) for r in df.take(20)) + "".join(df.columns)
-        if "�" not in head and "\x00" not in head:
-            break
-    return df.toDF(*[c.strip().lstrip("﻿").strip('"') for c in df.columns])
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the file is valid in it, else UTF-16 if any line has a zero byte,
+    else windows-1252. Lines are read as bytes, so the whole file is judged, in parallel."""
+    lines = spark.read.text(path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return "UTF-8"
+    return "windows-1252" if lines.where(F.col("value").contains("\x00")).isEmpty() else "UTF-16"
+
+
+# Characters of windows-1252 where ISO 8859-1 has controls.
+_C1 = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+
+
+def exported_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header in whatever of UTF-8, UTF-16 and windows-1252 the file is; names stripped
+    of spaces and a byte-order mark, all rows."""
+    encoding = encoding_of(spark, path)
+    df = spark.read.csv(path, header=True, encoding="ISO-8859-1" if encoding == "windows-1252" else encoding, multiLine=True, escape='"')
+    names = df.columns
+    if encoding == "windows-1252":
+        old, new = "".join(k for k, v in _C1.items() if v), "".join(_C1.values())
+        df = df.select(*[F.translate(F.col(f"`{c}`"), old, new).alias(c) for c in names])
+        names = [c.translate(str.maketrans(old, new)) for c in names]
+    return df.toDF(*[c.strip().lstrip("\ufeff").strip('"') for c in names])
+
+
+# The exports that a folder may hold, by file name.
+EXPORTS = ("backlinks", "keywords", "referring_domains", "top_pages", "site_audit")
+
+
+def exported(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """One of ``EXPORTS`` from <folder>/<name>.csv; None if the file isn't there."""
+    if name not in EXPORTS:
+        raise ValueError(f"no such export: {name}")
+    path = f"{folder.rstrip('/')}/{name}.csv"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return exported_csv(spark, path) if there else None
 
 
 def audit_json(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from crawlloom.operators.logs import budget, parsed
 
@@ -48,3 +50,30 @@ def throttled(events: DataFrame, least: float = 0.5, most: float = 30.0, up: flo
         yield pd.DataFrame(out, columns=["host", "event_id", "delay"])
 
     return events.groupBy("host").applyInPandasWithState(step, THROTTLE, "delay double", "append", "NoTimeout")
+
+
+class Progress(StreamingQueryListener):
+    """Progress snapshots of streams: {query, batch, rows, rows_per_second, status} to ``tell``,
+    at most one in ``every`` seconds while a query runs; its end is always told."""
+
+    def __init__(self, tell: Callable[[dict], None], every: float = 0.25, clock: Callable[[], float] = time.monotonic) -> None:
+        self.tell, self.every, self.clock = tell, every, clock
+        self.last: dict[str, float] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"query": str(event.id), "batch": -1, "rows": 0, "rows_per_second": 0.0, "status": "started"})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        now = self.clock()
+        if now - self.last.get(str(p.id), -self.every) < self.every:
+            return
+        self.last[str(p.id)] = now
+        self.tell({"query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": round(p.processedRowsPerSecond or 0.0, 2), "status": "running"})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.last.pop(str(event.id), None)
+        self.tell({"query": str(event.id), "batch": -1, "rows": 0, "rows_per_second": 0.0, "status": "failed" if event.exception else "finished"})
