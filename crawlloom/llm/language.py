@@ -27,7 +27,8 @@ from crawlloom.session import stage
 
 #: Trigrams of a profile, and texts a language's profile is made from at most (by hash of id).
 PROFILE, SAMPLE = 500, 400
-#: Letters a stretch needs to be told, and the least confidence for it to count in a mixture.
+#: Letters a stretch needs to be told by itself, and the least confidence for it to count in a
+#: mixture. A record none of whose stretches has so many is told as a whole, from one letter on.
 LEAST_LETTERS, SURE = 9, 0.12
 #: Stretches of another language that make a document a mixture.
 MIXED_SENTENCES = 2
@@ -154,8 +155,8 @@ class Profiles:
                 out[owner[begins], k] = np.add.reduceat(d, begins) / (n * PROFILE)
         return out, letters
 
-    def tell(self, stretches: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
-        """(language, confidence, letters) of each stretch; None where there are too few letters."""
+    def tell(self, stretches: list[str], least: int = LEAST_LETTERS) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """(language, confidence, letters) of each stretch; None where letters are fewer than ``least``."""
         if not stretches or not self.languages:
             return [None] * len(stretches), np.zeros(len(stretches)), np.zeros(len(stretches), dtype=np.int64)
         at: dict[str, int] = {}
@@ -164,10 +165,20 @@ class Profiles:
         best = d.argmin(1)
         two = np.partition(d, 1, axis=1)[:, :2] if d.shape[1] > 1 else np.c_[d, np.ones(len(d))]
         sure = two[:, 1] - two[:, 0]
-        langs = [self.languages[b] if n >= LEAST_LETTERS else None for b, n in zip(best, letters)]
+        langs = [self.languages[b] if n >= least else None for b, n in zip(best, letters)]
         return [langs[i] for i in which], sure[which], letters[which]
 
 
+def told_whole(p: Profiles, weight: list[dict], texts: dict[int, list[str]]) -> None:
+    """Fill ``weight`` of the records none of whose stretches (``texts``) could be told, by all of
+    a record's stretches together; records without a letter stay empty."""
+    rest = [i for i, own in texts.items() if own and not weight[i]]
+    langs, sure, letters = p.tell([" ".join(texts[i]) for i in rest], 1)
+    for i, lang, s, n in zip(rest, langs, sure, letters):
+        if lang is not None:
+            weight[i][lang] = int(n) * (0.01 + s)
+
+
 def sentences(text: str) -> list[str]:
     """Sentences and lines of a text, without what ends them; addresses blanked."""
     if "://" in text or "www." in text:
@@ -238,9 +249,10 @@ def told(documents: DataFrame, profiles: Profiles) -> DataFrame:
                 b = whole.iloc[lo : lo + 512]
                 stretches: list[str] = []
                 owner: list[int] = []
+                whole_of: dict[int, list[str]] = {}
                 for i, t in enumerate(b["text"]):
                     if t:
-                        own = sentences(plain_repair(t))
+                        own = whole_of[i] = sentences(plain_repair(t))
                         stretches += own
                         owner += [i] * len(own)
                 langs, sure, letters = p.tell(stretches)
@@ -252,6 +264,7 @@ def told(documents: DataFrame, profiles: Profiles) -> DataFrame:
                     weight[i][lang] = weight[i].get(lang, 0) + int(n) * (0.01 + s)
                     if s >= SURE:
                         counts[i][lang] = counts[i].get(lang, 0) + 1
+                told_whole(p, weight, whole_of)
                 best = [max(w, key=lambda k: (w[k], k)) if w else None for w in weight]
                 yield pd.DataFrame(
                     {
@@ -332,13 +345,14 @@ def segments(documents: DataFrame, profiles: Profiles, whole_too: bool = False)
                     else:
                         out.append([i, out[-1][1] + 1 if same else 0, at, len(sentence), told_, float(c)])
                 if whole_too:
-                    weight: dict[int, dict] = {}
-                    for i, lang, s, n in zip(rows, langs, sure, letters):
+                    weight: list[dict] = [{} for _ in range(len(b))]
+                    whole_of: dict[int, list[str]] = {}
+                    for i, sentence, lang, s, n in zip(rows, stretches, langs, sure, letters):
+                        whole_of.setdefault(i, []).append(sentence)
                         if lang is not None:
-                            own = weight.setdefault(i, {})
-                            own[lang] = own.get(lang, 0) + int(n) * (0.01 + s)
-                    for k, (i, t) in enumerate(zip(b["id"], b["text"])):
-                        w = weight.get(k, {})
+                            weight[i][lang] = weight[i].get(lang, 0) + int(n) * (0.01 + s)
+                    told_whole(p, weight, whole_of)
+                    for w, i, t in zip(weight, b["id"], b["text"]):
                         best = max(w, key=lambda x: (w[x], x)) if w else None
                         out.append([i, None, 0, len(plain_repair(t)) if t else 0, best, round(float(w[best] / sum(w.values())), 4) if w else 0.0])
                 frame = pd.DataFrame(out, columns=["id", "segment", "start", "n_chars", "lang", "confidence"])
@@ -373,7 +387,7 @@ def page_languages(pages: DataFrame, profiles: Profiles, parts: bool = False) ->
                 titles = [BRAND.sub("", t) for t, _ in pairs]
                 a, sure_a, _ = p.tell(titles)
                 m, sure_m, _ = p.tell([x for _, x in pairs])
-                both, sure_b, _ = p.tell([f"{t}. {x}" for t, (_, x) in zip(titles, pairs)])
+                both, sure_b, _ = p.tell([f"{t or whole}. {x}" for t, (whole, x) in zip(titles, pairs)], 1)
                 are = []
                 for la, ca, lm, cm, lb in zip(a, sure_a, m, sure_m, both):
                     if la and lm and la != lm and ca >= SURE and cm >= SURE:

@@ -141,6 +141,17 @@ def test_pages(spark, profiles):
     assert got == {1: ("de", ["de", "en"]), 3: ("fr", ["en"])}
 
 
+def test_short_records_are_told_as_a_whole(spark, profiles):
+    """On either side of LEAST_LETTERS: stretches too short to be told one by one."""
+    texts = [(1, "Der Weg.\nDas Haus.\nund"), (2, "مرحبا"), (3, "12 34"), (4, "Die Startseite braucht eine Überschrift"), (5, "oui")]
+    rows = {r.id: r.lang for r in language.told(spark.createDataFrame(texts, "id long, text string"), profiles).collect()}
+    assert rows[1] == "de" and rows[2] in ("ar", "fa") and rows[3] is None and rows[4] == "de" and rows[5]
+    whole = {r.id: r.lang for r in language.segments(spark.createDataFrame(texts, "id long, text string"), profiles, True).where("segment is null").collect()}
+    assert whole == rows
+    page = spark.createDataFrame([(1, "Über uns", None, None)], "page_id long, title string, meta_description string, language string")
+    assert language.page_languages(page, profiles).first().are is not None
+
+
 def test_every_record_has_a_language(spark):
     folder = "/root/testdata/sf0.001"
     from crawlloom.llm import queries
