@@ -8,24 +8,26 @@ the gaps, and repeats until the run is placed; what no gap holds opens new conta
 runs from large to small, this gives exactly best-fit decreasing.
 
 There are at most ``capacity`` sizes, so a sweep handles a number of runs bounded by the
-capacity whatever the number of documents: the driver sees a histogram, never documents.
-Counting, ranking within a size and the placement of each document are distributed; ranks are
-taken within (size, part), so that a size which a third of all documents share is no hot task.
+capacity whatever the number of documents. The sweeps of the limits run side by side as tasks,
+each over its histogram of sizes; neither documents nor histogram nor plan pass through the
+driver. Counting, ranking within a size and the placement of each document are distributed; ranks
+are taken within (size, part), so that a size which a third of all documents share is no hot task,
+and documents find their run by an equal join on chunks of ranks.
 """
 
 from __future__ import annotations
 
 import bisect
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from crawlloom.session import stage
 
-#: Most rows pack_limits may have, and the largest capacity: bounds of what is broadcast.
+#: Ranks of a size that are joined with the runs they may belong to at once.
+CHUNK = 1_000
+#: Most rows pack_limits may have, and the largest capacity: bounds of a sweep's histogram.
 MOST_LIMITS, LARGEST_CAPACITY = 64, 1 << 20
 
 
@@ -75,6 +77,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
     return runs, opened
 
 
+PLAN = "lane int, rest long, rank long, items long, first long, many long"
+
+
+def _sweep(histogram: pd.DataFrame) -> pd.DataFrame:
+    """``best_fit`` of one lane (rows lane, rest, n, cap), where the rows of the lane lie."""
+    if not len(histogram):
+        return pd.DataFrame(columns=[c.split()[0] for c in PLAN.split(", ")])
+    runs, _ = best_fit(dict(zip(map(int, histogram["rest"]), map(int, histogram["n"]))), int(histogram["cap"].iloc[0]))
+    out = pd.DataFrame(runs, columns=["rest", "rank", "items", "first", "many"])
+    out.insert(0, "lane", int(histogram["lane"].iloc[0]))
+    return out
+
+
 def pack(sizes: DataFrame, limits: DataFrame, items_per_part: int = 50_000) -> DataFrame:
     """(limit_id, container, doc_id, piece, start, n_tokens): which tokens of a document go where.
 
@@ -96,38 +111,25 @@ def pack(sizes: DataFrame, limits: DataFrame, items_per_part: int = 50_000) -> D
     rest = F.when(F.col("n") <= F.col("cap"), F.col("n")).otherwise(F.col("n") % F.col("cap"))
     parts = max(1, min(1024, sizes.count() // items_per_part + 1))
     items = by_lane.withColumn("rest", rest).where("rest > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    counted = stage(items.groupBy("lane", "rest", "part").count(), "histogram")
-    histogram: dict[int, dict[int, int]] = {i: {} for i in range(len(caps))}
-    for r in counted.groupBy("lane", "rest").agg(F.sum("count").alias("n")).collect():  # at most limits x capacity rows
-        histogram[r["lane"]][int(r["rest"])] = int(r["n"])
-    plan = [(lane, *run) for lane, by_size in histogram.items() for run in best_fit(by_size, caps[lane][1])[0]]
-    plan.sort(key=lambda p: (p[0], p[1], p[2]))
-    lanes, sz, rank, _, first, many = (np.array(x, dtype=np.int64) for x in zip(*plan)) if plan else (np.zeros(0, dtype=np.int64),) * 6
-    table = spark.sparkContext.broadcast((lanes * (LARGEST_CAPACITY + 1) + sz, rank, first, many))
-
-    @F.pandas_udf(LongType())
-    def container(lane: pd.Series, size: pd.Series, at: pd.Series) -> pd.Series:
-        keys, ranks, firsts, manys = table.value
-        key = lane.to_numpy(np.int64) * (LARGEST_CAPACITY + 1) + size.to_numpy(np.int64)
-        at = at.to_numpy(np.int64)
-        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        while True:  # binary search of the rank among the runs of each size, all rows at once
-            mid = (lo + hi) // 2
-            open_ = hi - lo > 1
-            if not open_.any():
-                break
-            right = open_ & (ranks[np.minimum(mid, len(ranks) - 1)] <= at)
-            lo, hi = np.where(right, mid, lo), np.where(open_ & ~right, mid, hi)
-        return pd.Series(firsts[lo] + (at - ranks[lo]) // manys[lo])
+    counted = stage(items.groupBy("lane", "rest", "part").agg(F.count("*").alias("count"), F.first("cap").alias("cap")), "histogram")
+    by_size = counted.groupBy("lane", "rest").agg(F.sum("count").alias("n"), F.first("cap").alias("cap"))
+    plan = stage(by_size.groupBy("lane").applyInPandas(_sweep, PLAN), "plan")
+    # Runs are cut where chunks of ranks end, so that a place is found by an equal join and no
+    # item meets more runs than begin in its chunk, whatever the number of runs or items of a size.
+    last = F.col("rank") + F.col("items") - 1
+    chunks = F.sequence(F.floor(F.col("rank") / CHUNK), F.floor(last / CHUNK))
+    runs = plan.select("lane", "rest", "rank", last.alias("last"), "first", "many", F.explode(chunks).alias("chunk"))
 
     before = Window.partitionBy("lane", "rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    offsets = counted.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count", "cap")
     ranked = items.withColumn("in_part", F.row_number().over(Window.partitionBy("lane", "rest", "part").orderBy("doc_id")) - 1)
-    placed = ranked.join(offsets, ["lane", "rest", "part"]).withColumn("at", (F.col("before") + F.col("in_part")).cast("long"))
+    at = ranked.join(offsets, ["lane", "rest", "part"]).withColumn("at", (F.col("before") + F.col("in_part")).cast("long"))
+    placed = at.withColumn("chunk", F.floor(F.col("at") / CHUNK)).join(runs, ["lane", "rest", "chunk"]).where("at between rank and last")
+    number = F.col("first") + F.floor((F.col("at") - F.col("rank")) / F.col("many"))
     start = F.col("n") - F.col("rest")
     packed = placed.select(
         "limit_id",
-        F.concat(F.lit("c"), container("lane", "rest", "at").cast("string")).alias("container"),
+        F.concat(F.lit("c"), number.cast("string")).alias("container"),
         "doc_id",
         (start / F.col("cap")).cast("int").alias("piece"),
         start.alias("start"),
