@@ -9,8 +9,9 @@ its bigrams far more probable. Re-encoding to bytes and decoding them is the exa
 gives the restored text where it succeeds; lost characters (U+FFFD) are found, not restored.
 
 Two passes over the texts. The first counts the tokens with letters beyond ASCII; bigrams and
-cipher counts come from this vocabulary. What reaches the driver is bounded by the alphabet
-(``MOST_CHARS`` squared) and by the byte units of each page, never by the data.
+cipher counts come from this vocabulary. What reaches the driver is bounded by the alphabets of
+Unicode, squared, and by the byte units of each page, never by the data: scripts of many hundred
+signs share one place in the bigrams, as their signs tell little by their neighbours.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ from crawlloom.session import stage
 READ_AS = ("cp1252", "latin-1", "iso8859-15", "cp1250", "cp1251", "cp1256", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
 WRITTEN_AS = ("cp1256", "cp1252", "cp1251", "cp850", "mac_roman", "iso8859-6")
 LATIN_WRITTEN_AS = ("cp1252", "cp850", "mac_roman")
-#: Letters of the bigram model; rarer ones share one place.
-MOST_CHARS = 800
-#: Least share of a script among letters beyond ASCII for it to be one of the corpus.
-LEAST_SCRIPT = 0.02
+# First and last letter of scripts (Ethiopic, Canadian, Han, Yi, Vai, Hangul, and
+# the planes above) whose signs share the place of the first.
+MANY_SIGNS = (("\u1200", "\u139f"), ("\u1400", "\u167f"), ("\u3400", "\u9fff"), ("\ua000", "\ua4cf"), ("\ua500", "\ua63f"), ("\uac00", "\ud7af"), ("\U00010000", "\U0010ffff"))
+#: A script is one of the corpus if it has this share of the letters beyond ASCII, or if fewer than
+#: SYMPTOMS of its words look like what a wrong page makes.
+COMMON_SCRIPT, SYMPTOMS = 0.02, 0.5
+#: Nats a bigram, and letters, from which one word in single bytes is damage by itself.
+ALONE, ALONE_LETTERS = 2.5, 4
 #: Nats by which a reading must be better, a bigram on average, to count.
 BETTER = 1.0
 
@@ -74,7 +79,22 @@ def to_bytes(token: str, page: str) -> bytes | None:
 
 
 def folded(c: str) -> str:
-    return "0" if c.isdigit() else c.lower() if c < "\x80" else c
+    if c < "\u1200":
+        return "0" if c.isdigit() else c.lower() if c < "\x80" else c
+    for first, last in MANY_SIGNS:
+        if first <= c <= last:
+            return first
+    return "0" if c.isdigit() else c
+
+
+def folded_unit(unit: bytes) -> bytes:
+    """A UTF-8 sequence of a script of many signs as that of the first of them."""
+    if len(unit) < 3:
+        return unit
+    try:
+        return folded(unit.decode("utf-8")).encode("utf-8")
+    except UnicodeDecodeError:
+        return unit
 
 
 @dataclass
@@ -109,7 +129,9 @@ class Model:
         return "".join(u.decode("latin-1") if u < b"\x80" else mapping.get(u, "\ufffd") for u in units)
 
     def decoded(self, b: bytes, units: list[bytes], page: str) -> str:
-        """UTF-8 bytes as text; a unit that doesn't decode through the learned mapping, if it knows it."""
+        """UTF-8 bytes as text; a unit that doesn't decode through the learned mapping, if it knows it.
+        Decoding is the check: a mapping that says otherwise of a unit that decodes is wrong (an
+        apostrophe and a letter, say, can have the form of a sequence)."""
         try:
             return b.decode("utf-8")
         except UnicodeDecodeError:
@@ -161,7 +183,7 @@ class Model:
                 if kind == "utf-8" and not ARABIC.search(token):
                     beyond = [c for c in text if c > "\x7f"]
                     marks = all(unicodedata.category(c)[0] in "PSZ" for c in beyond)
-                    known = all(c in self.letters or unicodedata.category(c)[0] in "PSZ" for c in beyond)
+                    known = all(folded(c) in self.letters or unicodedata.category(c)[0] in "PSZ" for c in beyond)
                     # The exact check: all of it is in sequence form and decodes to letters of the
                     # corpus; three bytes in that form, or marks too rare for bigrams, are no accident.
                     if known and (up >= 0 or marks or any(len(u) > 2 for u in many)):
@@ -195,18 +217,29 @@ class Model:
                     best, gain = (text, f"{page} {written}"), new - raw
         return best
 
+    def stands_alone(self, token: str, restored: str) -> bool:
+        """Whether one word in single bytes is damage without another beside it."""
+        if sum(c.isalpha() for c in restored) < ALONE_LETTERS or "\ufffd" in restored:
+            return False
+        raw, new = self.score(token), self.score(restored)
+        return raw is not None and new is not None and new - raw >= ALONE
+
     def repair(self, text: str) -> tuple[str, str | None]:
         """(text with damaged tokens restored, the commonest class or 'lost'), None if unharmed.
 
-        One token is no cipher: single-byte damage counts from two tokens of a class on, and
-        then also reads the short tokens around them."""
+        Single-byte damage counts from two tokens of a class on, or from one long word that is
+        far more probable, and then also reads the short tokens around them."""
         classes: Counter = Counter()
+        alone: set[str] = set()
         for t in TOKEN.findall(text):
             r = self.read(t)
             if r:
                 classes[r[1]] += 1
+                if r[1].endswith("bytes") and self.stands_alone(t, r[0]):
+                    alone.add(r[1])
         for c in [c for c, n in classes.items() if not c.endswith("utf-8") and n < 2]:
-            del classes[c]
+            if c not in alone:
+                del classes[c]
         if not classes:
             return text, "lost" if LOST.search(text) else None
         page = max((c for c in classes if c.endswith("bytes")), key=classes.get, default="").partition(" ")[0]
@@ -331,6 +364,47 @@ def learn(pairs: dict[tuple[bytes, bytes], float], letters: list[str], logp: np.
     return {u: letters[best[i]] for u, i in where.items() if belief[i, best[i]] >= 0.5}
 
 
+def symptomatic(token: str, letters: list[str]) -> bool:
+    """Whether a word looks like what a wrong page makes: its bytes under some page are UTF-8,
+    capitals stand behind small letters, or signs beyond ASCII that no word has stand in it."""
+    if any(a.islower() and b.isupper() for a, b in zip(letters, letters[1:])):
+        return True
+    inner = token.strip("".join(c for c in set(token) if unicodedata.category(c)[0] in "PSZ"))
+    if any(c > "\x7f" and not c.isalpha() and unicodedata.category(c)[0] not in "MPN" for c in inner):
+        return True
+    for page in READ_AS:
+        b = to_bytes(token, page)
+        if b is not None and any(len(u) > 1 for u in UNITS.findall(b)):
+            try:
+                b.decode("utf-8")
+                return True
+            except UnicodeDecodeError:
+                pass
+    return False
+
+
+def symptoms(scripts: frozenset[str]):
+    """mapInPandas body, (script, n, bad): words of two letters or more in one of ``scripts`` (that
+    of most of their letters beyond ASCII), and how many of them look like symptoms."""
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n: Counter = Counter()
+            bad: Counter = Counter()
+            for t, k in zip(b["token"], b["n"]):
+                letters = [c for c in t if c.isalpha()]
+                own = Counter(script(c) for c in letters if c > "\x7f")
+                s = own.most_common(1)[0][0] if own else ""
+                if s in scripts and len(letters) > 1:
+                    n[s] += k
+                    if symptomatic(t, letters):
+                        bad[s] += k
+            if n:
+                yield pd.DataFrame({"script": list(n), "n": list(n.values()), "bad": [bad[s] for s in n]})
+
+    return body
+
+
 def vocabulary(values: DataFrame) -> DataFrame:
     """(token, n) of all tokens with characters beyond ASCII in ``value``."""
 
@@ -363,14 +437,19 @@ def fit(values: DataFrame) -> Model:
             yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
 
     counted = stage(words.mapInPandas(bigrams, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
-    chars = counted.select(F.substring("pair", 1, 1).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_CHARS).collect()
+    chars = counted.select(F.substring("pair", 1, 1).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()  # an alphabet
     by_script: Counter = Counter()
     for r in chars:
         by_script[script(r["c"]) if r["c"] > "\x7f" else "ASCII"] += r["n"]
     beyond = sum(n for s, n in by_script.items() if s not in ("ASCII", "")) or 1
-    # Scripts that hardly occur are symptoms, not languages of the corpus.
-    letters = [r["c"] for r in chars if r["c"] <= "\x7f" or script(r["c"]) == "" or by_script[script(r["c"])] >= LEAST_SCRIPT * beyond]
-    known = counted.where(F.substring("pair", 1, 1).isin(letters) & F.substring("pair", 2, 1).isin(letters)).collect() if letters else []  # at most MOST_CHARS squared
+    # Scripts whose words are what a wrong page makes of others are symptoms, not languages of the corpus.
+    sound = {s for s, n in by_script.items() if n >= COMMON_SCRIPT * beyond} | {""}
+    rare = sorted({s for s in by_script if s != "ASCII"} - sound)
+    if rare:
+        looks = words.mapInPandas(symptoms(frozenset(rare)), "script string, n long, bad long").groupBy("script").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()  # a row a script
+        sound |= {r["script"] for r in looks if r["bad"] < SYMPTOMS * r["n"]}
+    letters = [r["c"] for r in chars if r["c"] <= "\x7f" or script(r["c"]) in sound]
+    known = counted.where(F.substring("pair", 1, 1).isin(letters) & F.substring("pair", 2, 1).isin(letters)).collect() if letters else []  # an alphabet squared
     total = sum(r["n"] for r in known) or 1
     model = Model(letters=frozenset(c for c in letters if c > "\x7f"), logp={r["pair"]: math.log(r["n"] / total) for r in known}, floor=math.log(0.5 / total))
 
@@ -386,7 +465,7 @@ def fit(values: DataFrame) -> Model:
                     kind = "utf-8" if any(len(u) > 1 for u in units) else "bytes"
                     if kind == "bytes" and not pure_high(raw):
                         continue
-                    units = [b" ", *units, b" "]
+                    units = [b" ", *map(folded_unit, units), b" "]
                     for u, v in zip(units, units[1:]):
                         if u > b"\x7f" or v > b"\x7f":
                             seen[page, kind, u.hex(), v.hex()] += n
@@ -397,10 +476,8 @@ def fit(values: DataFrame) -> Model:
 
     classes: dict[tuple[str, str], dict[tuple[bytes, bytes], float]] = defaultdict(dict)
     pairs = words.mapInPandas(cipher, "page string, kind string, a string, b string, n long").groupBy("page", "kind", "a", "b").agg(F.sum("n").alias("n"))
-    kept = Counter()
-    for r in pairs.orderBy(F.desc("n"), "page", "kind", "a", "b").limit(400_000).collect():  # pages x units squared
+    for r in pairs.orderBy("page", "kind", "a", "b").collect():  # pages x units squared
         classes[r["page"], r["kind"]][bytes.fromhex(r["a"]), bytes.fromhex(r["b"])] = r["n"]
-        kept[r["page"], r["kind"]] += 1
     at = {c: i for i, c in enumerate(letters)}
     logp = np.full((max(1, len(letters)), max(1, len(letters))), model.floor)
     for pair, lp in model.logp.items():

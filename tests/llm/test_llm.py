@@ -202,6 +202,29 @@ def test_substitution_cipher_is_learned(spark, page):
     assert got[len(corpus())].restored == good
 
 
+def test_rare_scripts_and_many_signs_are_of_the_corpus(spark):
+    """A script with well under 2 percent of the letters, and scripts of many hundred signs."""
+    russian = "Главная страница содержит старые ссылки во всех разделах, поэтому сайт нужно проверить до начала сезона"
+    chinese = "主页在所有栏目中都包含旧链接因此需要在新一季开始之前检查网站"
+    korean = "홈페이지의 모든 섹션에는 오래된 링크가 포함되어 있으므로 확인해야 합니다"
+    german = "Die Häuser über dem Fluß müssen für größere Gäste schöner werden, während die Bäume grün blühen. " * 3
+    for good in (russian, chinese, korean):
+        bad = good.encode("utf-8").decode("cp1252", "replace") if good is not chinese else good.encode("utf-8").decode("latin-1")
+        values = spark.createDataFrame([(i, v) for i, v in enumerate([*[german * 8] * 30, *[good] * 3, bad])], "i int, value string")
+        got = {r.i: r for r in encoding.repaired(values, encoding.fit(values)).collect()}
+        assert [i for i, r in got.items() if r.damage] == [33], good
+    assert encoding.folded("链") == encoding.folded("主") != encoding.folded("홈") and encoding.folded("ä") == "ä"
+
+
+def test_one_damaged_word_is_found(spark):
+    words = corpus()[0].split()
+    long_ = max(words, key=len)
+    title = f"Shop 24 | {long_.encode('cp1256').decode('cp1252')} | 2025"
+    values = spark.createDataFrame([(i, v) for i, v in enumerate([*corpus(), *[w for w in corpus()[:1]] * 20, *[corpus()[0].encode('cp1256').decode('cp1252')] * 2, title, "Größe und Länge über Bord"])], "i int, value string")
+    got = {r.value: r for r in encoding.repaired(values, encoding.fit(values)).collect()}
+    assert got[title].damage and long_ in got[title].restored and not got["Größe und Länge über Bord"].damage
+
+
 def test_latin_words_through_a_wrong_single_byte_page(spark):
     good = "Wir grüßen Sie für das schöne Wetter und hören, dass größere Häuser über dem Fluß stehen."
     bad = good.encode("cp1252").decode("mac_roman")
