@@ -111,6 +111,32 @@ def message(unit: str) -> bool:
     return len(WORD.findall(rest)) <= 2
 
 
+# What a message is put together from, beside the phrases above: what was asked for,
+# that it failed, whom it asks to prove, and how interpreters report a fault.
+ASKED = re.compile(
+    r"\b(?:pages?|urls?|files?|documents?|sites?|websites?|requests?|resources?|server|addresses|address|content|items?|looking for|seite|dokument|datei|anfrage|ressource|fichier|ressource|requête|página|archivo|recurso|solicitud|arquivo|ficheiro|pagina|bestand|verzoek|documento|risorsa|richiesta|strona|plik|sida|sivu|stránka|страниц\w*|файл|сервер)\b"
+    r"|صفحة|الصفحة|الملف|الخادم|صفحه|فایل|سرور|ページ|サーバ|页面|頁面|网站|服务器|페이지|서버"
+)
+FAILS = re.compile(
+    r"\b(?:(?:was|were|is|are|be|been)? ?not (?:be )?(?:found|available|exist)|does(?:n.t| not) exist|no longer (?:exists?|available)|(?:could|can)(?:n.t|not| not) (?:be (?:found|reached|displayed|loaded)|find|load|open|display)|unavailable|timed out|nicht (?:gefunden|verfügbar|erreichbar|vorhanden)|existiert nicht|introuvable|n.existe (?:pas|plus)|no (?:existe|se encuentra|se ha encontrado|está disponible)|não (?:existe|encontrad\w+|está disponível)|bestaat niet|niet (?:gevonden|beschikbaar)|non (?:esiste|trovat\w+|disponibile)|nie (?:istnieje|znaleziono)|finns inte|hittades inte|ei löydy|nenalezena|не (?:найден\w*|существует|доступн\w*))"
+    r"|غير (?:موجود|متاح)|لم يتم العثور|یافت نشد|پیدا نشد|見つかりません|存在しません|找不到|不存在|無法|찾을 수 없"
+    r"|(?:verify|confirm|prove) (?:that )?you(?:.re| are) (?:a )?(?:human|not a robot)|(?:fatal|parse) error: |uncaught \w*(?:exception|error)|stack trace:|on line \d+|traceback \(most recent call last\)|\b[45]\d\d (?:error|forbidden|not found|bad gateway|internal)"
+)
+NEEDS = re.compile(r"\b(?:enable|allow|activate|turn|switch|require[sd]?|needs?|must|disabled?|off|without|aktiv\w+|ativ\w+|activ\w+|habilit\w+|inschakel\w+|zet|attiv\w+|włącz\w*|aktivera|включит\w*)\b|有効|启用|啟用|필요|활성|فعال|تفعيل")
+
+
+def composed(low: str) -> str | None:
+    """A message or notice that none of the phrases has, told by what it is put together from:
+    something asked for and its failure, a proof of being human, an interpreter's fault, or
+    scripts and the need for them. In a text these count only where hardly anything else stands."""
+    if "javascript" in low and NEEDS.search(low):
+        return "scripts"
+    m = FAILS.search(low)
+    if m and (ASKED.search(low) or not m.group()[:1].isalpha() or any(x in m.group() for x in ("error", "human", "robot", "trace", "on line", "uncaught"))):
+        return "error"
+    return None
+
+
 # Any filler phrase above contains one of the first, any notice or message one of the second.
 FILLER_HINTS = (
     "text here|text goes|content here|content goes|title here|title goes|copy here|copy goes| here|add a |type something|sample p|sample t|dummy |placeholder|sample|todo|before publishing"
@@ -124,8 +150,6 @@ MESSAGE_HINTS = (
     "|خطأ في|غير موجودة|تعذر|صلاحية|الصيانة|پیدا نشد|خطای داخلی|دسترسی|در حال تعمیر|existe plus|existiert nicht|gibt es nicht|bestaat niet"
 )
 FIELD_SIGNS = ("{", "[", "%", "@@", "__", "<?", "*|")
-#: Characters up to which a text can be nothing but a null value.
-NULL_CHARS = 60
 
 
 @lru_cache(maxsize=1)
@@ -155,11 +179,19 @@ def _latin(low: str, signs) -> bool:
 
 def possible(text: str) -> bool:
     """A look at a whole text in a few linear passes: False only if it can't hold evidence."""
-    if len(text) < NULL_CHARS or any(s in text for s in FIELD_SIGNS) and PLACEHOLDER.search(text):
+    if any(s in text for s in FIELD_SIGNS) and PLACEHOLDER.search(text):
         return True
     low = text.lower()
     filler, messages, latin = _hints()
-    return any(True for _ in filler.iter(low)) or any(True for _ in messages.iter(low)) or _latin(low, latin)
+    return any(True for _ in filler.iter(low)) or any(True for _ in messages.iter(low)) or _latin(low, latin) or bool(FAILS.search(low))
+
+
+def null_value(text: str, is_field: bool) -> bool:
+    """Whether a text is a null value or default title; in a field, at most two words (a site's
+    name) may stand beside it, however long they are."""
+    bare = text.strip()
+    parts = [p for p in (TITLE_BREAK.split(bare) if is_field else [bare]) if p]
+    return any(NULLS.fullmatch(p.strip(" .!").lower()) and sum(len(q.split()) for j, q in enumerate(parts) if j != i) <= 2 for i, p in enumerate(parts))
 
 
 def evidence(text: str, is_field: bool = False) -> str | None:
@@ -170,13 +202,10 @@ def evidence(text: str, is_field: bool = False) -> str | None:
     if not text or text.isspace():
         return None
     text = plain_repair(text)
+    if null_value(text, is_field):
+        return "null"
     if not possible(text):
         return None
-    bare = text.strip()
-    parts = [p for p in (TITLE_BREAK.split(bare) if is_field else [bare]) if p]
-    for i, p in enumerate(parts):
-        if NULLS.fullmatch(p.strip(" .!").lower()) and sum(len(q.split()) for j, q in enumerate(parts) if j != i) <= 2:
-            return "null"
     words = telling = 0
     kind = None
     for unit in units(text):
@@ -194,6 +223,8 @@ def evidence(text: str, is_field: bool = False) -> str | None:
             telling, kind = telling + 1, kind or "scripts"
         elif any(message(p) for p in [open_, *pieces]) and len(low) < 110:
             telling, kind = telling + 1, kind or "error"
+        elif not is_field and len(WORD.findall(low)) <= FEW_WORDS and (made := composed(low)):
+            telling, kind = telling + 1, kind or made
         else:
             words += len(WORD.findall(unit))
     return kind if telling and words <= FEW_WORDS else None

@@ -437,3 +437,28 @@ def test_levels_of_nothing(spark):
     empty = reading.fit(spark.createDataFrame([], "doc_id long, text string, level double"))
     got = reading.levels(spark.createDataFrame([(1, None), (2, ""), (3, "some words of text here")], "doc_id long, text string"), empty).collect()
     assert [r.level for r in got] == [None, None, None]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("The requested URL /a was not found on this server.", "error"),
+        ("Sorry, we couldn't find the page you were looking for.", "error"),
+        ("Please verify you are a human", "error"),
+        ("Questa pagina non esiste", "error"),
+        ("Strona nie istnieje", "error"),
+        ("Fatal error: Uncaught TypeError in /var/www/index.php on line 3", "error"),
+        ("このサイトを利用するにはJavaScriptを有効にしてください", "scripts"),
+        ("ページが見つかりません", "error"),
+        ("Something went wrong. Page not found. " * 40, "error"),
+        ("The letter was not found on the server until we moved the shop to another street and asked everyone there to look again for it and for the old photographs.", None),
+        ("We sell lamps.", None),
+    ],
+)
+def test_messages_by_their_parts(text, kind):
+    assert residue.evidence(text) == kind
+
+
+def test_null_values_beside_names_of_any_length():
+    assert residue.evidence("undefined - Shop", True) == residue.evidence("undefined - " + "S" * 90, True) == "null"
+    assert residue.evidence("undefined behaviour in old shops - Shop", True) is None and residue.evidence("null") == "null"
