@@ -11,8 +11,9 @@ stays however many records have it. A notice about scripts (or a null value) rec
 pages as well, so it counts if hardly any words of the record's own, or recurrent sentences,
 stand beside it.
 
-Counting shuffles 20 bytes a line, combined before the shuffle; boilerplate is joined by host
-and line, never broadcast, and texts are judged in place.
+Counting shuffles 20 bytes a line, combined before the shuffle, so a line that every record of a
+host has is no hot task. Boilerplate goes to the texts while it is small (its size is checked), and
+beyond that is joined by host and line, hot lines split.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from crawlloom.functions.urls import host
 from crawlloom.llm.clauses import TERMINATORS, WORD, units
 from crawlloom.llm.encoding import plain_repair
 from crawlloom.session import stage
+from crawlloom.skew import hot_keys, salted
 
 #: A line is boilerplate on a host if this share of its records, and this many, have it.
 RECURRENT_SHARE, RECURRENT_RECORDS = 0.2, 5
@@ -36,6 +38,8 @@ RECURRENT_SHARE, RECURRENT_RECORDS = 0.2, 5
 FEW_WORDS = 14
 #: Words beside a recurrent script notice up to which the record is no more than that notice.
 OWN_WORDS = 5
+#: Lines of boilerplate (16 bytes and a host) that are broadcast at most.
+MOST_LINES = 200_000
 
 # How template engines mark a field; then names of fields, for single brackets.
 PLACEHOLDER = re.compile(
@@ -286,29 +290,38 @@ def boilerplate(lines: DataFrame, records: DataFrame) -> DataFrame:
     return counted.join(totals, "host").where(F.col("count") >= RECURRENT_SHARE * F.col("n")).select("host", "line")
 
 
-def residue(documents: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+def residue(documents: DataFrame, corpus: DataFrame | None = None, most_lines: int = MOST_LINES) -> DataFrame:
     """(id, kind) of the documents (id, host, text) that show residue.
 
     Boilerplate is counted over ``corpus``, all documents of the same shape (by default the
     documents given). Null, empty and white texts show none. Repeated rows are rows of their own.
+    Up to ``most_lines`` lines of boilerplate are sent to where the texts lie; of more, each
+    record's own are joined to it, lines of many records split. The result is the same.
     """
     corpus = documents if corpus is None else corpus
     lines = stage(boilerplate(line_numbers(corpus), corpus), "boilerplate")
-    texts = documents.where("text is not null").select("id", "text")
-    if lines.isEmpty():
+    n = lines.count()
+    texts = documents.where("text is not null").select("id", "host", "text")
+    shared = None
+    if n <= most_lines:  # the usual case: texts are judged where they lie
+        by_host: dict[str, set[int]] = {}
+        for r in lines.collect():  # at most most_lines rows
+            by_host.setdefault(r["host"], set()).add(r["line"])
+        shared = documents.sparkSession.sparkContext.broadcast(by_host)
         drop = texts.withColumn("drop", F.lit(None).cast("array<long>"))
     else:
-        own = line_numbers(documents).join(lines, ["host", "line"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("drop"))
+        every = line_numbers(documents)
+        a, b = salted(every, lines, ["host", "line"], hot_keys(every, ["host", "line"]), "id")
+        own = a.join(b, ["host", "line", "_salt"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("drop"))
         drop = texts.join(own, "id", "left")
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value if shared is not None else {}
         for b in batches:
             kinds = []
-            for t, d in zip(b["text"], b["drop"]):
-                if d is not None and len(d):
-                    kinds.append(without_boilerplate(t, set(map(int, d))))
-                else:
-                    kinds.append(evidence(t) if t else None)
+            for h, t, d in zip(b["host"], b["text"], b["drop"]):
+                own = known.get(h) if shared is not None else set(map(int, d)) if d is not None else None
+                kinds.append(None if not t else without_boilerplate(t, own) if own else evidence(t))
             out = pd.DataFrame({"id": b["id"], "kind": kinds})
             yield out[out["kind"].notna()]
 

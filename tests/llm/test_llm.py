@@ -289,21 +289,23 @@ def test_titles(title, kind):
     assert residue.evidence(title, True) == kind
 
 
-def test_boilerplate_is_subtracted(spark):
+@pytest.mark.parametrize("most_lines", [200_000, 0])
+def test_boilerplate_is_subtracted(spark, most_lines):
     note = "This site needs scripts: please enable JavaScript"
     rows = [(i, "h", f"Menu\nAbout\nContact\n{note}\nText {i} about something else entirely.") for i in range(30)] + [(99, "h", f"Menu\nAbout\nContact\n{note}\nPage not found"), (100, "other", note), (101, None, None)]
-    got = {r.id: r.kind for r in residue.residue(spark.createDataFrame(rows, "id long, host string, text string")).collect()}
+    got = {r.id: r.kind for r in residue.residue(spark.createDataFrame(rows, "id long, host string, text string"), most_lines=most_lines).collect()}
     assert got == {99: "error", 100: "scripts"}
 
 
+@pytest.mark.parametrize("most_lines", [200_000, 0])
 @pytest.mark.parametrize(
     "line, kind",
     [("Page not found", "error"), ("Please enable JavaScript to view this page.", "scripts"), ("Lorem ipsum dolor sit amet.", "filler"), ("Dear {{ first_name }}, welcome.", "placeholder"), ("undefined", "null")],
 )
-def test_copied_residue_is_no_boilerplate(spark, line, kind):
+def test_copied_residue_is_no_boilerplate(spark, line, kind, most_lines):
     rows = [(i, "h", f"{line}\nRef: {i:04x}") for i in range(8)] + [(i, "h", f"{PLAIN} Text {i}.") for i in range(8, 20)]
     rows += [(i, "all", f"Menu\nContact\n{line}") for i in range(20, 40)]
-    got = {r.id: r.kind for r in residue.residue(spark.createDataFrame(rows, "id long, host string, text string")).collect()}
+    got = {r.id: r.kind for r in residue.residue(spark.createDataFrame(rows, "id long, host string, text string"), most_lines=most_lines).collect()}
     assert got == {i: kind for i in [*range(8), *range(20, 40)]}
 
 
