@@ -7,9 +7,12 @@ level. Difficulties and levels are estimated in turn (alternating Newton steps),
 aggregation over (text, word) counts: sums for words by word, sums for texts by text, combined
 before the shuffle.
 
-Levels of sentences then come from the difficulties of their words, each weighed by how
-narrow the range of texts is that it occurs in; a document is at the level of most of its
-sentences. That pass sees every document and needs no shuffle.
+Rounds go on until no difficulty moves by more than TOLERANCE.
+
+Every document then gets its own latent level: with the difficulties held, the point at which
+meetings and failures balance over all its words, each weighed by how narrow the range of texts is
+that it occurs in. Levels of sentences come from the same words and weights, and a document is at
+the level of most of its sentences. That pass sees every document and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crawlloom.llm.clauses import ADDRESS, WORD
@@ -29,12 +32,14 @@ from crawlloom.llm.encoding import plain_repair
 from crawlloom.llm.language import Profiles, by_language, label_code
 from crawlloom.session import stage
 
-#: Reviewed texts the model is fitted on at most (by hash of doc_id), and words it keeps.
-MOST_TEXTS, MOST_WORDS = 20_000, 200_000
+#: Reviewed texts the model is fitted on at most (by hash of doc_id); its words are theirs.
+MOST_TEXTS = 20_000
 # Words, and what ends a sentence or line.
 PIECE = re.compile(WORD.pattern + r"|[.!?؟…][\"”»’)]*\s|[\r\n]")
 BREAKS = frozenset(".!?؟…\r\n")
-ROUNDS, ANCHOR, RIDGE = 4, 1.0, 0.5
+ANCHOR, RIDGE = 1.0, 0.5
+#: Largest move of a difficulty in a round that ends the rounds, and rounds after which that must be.
+TOLERANCE, MOST_ROUNDS = 0.05, 60
 #: Words a sentence needs to be judged.
 LEAST_WORDS = 3
 
@@ -47,8 +52,9 @@ class Levels:
     low: float
     high: float
 
-    def sentences(self, text: str) -> list[float]:
-        """Level of each sentence or line with at least LEAST_WORDS known words."""
+    def sentences(self, text: str, words: list[tuple[float, float]] | None = None) -> list[float]:
+        """Level of each sentence or line with at least LEAST_WORDS known words; all known words
+        are added to ``words``."""
         low = plain_repair(text).lower()
         if "://" in low or "www." in low:
             low = ADDRESS.sub(" ", low)
@@ -60,6 +66,8 @@ class Levels:
                 known += 1
                 above += bw[0]
                 below += bw[1]
+                if words is not None:
+                    words.append(bw)
             elif t[0] in BREAKS:
                 if known >= LEAST_WORDS:
                     out.append(above / below)
@@ -97,16 +105,33 @@ class Levels:
         it, so a text that holds none of those words is settled by one linear search."""
         if not self.has_sign(plain_repair(text).lower()):
             return False
-        n, _, _, high = self.shares(text)
-        return n > 0 and high > 0.5
+        got = self.sentences(text)
+        return len(got) > 0 and sum(x > self.high for x in got) > 0.5 * len(got)
 
     def shares(self, text: str) -> tuple[int, float, float, float]:
-        """(sentences judged, mean level, share above ``low``, share above ``high``)."""
-        got = self.sentences(text)
+        """(sentences judged, latent level, share above ``low``, share above ``high``)."""
+        words: list[tuple[float, float]] = []
+        got = self.sentences(text, words)
         n = len(got)
         if not n:
             return 0, 0.0, 0.0, 0.0
-        return n, sum(got) / n, sum(x > self.low for x in got) / n, sum(x > self.high for x in got) / n
+        return n, latent(words), sum(x > self.low for x in got) / n, sum(x > self.high for x in got) / n
+
+
+def latent(words: list[tuple[float, float]], steps: int = 25) -> float:
+    """The level at which weighed meetings and failures of words (difficulty x weight, weight)
+    balance, by Newton steps from their mean; each step is bounded, and they end with the last
+    that matters."""
+    bw, w = np.array(words).T
+    b = bw / w
+    t = float(bw.sum() / w.sum())
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(b - t))
+        move = float(np.clip((w * (p - 0.5)).sum() / (w * p * (1 - p)).sum(), -1, 1))
+        t -= move
+        if abs(move) < 1e-4:
+            break
+    return t
 
 
 def tokens(text: str) -> list[str]:
@@ -170,19 +195,22 @@ def _fitted(texts: DataFrame, by: list[str]) -> dict[str | None, Levels]:
         p = 1 / (1 + F.exp(F.col(b) - F.col(t)))
         return F.col("n") * (p - 0.5), F.col("n") * p * (1 - p)
 
-    for _ in range(ROUNDS):
+    for n in range(MOST_ROUNDS):
         joined = met.join(level, text).join(words, word)
         g, h = off("t", "b")
-        words = stage(joined.groupBy(*word, "b").agg(F.sum(g).alias("g"), F.sum(h).alias("h")).select(*word, (F.col("b") + (F.col("g") - RIDGE * F.col("b")) / (F.col("h") + RIDGE)).alias("b")), "difficulty")
+        summed = joined.groupBy(*word, "b").agg(F.sum(g).alias("g"), F.sum(h).alias("h"))
+        move = (F.col("g") - RIDGE * F.col("b")) / (F.col("h") + RIDGE)
+        seen = Observation()
+        words = stage(summed.select(*word, (F.col("b") + move).alias("b"), F.abs(move).alias("move")).observe(seen, F.max("move").alias("most")).drop("move"), "difficulty")
         joined = met.join(level, text).join(words, word)
         mean = joined.groupBy(*text, "level", "t").agg((F.sum(g) / F.sum("n")).alias("g"), (F.sum(h) / F.sum("n")).alias("h"))
         level = stage(mean.select(*text, "level", (F.col("t") - (F.col("g") + ANCHOR * (F.col("t") - F.col("level"))) / (F.col("h") + ANCHOR)).alias("t")), "levels")
+        if (seen.get["most"] or 0.0) < TOLERANCE:
+            break
+    else:
+        raise RuntimeError(f"difficulties still move after {MOST_ROUNDS} rounds")
     spread = met.join(level, text).groupBy(*word).agg(F.count("*").alias("texts"), (F.sum(F.col("n") * F.col("t") * F.col("t")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("t")) / F.sum("n"), F.lit(2))).alias("v"))
     kept = words.join(spread, word).where("texts >= 2")
-    if by:
-        kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("texts"), "word"))).where(F.col("rn") <= MOST_WORDS)
-    else:
-        kept = kept.orderBy(F.desc("texts"), "word").limit(MOST_WORDS)
     models: dict[str | None, Levels] = {}
     for r in kept.collect():
         weight = 1.0 / (max(0.0, float(r["v"])) + 0.05)
@@ -223,7 +251,7 @@ def calibrated(texts: DataFrame, model: Levels) -> tuple[float, float]:
 
 
 def levels(documents: DataFrame, model: Levels) -> DataFrame:
-    """(doc_id, n_sentences, mean_level, level): of every document; level is null where no
+    """(doc_id, n_sentences, latent_level, level): of every document; level is null where no
     sentence can be judged (null, empty or too short texts)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -235,12 +263,12 @@ def levels(documents: DataFrame, model: Levels) -> DataFrame:
                 {
                     "doc_id": b["doc_id"],
                     "n_sentences": [g[0] for g in got],
-                    "mean_level": [round(g[1], 4) for g in got],
+                    "latent_level": [round(g[1], 4) for g in got],
                     "level": pd.array([None if not g[0] else 3 if g[3] > 0.5 else 2 if g[2] > 0.5 else 1 for g in got], dtype="Int32"),
                 }
             )
 
-    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, mean_level double, level int")
+    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, latent_level double, level int")
 
 
 def levels_each(documents: DataFrame, models: dict[str, Levels], profiles: Profiles) -> DataFrame:
@@ -248,7 +276,7 @@ def levels_each(documents: DataFrame, models: dict[str, Levels], profiles: Profi
     its language. In a mixture each sentence is, one that can't be told going with those before
     it. Level is null where no sentence can be judged, also for lack of reviews in a language."""
     shared = documents.sparkSession.sparkContext.broadcast((models, profiles))
-    names = ["doc_id", "n_sentences", "mean_level", "level"]
+    names = ["doc_id", "n_sentences", "latent_level", "level"]
 
     def judged(parts: list[tuple[str, str]], models: dict[str, Levels]) -> tuple:
         n, total, middle, high = 0, 0.0, 0.0, 0.0
@@ -270,7 +298,7 @@ def levels_each(documents: DataFrame, models: dict[str, Levels], profiles: Profi
                 out["level"] = out["level"].astype("Int32")
                 yield out
 
-    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, mean_level double, level int")
+    return documents.select("doc_id", "text").mapInPandas(body, "doc_id long, n_sentences int, latent_level double, level int")
 
 
 def hard(documents: DataFrame, model: Levels) -> DataFrame:
