@@ -122,7 +122,7 @@ ASKED = re.compile(
     r"|صفحة|الصفحة|الملف|الخادم|صفحه|فایل|سرور|ページ|サーバ|页面|頁面|网站|服务器|페이지|서버"
 )
 FAILS = re.compile(
-    r"\b(?:(?:was|were|is|are|be|been)? ?not (?:be )?(?:found|available|exist)|does(?:n.t| not) exist|no longer (?:exists?|available)|(?:could|can)(?:n.t|not| not) (?:be (?:found|reached|displayed|loaded)|find|load|open|display)|unavailable|timed out|nicht (?:gefunden|verfügbar|erreichbar|vorhanden)|existiert nicht|introuvable|n.existe (?:pas|plus)|no (?:existe|se encuentra|se ha encontrado|está disponible)|não (?:existe|encontrad\w+|está disponível)|bestaat niet|niet (?:gevonden|beschikbaar)|non (?:esiste|trovat\w+|disponibile)|nie (?:istnieje|znaleziono)|finns inte|hittades inte|ei löydy|nenalezena|не (?:найден\w*|существует|доступн\w*))"
+    r"\b(?:(?:was|were|is|are|be|been)? ?not (?:be )?(?:found|available|exist)|does(?:n['’]t| not) exist|no longer (?:exists?|available)|(?:could|can)(?:n['’]t|not| not) (?:be (?:found|reached|displayed|loaded)|find|load|open|display)|unavailable|timed out|nicht (?:gefunden|verfügbar|erreichbar|vorhanden)|existiert nicht|introuvable|n.existe (?:pas|plus)|no (?:existe|se encuentra|se ha encontrado|está disponible)|não (?:existe|encontrad\w+|está disponível)|bestaat niet|niet (?:gevonden|beschikbaar)|non (?:esiste|trovat\w+|disponibile)|nie (?:istnieje|znaleziono)|finns inte|hittades inte|ei löydy|nenalezena|не (?:найден\w*|существует|доступн\w*))"
     r"|غير (?:موجود|متاح)|لم يتم العثور|یافت نشد|پیدا نشد|見つかりません|存在しません|找不到|不存在|無法|찾을 수 없"
     r"|(?:verify|confirm|prove) (?:that )?you(?:.re| are) (?:a )?(?:human|not a robot)|(?:fatal|parse) error: |uncaught \w*(?:exception|error)|stack trace:|on line \d+|traceback \(most recent call last\)|\b[45]\d\d (?:error|forbidden|not found|bad gateway|internal)"
 )
@@ -153,6 +153,14 @@ MESSAGE_HINTS = (
     "|introuvable|refusé|erreur interne|no encontrada|no existe|denegado|error interno|mantenimiento|não encontrada|não existe|negado|erro interno|manutenção|niet gevonden|geweigerd|serverfout|onderhoud"
     "|خطأ في|غير موجودة|تعذر|صلاحية|الصيانة|پیدا نشد|خطای داخلی|دسترسی|در حال تعمیر|existe plus|existiert nicht|gibt es nicht|bestaat niet"
 )
+# What is failed with (FAILS) contains one of these.
+FAIL_HINTS = (
+    "not found|not available|not exist|not be found|not be available|doesn't exist|doesn’t exist|no longer exist|no longer available|unavailable|timed out"
+    "|nicht gefunden|nicht verfügbar|nicht erreichbar|nicht vorhanden|existiert nicht|introuvable|existe pas|existe plus|no existe|no se encuentra|no se ha encontrado|no está disponible"
+    "|não existe|não encontrad|não está disponível|bestaat niet|niet gevonden|niet beschikbaar|non esiste|non trovat|non disponibile|nie istnieje|nie znaleziono|finns inte|hittades inte|ei löydy|nenalezena"
+    "|не найден|не существует|не доступн|غير موجود|غير متاح|لم يتم العثور|یافت نشد|پیدا نشد|見つかりません|存在しません|找不到|不存在|無法|찾을 수 없"
+    "|verify you|verify that you|confirm you|confirm that you|prove you|prove that you|fatal error: |parse error: |uncaught |stack trace:|on line |traceback (most recent|forbidden|bad gateway|0 error|1 error|2 error|3 error|4 error|5 error|6 error|7 error|8 error|9 error|0 internal|1 internal|2 internal|3 internal|4 internal|5 internal|6 internal|7 internal|8 internal|9 internal"
+)
 FIELD_SIGNS = ("{", "[", "%", "@@", "__", "<?", "*|")
 
 
@@ -168,7 +176,8 @@ def _hints():
         return a
 
     latin = "|".join(sorted(LOREM_STEMS | {w for w in LOREM if len(w) == 4}))
-    return automaton(FILLER_HINTS), automaton(MESSAGE_HINTS), automaton(latin)
+    cannot = "|".join(f"{a} {b}" for a in ("can't", "can’t", "cannot", "can not", "couldn't", "couldn’t", "couldnot", "could not") for b in ("be found", "be reached", "be displayed", "be loaded", "find", "load", "open", "display"))
+    return automaton(FILLER_HINTS), automaton(f"{MESSAGE_HINTS}|{FAIL_HINTS}|{cannot}"), automaton(latin)
 
 
 def _latin(low: str, signs) -> bool:
@@ -187,7 +196,7 @@ def possible(text: str) -> bool:
         return True
     low = text.lower()
     filler, messages, latin = _hints()
-    return any(True for _ in filler.iter(low)) or any(True for _ in messages.iter(low)) or _latin(low, latin) or bool(FAILS.search(low))
+    return any(True for _ in filler.iter(low)) or any(True for _ in messages.iter(low)) or _latin(low, latin)
 
 
 def null_value(text: str, is_field: bool) -> bool:

@@ -464,3 +464,12 @@ def test_messages_by_their_parts(text, kind):
 def test_null_values_beside_names_of_any_length():
     assert residue.evidence("undefined - Shop", True) == residue.evidence("undefined - " + "S" * 90, True) == "null"
     assert residue.evidence("undefined behaviour in old shops - Shop", True) is None and residue.evidence("null") == "null"
+
+
+@pytest.mark.parametrize(
+    "text",
+    "not found; is not available; was not be found; does not exist; doesn’t exist; no longer exists; couldn't be reached; cannot load; can not display; timed out; nicht verfügbar; n’existe pas; no se ha encontrado; não está disponível; niet gevonden; non trovata; ei löydy; не найдена; غير متاح; 找不到; confirm that you're not a robot; parse error: x; uncaught rangeerror; on line 12; 503 error; 500 internal; 404 not found".split("; "),
+)
+def test_every_failure_is_let_through(text):
+    low = f"the page {text} today"
+    assert residue.FAILS.search(low) and residue.possible(low)
