@@ -117,6 +117,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "source_targets", "source", "target_share"))
 
 
+def p9_shards(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shard_sizes(p9_mix(spark, d))
+
+
 def _model(spark: SparkSession, d: str) -> reading.Levels:
     return reading.fit(reading.reviewed(_documents(spark, d), table(spark, d, "doc_labels", "doc_id", "reviewed_lang", "reading_level")))
 
@@ -145,7 +149,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p2_found, p2_languages, p3_found, p3_restored, p7_found, p7_kept, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_levels)
+    for f in (p1_found, p1_scores, p2_found, p2_languages, p3_found, p3_restored, p7_found, p7_kept, p8_pack, p8_fill, p9_mix, p9_shares, p9_shards, p10_found, p10_levels)
 }
 # Byte-pair merges, automata, ciphers and iterative fits have no SQL: see tests/llm.
 ORACLE: dict[str, str] = {}

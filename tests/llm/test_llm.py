@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,6 +392,27 @@ def test_mix_reaches_shares(spark):
     assert mixing.mix(sizes.limit(0), targets).count() == 0
 
 
+def test_shards_are_even_whatever_the_lengths(spark):
+    """Documents of up to fifty blocks in one source: every shard within a block of its share."""
+    r = random.Random(2)
+    rows = [(i, r.choice(["a"] * 6 + ["b"] * 3 + ["c"]), r.choice([r.randrange(1, 900)] * 30 + [r.randrange(20_000, 50_000)])) for i in range(6000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, n_tokens int"), targets, items_per_bucket=700).collect()
+    total = sum(x.n_tokens for x in mixed)
+    by = Counter()
+    for x in mixed:
+        by[x.shard] += x.n_tokens
+    assert len(by) == 16 and max(abs(n - total / 16) for n in by.values()) <= total / 2000
+    assert len({(x.doc_id, x["pass"]) for x in mixed}) == len(mixed)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=20), st.integers(1, 500), st.floats(1, 1e5))
+def test_filled_places_all(lack, n, size):
+    got = mixing.filled(np.array(lack), n, size)
+    assert got.sum() == n and (got >= 0).all()
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "text string")
     got = [r[0] for r in df.select(tokens.n_tokens("text")).collect()]
