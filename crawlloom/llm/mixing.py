@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from crawlloom.session import stage
 
 #: Classes of sizes in a doubling, and how much more a shard's lack in all counts than that of a source.
-CLASSES, IN_ALL = 16, 4.0
+CLASSES, IN_ALL = 64, 4.0
 #: Most sources; with the number of blocks, the bound of what is broadcast.
-MOST_SOURCES = 10_000
+MOST_SOURCES = 2_000
 
 
 def sainte_lague(shares: dict[str, float], seats: int, caps: dict[str, int]) -> list[str]:
