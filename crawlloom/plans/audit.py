@@ -584,14 +584,18 @@ def deferred_summary(s, d):
     return detail.deferred_summary(p.select("url", F.when(F.col("depth") > 4, "deep").when(F.col("url").contains("?"), "query").otherwise("other").alias("kind")))
 
 
-@query()
+@query(f"""WITH {_UNIFIED[5:]}, {_PRI}, u AS (SELECT min(url) AS url FROM latest) SELECT u.url, {PATHKEY('u.url')} AS path, p.status_code, p.title, sp.s.c AS clicks, sp.s.i AS impressions, bp.sessions, 1 AS n_speed, pri.priority_score, pri.action_group
+  FROM u JOIN latest p ON p.url = u.url LEFT JOIN sp ON sp.page = u.url LEFT JOIN bp ON bp.path = {PATHKEY('u.url')} LEFT JOIN pri ON pri.url = u.url""")
 def url_detail(s, d):
     p = now(s, d, "status_code", "title")
     url = p.agg(F.min("url")).first()[0]
-    return detail.url_detail(url, p, _search(s, d), _landing(s, d), p.select("url", "status_code"), scoring.priorities(_unified(s, d)))
+    search = _search(s, d).groupBy("page").agg(F.max_by(F.struct("clicks", "impressions", "position"), F.struct("impressions", "clicks")).alias("r")).select("page", "r.*")
+    x = detail.url_detail(url, p, search, _landing(s, d), p.select("url", "status_code"), scoring.priorities(_unified(s, d)))
+    return x.select("url", "path", "page.status_code", "page.title", "search.clicks", "search.impressions", "sessions", F.size("speed").alias("n_speed"), "priority_score", "action_group")
 
 
-@query()
+@query(f"""{_ISS}, {_FLAGS}, {_UNI}, {_PRI}, a AS (SELECT affected_count, issue_type FROM iss ORDER BY affected_count DESC, issue_type LIMIT 20), b AS (SELECT priority_score, regexp_replace(url, '[?#].*$', '') AS url FROM (SELECT * FROM pri ORDER BY priority_score DESC, url LIMIT 15))
+  SELECT CAST(to_json(struct_pack(issues := (SELECT list(struct_pack(affected_count := affected_count, issue_type := issue_type) ORDER BY affected_count DESC, issue_type DESC) FROM a), opportunities := (SELECT list(struct_pack(priority_score := priority_score, url := url) ORDER BY priority_score DESC, url DESC) FROM b))) AS VARCHAR) AS payload""")
 def summary_payload(s, d):
     p = now(s, d)
     return detail.summary_payload(_issues(p, s, d), scoring.priorities(_unified(s, d)))

@@ -345,7 +345,11 @@ def log_stream(s, d):
     return s.read.parquet(f"{root}/budget")
 
 
-@query()
+_STEP = "CASE WHEN st = 429 OR st >= 500 THEN 2.0 WHEN ms > 3000 THEN 1.0 ELSE -0.25 END"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT (user_id % 40)::VARCHAR AS host, event_id, [200,200,429,503,404][event_id % 5 + 1] AS st, coalesce(value, 0) * 50 AS ms, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS rn FROM events),
+  r AS (SELECT host, event_id, rn, least(30.0, greatest(0.5, 0.5 + {_STEP}))::DOUBLE AS delay FROM e WHERE rn = 1 UNION ALL SELECT e.host, e.event_id, e.rn, least(30.0, greatest(0.5, r.delay + {_STEP}))::DOUBLE FROM r JOIN e ON e.host = r.host AND e.rn = r.rn + 1) SELECT host, event_id, delay FROM r""")
 def throttle_state(s, d):
     """Delay after every event of a host, the events arriving as a stream."""
     root = scratch(s, "throttle")
