@@ -26,16 +26,15 @@ for _bit, _words in enumerate(CLAUSE_WORDS.values()):
 
 def marks(words: list[str]) -> list[int]:
     """Where the clause words of one language stand, the one that has most of them here."""
-    found = [(i, MARKERS[w]) for i, w in enumerate(words) if w in MARKERS]
-    if len(found) < 2:
-        return [i for i, _ in found]
+    at = [i for i, w in enumerate(words) if w in MARKERS]
     both = -1
-    for _, m in found:
-        both &= m
+    for i in at:
+        both &= MARKERS[words[i]]
     if both:
-        return [i for i, _ in found]
-    bit = max((1 << k for k in range(len(CLAUSE_WORDS))), key=lambda b: sum(m & b > 0 for _, m in found))
-    return [i for i, m in found if m & bit]
+        return at
+    found = [MARKERS[words[i]] for i in at]
+    bit = max((1 << k for k in range(len(CLAUSE_WORDS))), key=lambda b: sum(m & b > 0 for m in found))
+    return [i for i, m in zip(at, found) if m & bit]
 
 
 TERMINATORS = ".!?؟…。"

@@ -94,7 +94,7 @@ def dense(words: list[str], reach: list[int]) -> float:
     """Share of words that end a phrase of three that also ended within the last NEAR words;
     0 without a look where repeated phrases can't reach DENSE, or the text is short."""
     n = len(words)
-    if n < DENSE_WORDS or sum(r > 2 for r in reach) < DENSE * n:
+    if n < DENSE_WORDS or len([r for r in reach if r > 2]) < DENSE * n:
         return 0.0
     last: dict[tuple, int] = {}
     near = 0
