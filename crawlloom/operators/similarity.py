@@ -45,7 +45,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, distance: int = 3, ban
     Equal fingerprints are one class whose representative is the least key, so a text copied a
     million times is one row of the join: members has (key, class_id). pairs has (class_a,
     class_b, distance, similarity) of different classes within ``distance`` bits, each once,
-    whichever bands match. No bucket is capped.
+    whichever bands match. No bucket is capped. Both sides of the join are shuffled: a broadcast
+    is planned by the size of the classes, which the keys then multiply by up to twenty.
     """
     prints = stage(simhash(docs.select(key, text), key, text).where("simhash is not null"), "prints")
     classes = stage(prints.groupBy("simhash").agg(F.min(key).alias("class_id")), "classes")
@@ -53,6 +54,6 @@ def near_duplicates(docs: DataFrame, key: str, text: str, distance: int = 3, ban
     cuts = bucket_keys("simhash", distance, bands)
     cut = classes.select("class_id", "simhash", F.explode(cuts).alias("c")).select("class_id", "simhash", "c.*")
     a, b = cut.alias("a"), cut.alias("b")
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.class_id") < F.col("b.class_id")) & (hamming("a.simhash", "b.simhash") <= distance))
+    near = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.class_id") < F.col("b.class_id")) & (hamming("a.simhash", "b.simhash") <= distance))
     pairs = near.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"), hamming("a.simhash", "b.simhash").alias("distance")).distinct()
     return pairs.withColumn("similarity", F.floor((64 - F.col("distance")) / 64 * 1000 + 0.5) / 10), members

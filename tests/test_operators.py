@@ -1,5 +1,7 @@
 """Literal-row tests of the analyzers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,37 @@ def test_near_duplicates_against_all_pairs(spark):
     assert similarity.band_count(4, 3) == 4 and similarity.band_count(3, 3) == 4 and similarity.band_count(4, 5) == 8
 
 
+def test_near_duplicates_broadcast_no_keys(spark):
+    text = " ".join(f"word{i % 97} of{i % 89} many{i % 83}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "quite another text of twelve words that has nothing to share here")], "doc_id long, text string")
+    pairs = similarity.near_duplicates(docs, "doc_id", "text")[0]
+    before = pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.class_a, r.class_b) for r in pairs.collect()] == [(1, 2)]
+    for plan in (before, pairs._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fingerprint_by_definition(monkeypatch):
+    """Bit by bit from the hashes of all shingles, also when kept hashes are forgotten on the way."""
+
+    def slow(t, least=10, size=3):
+        w = tx._WORD.findall(t.lower()) if t else []
+        if len(w) < least:
+            return None
+        h = [int.from_bytes(hashlib.md5(" ".join(w[i : i + size]).encode("utf-8", "surrogatepass")).digest()[8:], "big") for i in range(len(w) - size + 1)]
+        f = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+        return f - (1 << 64) if f >> 63 else f
+
+    texts = [None, "", "a " * 9, "a " * 10, "İstanbul ß ﬁ " * 9, "مَرحبا، بالعالم " * 8, "\ud800 x " * 7, " ".join(f"w{i * i % 31}" for i in range(500)), " ".join(map(str, range(300)))]
+    for most in (1, 7, 1 << 17):
+        monkeypatch.setattr(tx._LowHalves, "MOST", most)
+        tx._low.clear()
+        for t in texts * 2:
+            assert tx.fingerprint(t) == slow(t)
+        assert len(tx._low) <= most
+    assert tx.fingerprint("a b", 1, 3) == slow("a b", 1, 3) and tx.fingerprint("a b c d", 2, 2) == slow("a b c d", 2, 2)
+
+
 def test_pagerank_conserves_mass(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "url string")
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("a", "zz")], "src string, dst string")
